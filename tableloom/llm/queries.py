@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["piece_tokenizer"]
+_MODULES = ["mixing", "piece_tokenizer", "line_dedup"]
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
