@@ -39,8 +39,8 @@ UNITS = 200_000
 FOLDS = 5
 DRIFT = 0.5
 #: Standard errors that log-odds must be away from zero to count.
-Z = 2.0
-STRENGTH = 10.0
+Z = 4.0
+STRENGTH = 20.0
 MOST = 6.0
 _WORD = re.compile(r"[^\W_]+")
 
@@ -203,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         both = [Counter(), Counter()]
         for batch in batches:
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                both[int(toxic > 0)].update(tokens(text.as_py()))
+                both[int(toxic > 0)].update(set(tokens(text.as_py())))
             if len(both[0]) + len(both[1]) > 1_000_000:
                 yield counted(both)
                 both = [Counter(), Counter()]
@@ -234,8 +234,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 toxic = int(toxic > 0)
                 words = tokens(text.as_py())
-                own = Counter(u for w in words for u in units_of(w))
-                memo = {w: m.score(w, own, bool(toxic)) for w in set(words)}
+                kinds = set(words)
+                own = Counter(u for w in kinds for u in units_of(w))
+                memo = {w: m.score(w, own, bool(toxic)) for w in kinds}
                 segs = segments([(i, memo[w]) for i, w in enumerate(words) if memo[w]])
                 out.append((toxic, len(words), [s for _, _, s in segs]))
             yield pa.RecordBatch.from_arrays([
