@@ -32,12 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._shared import staged
+
 #: Labelled documents used at most for learning.
 SAMPLE = 20_000
 #: Units (words and prefixes) that the model holds at most, those with most toxic occurrences.
 UNITS = 200_000
 FOLDS = 5
-DRIFT = 0.5
+DRIFT = 2.0
 #: Standard errors that log-odds must be away from zero to count.
 Z = 4.0
 STRENGTH = 20.0
@@ -78,7 +80,7 @@ class Model:
         self._cache = _Scores(self)
 
     def log_odds(self, word: str, without: Counter | None = None, toxic: bool = False) -> float:
-        odds = 0.0
+        odds, common = 0.0, self.toxic / (self.toxic + self.clean)
         for unit in reversed(units_of(word)):
             a, b = self.counts.get(unit, (0, 0))
             if without:
@@ -90,7 +92,7 @@ class Model:
             share = 1 / (1 + math.exp(-(odds + self.base)))
             f = (a + STRENGTH * share) / (a + b + STRENGTH)
             found = math.log(f / (1 - f)) - self.base
-            error = math.sqrt(1 / (a + STRENGTH * share) + 1 / (b + STRENGTH * (1 - share)))
+            error = math.sqrt(1 / (a + STRENGTH * common) + 1 / (b + STRENGTH * (1 - common)))
             odds = found if abs(found) >= Z * error else 0.0
         return odds
 
@@ -163,7 +165,7 @@ def _gumbel(best: np.ndarray, n: np.ndarray) -> tuple[float, float]:
     so the tail is fitted: of documents with a hit, the mean excess gives L, their share gives K)."""
     hit = best > 0
     if hit.sum() < 10:
-        return 1.0, 0.05
+        return 1.0, (float(hit.sum()) + 1) / max(float(n.sum()), 1.0)
     low = np.quantile(best[hit], 0.5)
     tail = best[best >= low]
     rate = 1 / max(float(np.mean(tail - low)), 0.2)
@@ -197,7 +199,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         .groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     )
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id")).select("toxic", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # SAMPLE rows
+    rows = staged(rows.select("toxic", "text"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = [Counter(), Counter()]
