@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["fingerprints", "mixing", "ngram_join", "quality_rules", "toxicity", "piece_tokenizer", "html_extraction", "line_dedup", "warc"]
+_MODULES = ["fingerprints", "mixing", "chat_format", "ngram_join", "quality_rules", "toxicity", "piece_tokenizer", "html_extraction", "line_dedup", "warc"]
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
