@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from .values import BuildError, Failure, Val, fallible, join_failures, val
 
@@ -346,7 +347,7 @@ def canonicalize(x) -> Val:
     return _string(F.btrim(F.regexp_replace(s, r"[ \t\n\r\f\x0B]+", " ")), v)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _without_accents(s: pd.Series) -> pd.Series:
     def bare(t):
         return None if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if not "̀" <= c <= "ͯ")

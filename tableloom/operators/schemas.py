@@ -218,6 +218,13 @@ NATIVE: dict[str, list[tuple[str, str, str | None]]] = {
 }
 
 
+_SPARK_TYPES = {
+    "boolean": T.BooleanType(), "bigint": T.LongType(), "double": T.DoubleType(), "date": T.DateType(),
+    "timestamp": T.TimestampType(), "timestamp_ntz": T.TimestampNTZType(), "string": T.StringType(),
+    "binary": T.BinaryType(), "decimal(19,4)": T.DecimalType(19, 4), "decimal(10,4)": T.DecimalType(10, 4),
+}
+
+
 def from_native(system: str, native: str) -> tuple[T.DataType | str, str | None]:
     """The logical type of a native column type, and what is lost (None: nothing)."""
     text = native.strip().lower()
@@ -231,7 +238,7 @@ def from_native(system: str, native: str) -> tuple[T.DataType | str, str | None]
                     return T.DecimalType(38, 18), "precision not stated"
                 p, s = int(m[1]), int(m[2] or 0)
                 return (T.DecimalType(p, s), None) if p <= 38 else (T.DecimalType(38, min(s, 38)), "over 38 digits")
-            return T.DataType.fromDDL(f"x {name}").fields[0].dataType if name != "binary" else T.BinaryType(), lost
+            return _SPARK_TYPES[name], lost
     return T.StringType(), f"{native} read as text"
 
 
