@@ -52,10 +52,11 @@ def with_counts(parents: DataFrame, key: str, children: Mapping[str, tuple[DataF
 def latest_child(parents: DataFrame, children: DataFrame, key: str, child_key: str, order: Sequence[str],
                  values: Mapping[str, str]) -> DataFrame:
     """Each parent with values of its latest child, null without one."""
-    best = children.groupBy(F.col(f"`{child_key}`").alias("_key")).agg(
-        F.max(F.struct(*[F.col(f"`{c}`") for c in order], *[F.col(f"`{c}`") for c in values])).alias("_best"))
+    item = F.struct(F.struct(*[F.col(f"`{c}`") for c in order]).alias("at"),
+                    F.struct(*[F.col(f"`{c}`") for c in values]).alias("of"))
+    best = children.groupBy(F.col(f"`{child_key}`").alias("_key")).agg(F.max(item).alias("_best"))
     return parents.join(best, F.col(f"`{key}`") == F.col("_key"), "left").select(
-        *[F.col(f"`{c}`") for c in parents.columns], *[F.col("_best").getField(c).alias(n) for c, n in values.items()])
+        *[F.col(f"`{c}`") for c in parents.columns], *[F.col(f"_best.of.`{c}`").alias(n) for c, n in values.items()])
 
 
 def semi(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
