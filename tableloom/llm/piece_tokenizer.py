@@ -257,7 +257,8 @@ class PieceModel:
             text = whole.decode("utf-8")
         except UnicodeDecodeError:
             text = self._decode_slow(listed)
-        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+        first = next((i for i in listed if self.kinds[i] != CONTROL), None)
+        return text[1:] if self.dummy_prefix and first is not None and self.pieces[first].startswith(SPACE) else text
 
     def _decode_slow(self, ids: list[int]) -> str:
         out, run = [], bytearray()
