@@ -67,8 +67,9 @@ def systematic_copies(sized: DataFrame, seed: int = 7, most: float = MOST_COPIES
     """From (doc_id, source, size) rows to the same rows with source_size, target and copies."""
     spark = sized.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sized = staged(sized.select("doc_id", "source", "size"), "sizes")  # the texts are read once
     rows = staged(
-        sized.select("doc_id", "source", "size")
+        sized
         .repartitionByRange(parts, F.col("source").asc_nulls_last(), "size", "doc_id")
         .withColumn("part", F.spark_partition_id()),
         "mix",

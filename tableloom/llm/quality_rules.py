@@ -155,7 +155,33 @@ def keep_good_documents(docs: DataFrame, host_col: str = "source", worst_rate: f
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return judge_documents(docs).select("doc_id", *_MEASURES, "base_failed", "kept", "shrunk_rate")
+    return judge_documents(docs).select("doc_id", *_MEASURES, "base_failed", "kept", "host_rejected")
 
 
 QUERIES = {"op5_quality_rules": op5_quality_rules}
+ORACLE = {
+    "op5_quality_rules": r"""
+WITH texts AS (SELECT doc_id, source, coalesce(text, '') AS text,
+                      coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+dup_lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (
+                SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts)
+              WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+wins AS (SELECT doc_id, i, w[i:i + 7] AS win FROM (
+           SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM texts WHERE len(w) >= 8)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM wins) WHERE n > 1),
+cover AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(8) t(k) GROUP BY 1),
+base AS (SELECT t.doc_id, t.source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+                (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+                coalesce(d.n, 0)::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+         FROM texts t LEFT JOIN dup_lines d ON d.doc_id = t.doc_id LEFT JOIN cover c ON c.doc_id = t.doc_id),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base),
+hosts AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS failed FROM judged GROUP BY 1),
+moments AS (SELECT avg(failed / n) AS m, var_pop(failed / n) AS v,
+                   avg(failed / n * (1 - failed / n) / n) AS noise FROM hosts),
+prior AS (SELECT m, greatest(1.0, least(1000.0, coalesce(m * (1 - m) / nullif(greatest(v - noise, 0), 0) - 1, 1000.0))) AS s
+          FROM moments),
+verdicts AS (SELECT source, (failed + m * s) / (n + s) > 0.8 AS host_rejected FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT host_rejected AS kept, host_rejected
+FROM judged j JOIN verdicts v ON j.source IS NOT DISTINCT FROM v.source"""
+}
