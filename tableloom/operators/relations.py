@@ -108,6 +108,26 @@ def top_n(df: DataFrame, by: Sequence[str], measure: Column, n: int, output: str
     return df.groupBy(*by).agg(measure.alias(output)).orderBy(F.desc_nulls_last(output), *by).limit(n)
 
 
+def bucketed(df: DataFrame, column: str, bounds: Sequence[float], output: str = "bucket") -> DataFrame:
+    """Rows with the number of the bucket that a value falls into: 0 below the first bound, and so on."""
+    c, out = F.col(f"`{column}`"), F.lit(len(bounds))
+    for i, b in reversed(list(enumerate(bounds))):
+        out = F.when(c < b, i).otherwise(out)
+    return df.withColumn(output, F.when(c.isNotNull(), out))
+
+
+def auto_bounds(df: DataFrame, column: str, buckets: int, accuracy: int = 10_000) -> list[float]:
+    """Bounds that deal the values into about equal buckets, from approximate quantiles in one pass."""
+    steps = [i / buckets for i in range(1, buckets)]
+    found = df.agg(F.percentile_approx(F.col(f"`{column}`").cast("double"), steps, accuracy)).first()[0]
+    return sorted(set(found or []))
+
+
+def facets(df: DataFrame, views: Mapping[str, tuple[Sequence[str], Column]]) -> dict[str, DataFrame]:
+    """Several groupings of one table by name: (keys, measure) each."""
+    return {name: df.groupBy(*keys).agg(measure.alias("value")) for name, (keys, measure) in views.items()}
+
+
 def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) -> tuple[DataFrame, int, bool]:
     """A page of rows, the number of all rows, and whether there are more."""
     total = df.count()

@@ -222,11 +222,25 @@ def daily_median(spark, sf):
 
 @query("""SELECT CASE WHEN value < 10 THEN 0 WHEN value < 50 THEN 1 WHEN value < 100 THEN 2 ELSE 3 END AS bucket, count(*) AS n FROM events GROUP BY 1""")
 def value_buckets(spark, sf):
-    bounds = (10.0, 50.0, 100.0)
-    bucket = F.lit(len(bounds))
-    for i, b in reversed(list(enumerate(bounds))):
-        bucket = F.when(F.col("value") < b, i).otherwise(bucket)
-    return read(spark, sf, "events").groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    found = relations.bucketed(read(spark, sf, "events"), "value", (10.0, 50.0, 100.0))
+    return found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT 'kind' AS facet, event_type AS key, count(*) AS value FROM events GROUP BY 2 UNION ALL
+SELECT 'day', strftime(ts, '%Y-%m-%d'), count(*) FROM events GROUP BY 2""")
+def event_facets(spark, sf):
+    e = read(spark, sf, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    n = F.count(F.lit(1))
+    views = relations.facets(e, {"kind": (["event_type"], n), "day": (["day"], n)})
+    parts = [df.select(F.lit(name).alias("facet"), F.col(df.columns[0]).alias("key"), "value") for name, df in views.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@query("""SELECT count(*) AS n, 4::BIGINT AS buckets, true AS even FROM events""")
+def auto_buckets(spark, sf):
+    e = read(spark, sf, "events")
+    sizes = relations.bucketed(e, "value", relations.auto_bounds(e, "value", 4)).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("buckets"), (F.max("n") <= 1.1 * F.min("n")).alias("even"))
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events)

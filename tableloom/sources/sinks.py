@@ -203,10 +203,10 @@ def assign_parts(df: DataFrame, rows: int = PART_ROWS, size: int = PART_BYTES) -
             yield full()
 
     parts = json_rows.mapInArrow(run, "partition int, part int, n_rows bigint, n_bytes bigint, body string")
-    totals = parts.groupBy("partition").agg(F.max("part").alias("m"), F.count(F.lit(1)).alias("n")).agg(
-        F.sum("n").alias("total_parts"), F.max(F.struct("partition", "m")).alias("end"))
-    return parts.join(F.broadcast(totals)).withColumn(  # one row
-        "last", (F.col("partition") == F.col("end.partition")) & (F.col("part") == F.col("end.m"))).drop("end")
+    ends = parts.groupBy("partition").agg(F.max("part").alias("m"), F.count(F.lit(1)).alias("n"))
+    total, end = ends.agg(F.sum("n"), F.max(F.struct("partition", "m"))).first()
+    last = F.lit(False) if end is None else (F.col("partition") == end[0]) & (F.col("part") == end[1])
+    return parts.withColumn("last", last).withColumn("total_parts", F.lit(total).cast("bigint"))
 
 
 def deliver(df: DataFrame, send: Callable[[str], None]) -> None:
