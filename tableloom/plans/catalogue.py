@@ -5,6 +5,8 @@ Each query reads the driver's tables from ``sf_dir`` and has a twin in DuckDB's
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -672,8 +674,6 @@ def tick_collapse(spark, sf):
 @query(f"WITH {_TICK} SELECT user_id, event_id, value FROM live")
 def tick_stream(spark, sf):
     """The same changes as a stream into a versioned table, read back."""
-    import uuid
-
     base = f"{_folder(spark)}/tick-{uuid.uuid4().hex}"
     _changes(spark, sf).write.parquet(f"{base}/in")
     stream = spark.readStream.schema(_changes(spark, sf).schema).parquet(f"{base}/in")
@@ -682,14 +682,16 @@ def tick_stream(spark, sf):
     return table.read()
 
 
-def _folder(spark: SparkSession) -> str:
-    """The shared folder that the session names; where it names none, one for this session."""
-    import tempfile
+_own: list[str] = []
+
 
+def _folder(spark: SparkSession) -> str:
+    """The shared folder that the session names; where it names none, one for this process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tableloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="tableloom-"))
+        base = _own[0]
     return base.rstrip("/")
 
 
@@ -697,8 +699,6 @@ def _folder(spark: SparkSession) -> str:
 SELECT o_orderkey, o_totalprice FROM t WHERE o_orderkey NOT IN (SELECT o_orderkey FROM d)""")
 def staged_upsert(spark, sf):
     """Two commits and a repeated one into a versioned table, read back."""
-    import uuid
-
     target, delta = _halves(spark, sf)
     table = sinks.VersionedTable(spark, f"{_folder(spark)}/orders-{uuid.uuid4().hex}")
     table.replace(target, "first", ["o_orderkey"])
