@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset (tests), a new one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tableloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="tableloom-"))
+        base = _own[0]
     return base.rstrip("/")
 
 
