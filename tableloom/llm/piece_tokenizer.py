@@ -32,7 +32,7 @@ SPACE = "▁"
 #: Kinds of pieces in a sentencepiece model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Entries that a worker's cache of text parts holds before it is emptied.
-CACHE_ENTRIES = 1_200_000
+CACHE_ENTRIES = 400_000
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, int, object]]:
@@ -166,7 +166,7 @@ class PieceModel:
         known = self._pairs.get(key)
         if known is None:
             known = self.merge(list(left + right)) == [left, right]
-            if len(self._pairs) >= 4_000_000:
+            if len(self._pairs) >= 300_000:
                 self._pairs.clear()
             self._pairs[key] = known
         return known
