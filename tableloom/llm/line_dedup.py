@@ -4,7 +4,8 @@ A line is parsed as a log line is: its words, with every word that holds a digit
 through a tree of fixed depth, first by the number of words, then by the first three of them. At the leaf the
 rest of the line is cut into three stretches. The line's templates are the whole line, and, for lines of
 ``variable_from`` words or more, the line with one of the three stretches generalised as a variable field.
-A template recurs if it occurs in ``min_docs`` documents. In each recurring template the first line (smallest
+Words with digits are generalised only where ``min_literal`` words and half of the template's words stay literal:
+rows of numbers would all be one template. A line short of that is compared as it stands. A template recurs if it occurs in ``min_docs`` documents. In each recurring template the first line (smallest
 document id, then place) stays and the others are dropped, so a line goes if one of its templates recurs and
 has an earlier line. Templates are compared as 64-bit hashes of their parts; only hashes and places are
 shuffled, and texts only once, to meet the places of their dropped lines.
@@ -27,21 +28,23 @@ from ._shared import staged
 DEPTH = 3
 MIN_WORDS = 3
 MIN_DOCS = 2
+#: A template with generalised words has so many literal words at least, and half of its words are literal.
+MIN_LITERAL = 3
 VARIABLE_FROM = 12
 
 _SPACES = r"[\x20\x09-\x0D]+"
 
 
 def template_keys(docs: DataFrame, min_words: int = MIN_WORDS, variable_from: int = VARIABLE_FROM,
-                  depth: int = DEPTH) -> DataFrame:
+                  depth: int = DEPTH, min_literal: int = MIN_LITERAL) -> DataFrame:
     """(doc, fp, pos, keys): for each line that counts, its document, place and the hashes of its templates."""
     lines = docs.select(
         F.col("doc_id").alias("doc"), F.xxhash64("text").alias("fp"), F.posexplode(F.split("text", "\n", -1))
     )
     words = F.filter(F.split("col", _SPACES, -1), lambda w: w != "")
-    masked = F.when(
-        F.col("col").rlike("[0-9]"), F.transform("words", lambda w: F.when(w.rlike("[0-9]"), "<*>").otherwise(w))
-    ).otherwise(F.col("words"))
+    digits, number = F.col("col").rlike("[0-9]"), lambda w: w.rlike("[0-9]")
+    masked = F.when(digits, F.transform("words", lambda w: F.when(number(w), "<*>").otherwise(w))).otherwise(
+        F.col("words"))
     n, rest = F.col("n"), F.lit(depth)
     first = F.floor((n - rest) / 3).cast("int")
     second = F.floor((n - rest) * 2 / 3).cast("int")
@@ -53,14 +56,25 @@ def template_keys(docs: DataFrame, min_words: int = MIN_WORDS, variable_from: in
     a, b, c = part(zero, first), part(first, second), part(second, n - rest)
     lead = F.slice("w", 1, depth)
     whole = F.xxhash64(F.lit(0), n, F.col("w"))
-    loose = [F.xxhash64(F.lit(k), n, lead, x, y) for k, x, y in ((1, b, c), (2, a, c), (3, a, b))]
+
+    def tells(*parts):
+        """Whether enough words of a template are literal."""
+        numbers = sum((F.size(F.filter(p, lambda w: w == "<*>")) for p in parts), F.lit(0))
+        size = sum((F.size(p) for p in parts), F.lit(0))
+        return ~F.col("digits") | ((size - numbers >= min_literal) & (2 * numbers <= size))
+
+    loose = [F.when(tells(lead, x, y), F.xxhash64(F.lit(k), n, lead, x, y))
+             for k, x, y in ((1, b, c), (2, a, c), (3, a, b))]
     return (
         lines.withColumn("words", words)
         .withColumn("n", F.size("words"))
         .where(F.col("n") >= min_words)
         .withColumn("w", masked)
-        .select("doc", "fp", "pos",
-                F.when(n >= variable_from, F.array(whole, *loose)).otherwise(F.array(whole)).alias("keys"))
+        .withColumn("digits", digits)
+        .withColumn("told", tells(F.col("w")))
+        .withColumn("w", F.when(F.col("told"), F.col("w")).otherwise(F.col("words")))
+        .select("doc", "fp", "pos", F.when(F.col("told") & (n >= variable_from), F.array_compact(F.array(whole, *loose)))
+                .otherwise(F.array(whole)).alias("keys"))
     )
 
 

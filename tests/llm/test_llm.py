@@ -485,6 +485,14 @@ def test_lines_generalise(spark):
     assert three == dict(rows)
 
 
+def test_lines_of_numbers_stay(spark):
+    wide = " ".join(["total of all"] + ["{0}.5"] * 9)
+    rows = [(1, "12.5 30 2019\n13.5 31 2020\nall 7 8 9"), (2, "14.5 32 2021\n12.5 30 2019\nall 1 2 3"), (3, wide.format(1)), (4, wide.format(2)),
+            (5, "order 17 was shipped"), (6, "order 18 was shipped")]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert out == dict(rows) | {2: "14.5 32 2021\nall 1 2 3", 6: ""}
+
+
 def test_lines_stay_native(docs):
     plan = line_dedup.drop_recurring_lines(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
