@@ -461,6 +461,27 @@ def test_wrappers_drop_what_is_constant(spark):
     assert html_extraction.extract_main_text(df.limit(0)).count() == 0
 
 
+def page_texts(spark, pages):
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")
+    return [r["text"] for r in sorted(html_extraction.extract_main_text(df).collect())]
+
+
+def test_html_copies_are_no_template(spark):
+    copy = "<html><body><div>Shop</div><article><h1>Title</h1><p>Text of the copy</p></article></body></html>"
+    other = "<html><body><div>Shop</div><article><h1>Other {0}</h1><p>Own text {0}</p></article></body></html>"
+    got = page_texts(spark, [copy] * 60 + [other.format(i) for i in range(5)])
+    assert got == ["Title\n\nText of the copy"] * 60 + [f"Other {i}\n\nOwn text {i}" for i in range(5)]
+    # a section on the copied page alone, whichever page is the reference
+    alone = "<html><body><div>Shop</div><p>Text {0}</p><section><div>Only here {0}</div></section></body></html>"
+    rest = [f"<html><body><div>Shop</div><p>Text {i}</p></body></html>" for i in range(10, 16)]
+    for i in range(8):
+        assert page_texts(spark, [alone.format(i)] * 6 + rest)[0] == f"Text {i}\n\nOnly here {i}"
+    # nearly one text on all pages: what holds an article stays
+    near = "<html><body><div>Shop</div><article><h1>Title</h1><p>Same</p></article></body></html>"
+    got = page_texts(spark, [near + "<!-- %d -->" % i for i in range(12)])
+    assert got == ["Title\n\nSame"] * 12
+
+
 # 9 lines ---------------------------------------------------------------------------------------------------------------------
 
 
