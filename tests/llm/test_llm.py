@@ -482,6 +482,12 @@ def test_html_copies_are_no_template(spark):
     assert got == ["Title\n\nSame"] * 12
 
 
+def test_html_constants_inside_articles_stay(spark):
+    page = ("<html><body><div>Shop</div><article><p><b>Note:</b> one{0}<br>two <a href='/'>see</a></p><div>Same</div>"
+            "<table><tr><td>cell</td></tr></table></article></body></html>")
+    assert page_texts(spark, [page.format(i) for i in range(8)]) == [f"Note: one{i} two see\n\nSame\n\ncell" for i in range(8)]
+
+
 # 9 lines ---------------------------------------------------------------------------------------------------------------------
 
 
