@@ -31,13 +31,21 @@ MIN_DOCS = 2
 #: A template with generalised words has so many literal words at least, and half of its words are literal.
 MIN_LITERAL = 3
 VARIABLE_FROM = 12
+#: Per cent of equal words in place that make two lines of a leaf alike.
+SIMILAR = 70
 
 _SPACES = r"[\x20\x09-\x0D]+"
 
 
-def template_keys(docs: DataFrame, min_words: int = MIN_WORDS, variable_from: int = VARIABLE_FROM,
-                  depth: int = DEPTH, min_literal: int = MIN_LITERAL) -> DataFrame:
-    """(doc, fp, pos, keys): for each line that counts, its document, place and the hashes of its templates."""
+def _tells(min_literal: int, *parts):
+    """Whether enough words of a template are literal."""
+    numbers = sum((F.size(F.filter(p, lambda w: w == "<*>")) for p in parts), F.lit(0))
+    size = sum((F.size(p) for p in parts), F.lit(0))
+    return ~F.col("digits") | ((size - numbers >= min_literal) & (2 * numbers <= size))
+
+
+def masked_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_literal: int = MIN_LITERAL) -> DataFrame:
+    """(doc, fp, pos, n, w, digits, told): for each line that counts its document, place and words, generalised if told."""
     lines = docs.select(
         F.col("doc_id").alias("doc"), F.xxhash64("text").alias("fp"), F.posexplode(F.split("text", "\n", -1))
     )
@@ -45,6 +53,21 @@ def template_keys(docs: DataFrame, min_words: int = MIN_WORDS, variable_from: in
     digits, number = F.col("col").rlike("[0-9]"), lambda w: w.rlike("[0-9]")
     masked = F.when(digits, F.transform("words", lambda w: F.when(number(w), "<*>").otherwise(w))).otherwise(
         F.col("words"))
+    return (
+        lines.withColumn("words", words)
+        .withColumn("n", F.size("words"))
+        .where(F.col("n") >= min_words)
+        .withColumn("w", masked)
+        .withColumn("digits", digits)
+        .withColumn("told", _tells(min_literal, F.col("w")))
+        .withColumn("w", F.when(F.col("told"), F.col("w")).otherwise(F.col("words")))
+        .select("doc", "fp", "pos", "n", "w", "digits", "told")
+    )
+
+
+def template_keys(docs: DataFrame, min_words: int = MIN_WORDS, variable_from: int = VARIABLE_FROM,
+                  depth: int = DEPTH, min_literal: int = MIN_LITERAL) -> DataFrame:
+    """(doc, fp, pos, keys): for each line that counts, its document, place and the hashes of its templates."""
     n, rest = F.col("n"), F.lit(depth)
     first = F.floor((n - rest) / 3).cast("int")
     second = F.floor((n - rest) * 2 / 3).cast("int")
@@ -56,29 +79,55 @@ def template_keys(docs: DataFrame, min_words: int = MIN_WORDS, variable_from: in
     a, b, c = part(zero, first), part(first, second), part(second, n - rest)
     lead = F.slice("w", 1, depth)
     whole = F.xxhash64(F.lit(0), n, F.col("w"))
-
-    def tells(*parts):
-        """Whether enough words of a template are literal."""
-        numbers = sum((F.size(F.filter(p, lambda w: w == "<*>")) for p in parts), F.lit(0))
-        size = sum((F.size(p) for p in parts), F.lit(0))
-        return ~F.col("digits") | ((size - numbers >= min_literal) & (2 * numbers <= size))
-
-    loose = [F.when(tells(lead, x, y), F.xxhash64(F.lit(k), n, lead, x, y))
+    loose = [F.when(_tells(min_literal, lead, x, y), F.xxhash64(F.lit(k), n, lead, x, y))
              for k, x, y in ((1, b, c), (2, a, c), (3, a, b))]
-    return (
-        lines.withColumn("words", words)
-        .withColumn("n", F.size("words"))
-        .where(F.col("n") >= min_words)
-        .withColumn("w", masked)
-        .withColumn("digits", digits)
-        .withColumn("told", tells(F.col("w")))
-        .withColumn("w", F.when(F.col("told"), F.col("w")).otherwise(F.col("words")))
-        .select("doc", "fp", "pos", F.when(F.col("told") & (n >= variable_from), F.array_compact(F.array(whole, *loose)))
-                .otherwise(F.array(whole)).alias("keys"))
-    )
-
-
-def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, **options) -> DataFrame:
+    return masked_lines(docs, min_words, min_literal).select(
+        "doc", "fp", "pos", F.when(F.col("told") & (n >= variable_from), F.array_compact(F.array(whole, *loose)))
+        .otherwise(F.array(whole)).alias("keys"))
+
+
+def similar_lines(docs: DataFrame, share: int = SIMILAR, min_words: int = MIN_WORDS, depth: int = DEPTH,
+                  min_literal: int = MIN_LITERAL) -> DataFrame:
+    """(doc, fp, pos): lines with an earlier line in another document, of the same word count and leading words and
+    with ``share`` per cent of equal words in place.
+
+    Lines that differ in at most d words share one of d + 1 pieces, so pieces find every such pair. A form (the lines
+    of equal words) meets the first form of each of its pieces, and only if unlike these all earlier ones."""
+    n = F.col("n")
+    lines = masked_lines(docs, min_words, min_literal).where("told").withColumn("d", n - F.ceil(n * share / 100).cast("int"))
+    lines = lines.where("d > 0").select(
+        "doc", "fp", "pos", "n", "d", F.xxhash64("n", F.slice("w", 1, depth)).alias("leaf"),
+        F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
+    own = F.struct("doc", "fp")
+    leaves = lines.groupBy("leaf").agg(F.min(own).alias("a"), F.max(own).alias("b")).where(
+        "NOT (a.doc <=> b.doc AND a.fp = b.fp)").select("leaf")
+    lines = staged(lines.join(leaves, "leaf").withColumn("id", F.xxhash64("leaf", "h")), "leaf-lines")
+    forms = staged(lines.groupBy("id").agg(
+        F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.first("d").alias("d"), F.first("h").alias("h"),
+        F.min(F.struct("doc", "fp", "pos")).alias("at")), "forms")
+    rest = F.greatest(n - depth, F.lit(0))
+    pieces = F.when(F.col("d") >= rest, 1).otherwise(F.col("d") + 1)
+    lo, hi = (F.floor((F.col("i") + k) * rest / F.col("pieces")).cast("int") for k in (0, 1))
+    piece = F.when(F.col("d") >= rest, F.array().cast("array<bigint>")).otherwise(F.slice("h", lo + depth + 1, hi - lo))
+    keyed = forms.withColumn("pieces", pieces).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    keyed = staged(keyed.select(F.xxhash64("leaf", "i", piece).alias("key"), "id", "at"), "pieces")
+    first = keyed.groupBy("key").agg(F.min(F.struct("at", "id")).alias("e"))
+    earlier = "e.at < at AND NOT (e.at.doc <=> at.doc AND e.at.fp = at.fp)"
+
+    def like(pairs: DataFrame) -> DataFrame:
+        """The ids whose form is like an earlier one of the pairs."""
+        pairs = pairs.where(earlier).select("id", F.col("e.id").alias("other")).distinct()
+        others = forms.select(F.col("id").alias("other"), F.col("h").alias("g"))
+        equal = F.size(F.filter(F.zip_with("h", "g", lambda x, y: x == y), lambda x: x))
+        return pairs.join(forms.select("id", "h", "n", "d"), "id").join(others, "other").where(
+            equal >= n - F.col("d")).select("id").distinct()
+
+    quick = staged(like(keyed.join(first, "key")), "like-first")
+    others = keyed.join(quick, "id", "left_anti").join(
+        keyed.select("key", F.struct("at", "id").alias("e")), "key")
+    return lines.join(quick.union(like(others)).distinct(), "id", "left_semi").select("doc", "fp", "pos")
+
+def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similar: int | None = None, **options) -> DataFrame:
     """(doc, fp, drop): for each document with recurring lines the places of those that go."""
     keys = staged(template_keys(docs, **options), "lines").select("doc", "fp", "pos", F.explode("keys").alias("key"))
     place = F.struct("doc", "fp", "pos")
@@ -92,16 +141,19 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, **options) -> DataF
             .groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("docs"))
             .where(F.col("docs") >= min_docs)
         )
-    return (
+    gone = (
         keys.join(found.select("key", "first"), "key")
         .where("NOT (first.doc <=> doc AND first.fp = fp AND first.pos = pos)")
-        .select("doc", "fp", "pos").distinct()
-        .groupBy("doc", "fp").agg(F.collect_list("pos").alias("drop"))
+        .select("doc", "fp", "pos")
     )
+    if similar is not None:
+        gone = gone.union(similar_lines(docs, similar))
+    return gone.distinct().groupBy("doc", "fp").agg(F.collect_list("pos").alias("drop"))
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, **options) -> DataFrame:
-    """``docs`` without the recurring lines of ``text``, with the counts n_lines and n_dropped added."""
+    """``docs`` without the recurring lines of ``text``, with the counts n_lines and n_dropped added; with ``similar``
+    also without the lines that have so many per cent of their words in common with an earlier one."""
     found = dropped_lines(docs, min_docs, **options)
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     lines = F.split("text", "\n", -1)
@@ -121,6 +173,12 @@ def op9_drop_recurring_lines(spark, sf_dir: str) -> DataFrame:
     return drop_recurring_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op9_drop_similar_lines(spark, sf_dir: str) -> DataFrame:
+    """As op9_drop_recurring_lines, and lines like an earlier one go wherever they differ; it has no SQL twin."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return drop_recurring_lines(docs, similar=SIMILAR).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 #: The kept texts of ``{table}`` as a chain of common table expressions for DuckDB.
 LINES_SQL = r"""
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
@@ -143,7 +201,7 @@ counts AS (SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_dropped,
            FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
 """
 
-QUERIES = {"op9_drop_recurring_lines": op9_drop_recurring_lines}
+QUERIES = {"op9_drop_recurring_lines": op9_drop_recurring_lines, "op9_drop_similar_lines": op9_drop_similar_lines}
 ORACLE = {
     "op9_drop_recurring_lines": "WITH " + LINES_SQL.format(table="documents")
     + "SELECT d.doc_id, coalesce(c.n_lines, 0) AS n_lines, coalesce(c.n_dropped, 0) AS n_dropped, "

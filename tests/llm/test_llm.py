@@ -512,6 +512,30 @@ def test_lines_generalise(spark):
     assert three == dict(rows)
 
 
+def test_similar_lines(spark, texts):
+    """Scattered changes, short lines, and the whole small table against brute force."""
+    words = [f"w{c}" for c in "abcdefghijklmnop"]
+    far = " ".join(words[:5] + ["q"] + words[6:14] + ["r"] + words[15:])
+    unlike = " ".join(words[:5] + list("ABCDEFGHIJK"))
+    made = {1: " ".join(words), 2: far, 3: unlike, 4: "read more about cats", 5: "read more about dogs", 6: "12.5 30 2019 4", 7: "12.5 31 2019 4"}
+    for rows in (made, {d: t for d, t in texts.items() if t}):
+        leaves, want = defaultdict(list), set()
+        for d, t in sorted(rows.items()):
+            for pos, line in enumerate(t.split("\n")):
+                w = ["<*>" if re.search("[0-9]", x) else x for x in WORD.findall(line)]
+                literal = len(w) - w.count("<*>")
+                if len(w) > 3 and (literal == len(w) or literal >= 3 and 2 * literal >= len(w)):
+                    leaf = leaves[len(w), *w[:3]]
+                    if any(e != d and 10 * sum(map(str.__eq__, v, w)) >= 7 * len(w) for e, v in leaf):
+                        want.add((d, pos))
+                    leaf.append((d, w))
+        df = spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")
+        got, same = ({(r["doc"], x) for r in line_dedup.dropped_lines(df, similar=k).collect() for x in r["drop"]} for k in (70, None))
+        assert got == same | want and got > same
+    out = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring_lines(spark.createDataFrame(list(made.items()), "doc_id bigint, text string"), similar=70).collect()}
+    assert out == made | {2: "", 5: ""}
+
+
 def test_lines_of_numbers_stay(spark):
     wide = " ".join(["total of all"] + ["{0}.5"] * 9)
     rows = [(1, "12.5 30 2019\n13.5 31 2020\nall 7 8 9"), (2, "14.5 32 2021\n12.5 30 2019\nall 1 2 3"), (3, wide.format(1)), (4, wide.format(2)),
