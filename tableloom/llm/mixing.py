@@ -12,7 +12,8 @@ most rows is spread over many ranges.
 
 Defined cases: a null text has size 0; a null source is a source of its own, ordered last; documents of size 0
 are sampled as any other and add nothing; repeated rows are separate documents; an empty table gives an empty
-result; input columns named like an output are replaced by it.
+result; texts of any length count by their words and are joined back whole; ties in size are ordered by id; extra
+columns of any name stay as they are in ``mix_documents`` and are not read by the query.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import staged
+from ._shared import packed, staged, unpacked
 
 #: A word, as all operators of this subpackage count words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -95,19 +96,21 @@ def systematic_copies(sized: DataFrame, seed: int = 7, most: float = MOST_COPIES
 
 
 def mix_documents(docs: DataFrame, seed: int = 7, most: float = MOST_COPIES) -> DataFrame:
-    """The mixture itself: each document once for each time it is taken, with the columns of ``docs``."""
-    sized = docs.withColumn("_size", word_count())
-    copies = systematic_copies(sized.select("doc_id", "source", F.col("_size").alias("size")), seed, most)
-    lists = copies.groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies")).alias("_copies"))
-    lists = lists.toDF("_id", "_source", "_n", "_copies")
-    same = Window.partitionBy("doc_id", "source", "_size").orderBy("text")
-    return (
-        sized.join(lists, F.expr("doc_id <=> _id AND source <=> _source AND _size = _n"))
-        .withColumn("_place", F.row_number().over(same))
-        .withColumn("_times", F.expr("_copies[_place - 1]"))
-        .where("_times > 0")
-        .withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The mixture itself: each document once for each time it is taken, with the columns of ``docs``, whatever their
+    names."""
+    sized = packed(docs, id="doc_id", origin="source", size=word_count())
+    copies = systematic_copies(
+        sized.select(F.col("id").alias("doc_id"), F.col("origin").alias("source"), "size"), seed, most)
+    lists = copies.groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies")).alias("copies"))
+    lists = lists.toDF("id_", "origin_", "size_", "copies")
+    same = Window.partitionBy("id", "origin", "size").orderBy(F.col("row").getField("text"))
+    return unpacked(
+        sized.join(lists, F.expr("id <=> id_ AND origin <=> origin_ AND size = size_"))
+        .withColumn("place", F.row_number().over(same))
+        .withColumn("times", F.expr("copies[place - 1]"))
+        .where("times > 0")
+        .withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))),
+        docs.columns,
     )
 
 
