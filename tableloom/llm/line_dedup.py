@@ -5,17 +5,19 @@ through a tree of fixed depth, first by the number of words, then by the first t
 rest of the line is cut into three stretches. The line's templates are the whole line, and, for lines of
 ``variable_from`` words or more, the line with one of the three stretches generalised as a variable field.
 Words with digits are generalised only where ``min_literal`` words and half of the template's words stay literal:
-rows of numbers would all be one template. A line short of that is compared as it stands. A template recurs if it occurs in ``min_docs`` documents. In each recurring template the first line (smallest
-document id, then place) stays and the others are dropped, so a line goes if one of its templates recurs and
-has an earlier line. Templates are compared as 64-bit hashes of their parts; only hashes and places are
-shuffled, and texts only once, to meet the places of their dropped lines.
+rows of numbers would all be one template. A line short of that is compared as it stands. A template recurs if it
+occurs in ``min_docs`` documents. In each recurring template the first line (smallest document id, then place) stays
+and the others are dropped, so a line goes if one of its templates recurs and has an earlier line. Templates are
+compared as 64-bit hashes of their parts; only hashes and places are shuffled, and texts only once, to meet the
+places of their dropped lines.
 
 All of it is built of DataFrame functions.
 
 Defined cases: a null text stays null and an empty one empty; lines of fewer than ``min_words`` words always stay;
 a line repeated only within its document stays; rows that share id and text are one document, rows that share only
-the id are several; rows with a null id are several documents ordered first; other columns stay as they are,
-and a column named ``n_lines`` or ``n_dropped`` is replaced.
+the id are several; rows with a null id are several documents ordered first; of lines that tie (equal rows of one
+id) the first place stays; an empty table gives an empty result; long texts cost time in proportion to their lines;
+other columns of any name stay as they are, and a column named ``n_lines`` or ``n_dropped`` is replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import staged
+from ._shared import packed, staged, unpacked
 
 DEPTH = 3
 MIN_WORDS = 3
@@ -127,6 +129,7 @@ def similar_lines(docs: DataFrame, share: int = SIMILAR, min_words: int = MIN_WO
         keyed.select("key", F.struct("at", "id").alias("e")), "key")
     return lines.join(quick.union(like(others)).distinct(), "id", "left_semi").select("doc", "fp", "pos")
 
+
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similar: int | None = None, **options) -> DataFrame:
     """(doc, fp, drop): for each document with recurring lines the places of those that go."""
     keys = staged(template_keys(docs, **options), "lines").select("doc", "fp", "pos", F.explode("keys").alias("key"))
@@ -148,23 +151,28 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similar: int | None
     )
     if similar is not None:
         gone = gone.union(similar_lines(docs, similar))
-    return gone.distinct().groupBy("doc", "fp").agg(F.collect_list("pos").alias("drop"))
+    return gone.distinct().groupBy("doc", "fp").agg(F.sort_array(F.collect_list("pos")).alias("drop"))
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, **options) -> DataFrame:
     """``docs`` without the recurring lines of ``text``, with the counts n_lines and n_dropped added; with ``similar``
     also without the lines that have so many per cent of their words in common with an earlier one."""
-    found = dropped_lines(docs, min_docs, **options)
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    plain = docs.select("doc_id", "text")
+    found = dropped_lines(plain, min_docs, **options).toDF("doc_", "fp_", "drop")
     lines = F.split("text", "\n", -1)
-    return (
-        docs.withColumn("_fp", F.xxhash64("text"))
-        .join(found, F.expr("doc_id <=> doc AND _fp = fp"), "left")
-        .withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
-        .withColumn("n_dropped", F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long"))
-        .withColumn("text", F.when(F.col("drop").isNull(), F.col("text")).otherwise(
-            F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("drop"), i)), "\n")))
-        .select(*[F.col(f"`{c}`") for c in kept], "n_lines", "n_dropped")
+    # in time linear in the lines: the gaps between dropped places make a flag for each place
+    before = F.concat(F.array(F.lit(-1)), F.slice("drop", 1, F.size("drop") - 1))
+    gaps = F.zip_with("drop", before, lambda p, q: p - q - 1)
+    flags = F.flatten(F.transform(gaps, lambda g: F.concat(F.array_repeat(F.lit(False), g), F.array(F.lit(True)))))
+    return unpacked(
+        packed(docs, id="doc_id", text="text", fp=F.xxhash64("text"))
+        .join(found, F.expr("id <=> doc_ AND fp = fp_"), "left")
+        .withColumn("gone", flags),
+        docs.columns,
+        text=F.when(F.col("drop").isNull(), F.col("text")).otherwise(
+            F.array_join(F.zip_with(lines, "gone", lambda x, g: F.when(g.isNull() | ~g, x)), "\n")),
+        n_lines=F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"),
+        n_dropped=F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long"),
     )
 
 
