@@ -1,16 +1,19 @@
 """Quality rules of documents and of the hosts they come from.
 
 Base rules look at one document: too few words, or too many words inside repeated 8-word windows. Host rules
-aggregate the failures: a host's failure rate is shrunk towards the rate of all hosts with a beta prior fitted to
-the hosts by moments, and the documents of a host whose shrunk rate exceeds ``worst_rate`` are not kept. A host
-with few documents thus stays near the common rate.
+aggregate the failures of each rule (the base rules, and too many symbols for the words) by host: the domain of a
+URL, else the source as it stands. A host's failure rate by a rule is shrunk towards the rate of all hosts with a beta
+prior fitted to the hosts by moments; a host that stands out of the prior of one rule is rejected, with all its
+documents. A host with few documents stays near the common rate.
 
 Defined cases: a null or empty text has no words and fails; a null host is a host of its own; repeated rows count
-each; an empty table gives an empty result; columns of the input other than id, text and host are not read.
+each; an empty table gives an empty result; texts of any length are measured whole; hosts with equal rates (ties) get
+equal verdicts; extra columns of any name stay as they are in ``keep_good_documents`` and are not read by the query.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,13 +22,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._shared import staged
+from ._shared import packed, staged, unpacked
 
 MIN_WORDS = 20
 WINDOW = 8
 MOST_REPEATED_PERCENT = 30
-#: Share of failing documents, after shrinking, beyond which a whole host goes.
+#: Share of failing documents, after shrinking, beyond which a whole host goes in any case.
 WORST_RATE = 0.8
+#: A host whose rate does not exceed this is never rejected.
+LEAST_RATE = 0.5
+MOST_SYMBOLS_PERCENT = 50
 #: Hosts that are broadcast at most; more are joined by shuffle.
 BROADCAST_HOSTS = 20_000
 
@@ -57,15 +63,18 @@ def _duplicate_lines(text: bytes) -> int:
 
 
 def document_measures(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` of ``docs`` with the measures of each whole text."""
-    kept = [docs.schema[c] for c in keep]
+    """The columns ``keep`` of ``docs`` with the measures of each whole text. ``text_col`` may name a field of a kept
+    struct (``row.text``), so that the text travels once."""
     schema = docs.select(*keep).schema
     for name in _MEASURES:
         schema = schema.add(name, "long")
+    outer, _, inner = text_col.partition(".")
+    at_text = keep.index(outer) if inner else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offs = _text.raw(batch.column(batch.num_columns - 1))
+            column = batch.column(at_text)
+            data, offs = _text.raw(column.field(inner) if inner else column)
             for lo, hi in _text.blocks(data, offs):
                 o = offs[lo : hi + 1]
                 b, starts, ends, at = _text.words(data, o)
@@ -85,72 +94,105 @@ def document_measures(docs: DataFrame, keep: list[str], text_col: str = "text")
                 found = [n, np.diff(chars[at]), np.diff(signs[local]), dup_lines, repeats]
                 rows = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(i) for i in range(len(kept))] + [pa.array(x, pa.int64()) for x in found],
+                    [rows.column(i) for i in range(len(keep))] + [pa.array(x, pa.int64()) for x in found],
                     schema.names,
                 )
 
-    return docs.select(*keep, F.col(text_col).alias("_text_")).mapInArrow(run, schema)
+    return docs.select(*keep, *([] if inner else [F.col(text_col).alias("_text_")])).mapInArrow(run, schema)
+
+
+#: Rules whose failures are counted by host; the first two also fail the document itself.
+RULES = ("short", "repeated", "symbols")
+
+
+def rule_failures() -> dict[str, Column]:
+    """Each rule's failure of one document, from its measures."""
+    return {
+        "short": F.col("n_words") < MIN_WORDS,
+        "repeated": 100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"),
+        "symbols": 100 * F.col("n_symbols") > MOST_SYMBOLS_PERCENT * F.col("n_words"),
+    }
 
 
 def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-
-
-def host_verdicts(measured: DataFrame, host_col: str, worst_rate: float = WORST_RATE) -> DataFrame:
-    """Per host: its documents, failures, shrunk failure rate and whether it is rejected.
-
-    The prior Beta(a, b) has the mean m of the hosts' rates and the variance v that is left of theirs after the
-    sampling noise is taken away: a + b = m (1 - m) / v - 1, held within [1, 1000]."""
-    hosts = measured.groupBy(F.col(host_col).alias("host")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed")
-    )
-    hosts = staged(hosts.withColumn("rate", F.col("failed") / F.col("n")), "hosts")
-    prior = hosts.agg(
-        F.avg("rate").alias("m"), F.coalesce(F.var_pop("rate"), F.lit(0.0)).alias("v"),
-        F.avg(F.col("rate") * (1 - F.col("rate")) / F.col("n")).alias("noise"),
-    ).select(
-        "m",
-        F.greatest(F.lit(1.0), F.least(F.lit(1000.0), F.coalesce(
-            F.try_divide(F.col("m") * (1 - F.col("m")), F.greatest(F.col("v") - F.col("noise"), F.lit(0.0))) - 1,
-            F.lit(1000.0)))).alias("strength"),
-    ).first()
-    m, strength = (prior["m"] or 0.0, prior["strength"]) if prior else (0.0, 1.0)
-    shrunk = (F.col("failed") + F.lit(m * strength)) / (F.col("n") + F.lit(float(strength)))
-    return hosts.select("host", "n", "failed", shrunk.alias("shrunk_rate"),
-                        (shrunk > F.lit(worst_rate)).alias("host_rejected"))
-
-
-def with_verdicts(measured: DataFrame, host_col: str = "source", worst_rate: float = WORST_RATE) -> DataFrame:
-    """``measured`` with shrunk_rate, host_rejected and kept."""
-    hosts = host_verdicts(measured, host_col, worst_rate).select("host", "shrunk_rate", "host_rejected")
-    if hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        hosts = F.broadcast(hosts)
-    return measured.join(hosts, F.col(host_col).eqNullSafe(F.col("host")), "left").drop("host").withColumn(
-        "kept", ~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False))
-    )
+    failed = rule_failures()
+    return failed["short"] | failed["repeated"]
+
+
+def domain(source: str | Column) -> Column:
+    """The domain of a URL (host name in lower case, without ``www.`` and port); anything else as it stands."""
+    source = F.col(source) if isinstance(source, str) else source
+    host = F.lower(F.regexp_extract(source, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    return F.when(host == "", source).otherwise(F.regexp_replace(host, r"^www\.", ""))
+
+
+def host_verdicts(failures: DataFrame, worst_rate: float = WORST_RATE, least_rate: float = LEAST_RATE) -> DataFrame:
+    """Per host: its documents, and for each rule the failures, the shrunk rate and whether that rejects the host.
+
+    ``failures`` has host, n and a count of failures by rule, in as many rows a host as one likes. A rule's prior
+    Beta(a, b) has the mean m of the hosts' rates and the variance v that is left of theirs after the sampling noise is
+    taken away: a + b = m (1 - m) / v - 1, held within [1, 1000]. A host is rejected by a rule if its shrunk rate
+    exceeds the limit m + 3 standard deviations of the prior, held within [least_rate, worst_rate]."""
+    hosts = failures.groupBy("host").agg(F.sum("n").alias("n"), *[F.sum(r).alias(r) for r in RULES])
+    hosts = staged(hosts, "hosts")
+    asked = []
+    for r in RULES:
+        rate = F.col(r) / F.col("n")
+        asked += [F.avg(rate).alias(f"m_{r}"), F.coalesce(F.var_pop(rate), F.lit(0.0)).alias(f"v_{r}"),
+                  F.avg(rate * (1 - rate) / F.col("n")).alias(f"noise_{r}")]
+    seen = hosts.agg(*asked).first()  # one row
+    out = [F.col("host"), F.col("n")]
+    rejected = F.lit(False)
+    for r in RULES:
+        m, v = seen[f"m_{r}"] or 0.0, max((seen[f"v_{r}"] or 0.0) - (seen[f"noise_{r}"] or 0.0), 0.0)
+        strength = min(max(m * (1 - m) / v - 1, 1.0), 1000.0) if v > 0 else 1000.0
+        limit = min(worst_rate, max(least_rate, m + 3 * math.sqrt(m * (1 - m) / (strength + 1))))
+        shrunk = (F.col(r) + F.lit(m * strength)) / (F.col("n") + F.lit(strength))
+        rejected = rejected | (shrunk > F.lit(limit))
+        out += [F.col(r).alias(f"failed_{r}"), shrunk.alias(f"rate_{r}"), F.lit(limit).alias(f"limit_{r}")]
+    return hosts.select(*out, rejected.alias("host_rejected"))
+
+
+def counted_failures(measured: DataFrame, host: Column) -> DataFrame:
+    """Failures by host of measured documents, summed in each task before they are shuffled."""
+    failed = rule_failures()
+    return measured.groupBy(host.alias("host")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(failed[r]).alias(r) for r in RULES])
+
+
+def _small(hosts: DataFrame) -> DataFrame:
+    """Marked for broadcast if there are few hosts."""
+    return F.broadcast(hosts) if hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS else hosts
 
 
 def judge_documents(docs: DataFrame, host_col: str = "source", worst_rate: float = WORST_RATE) -> DataFrame:
-    """Measures, base rule, host rule and verdict of each document; the text is read once."""
-    measured = document_measures(docs, ["doc_id", host_col]).withColumn("base_failed", base_failed())
-    return with_verdicts(staged(measured, "measures"), host_col, worst_rate)
+    """(doc_id, host_col, measures, host_rejected, base_failed, kept) of each document; the text is read once."""
+    measured = staged(document_measures(docs, ["doc_id", host_col]), "measures")
+    host = domain(F.col(f"`{host_col}`"))
+    hosts = host_verdicts(counted_failures(measured, host), worst_rate).select(
+        F.col("host").alias("host_"), "host_rejected")
+    judged = measured.join(_small(hosts), host.eqNullSafe(F.col("host_")), "left").drop("host_")
+    return judged.withColumn("base_failed", base_failed()).withColumn(
+        "kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
 def keep_good_documents(docs: DataFrame, host_col: str = "source", worst_rate: float = WORST_RATE) -> DataFrame:
-    """The documents that the rules keep, with the columns of ``docs``.
-
-    Base failures go in the pass that measures them; of hosts only verdicts are joined back."""
-    judged = document_measures(docs, [host_col]).withColumn("base_failed", base_failed())
-    hosts = host_verdicts(staged(judged.select(host_col, "base_failed"), "measures"), host_col, worst_rate)
-    bad = staged(hosts.where("host_rejected").select("host"), "bad-hosts")
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    marked = document_measures(docs.withColumn("_text_copy", F.col("text")), docs.columns, "_text_copy")
-    good = marked.where(~base_failed()).select(*own)
-    if bad.isEmpty():
-        return good
-    if bad.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        bad = F.broadcast(bad)
-    return good.join(bad, F.col(host_col).eqNullSafe(F.col("host")), "left_anti")
+    """The documents that the rules keep, with the columns of ``docs``, whatever their names.
+
+    Texts are measured once. What passes the base rule is staged whole, of the rest only host and failures, until the
+    hosts' verdicts are known."""
+    rows = packed(docs, host=domain(host_col))
+    measured = document_measures(rows, ["row", "host"], "row.text")
+    good = F.when(~base_failed(), F.col("row"))
+    judged = staged(measured.select(
+        good.alias("row"), "host", F.lit(1).cast("long").alias("n"),
+        *[f.cast("long").alias(r) for r, f in rule_failures().items()]), "measures")
+    bad = staged(host_verdicts(judged.select("host", "n", *RULES), worst_rate).where("host_rejected").select(
+        F.col("host").alias("host_")), "bad-hosts")
+    kept = judged.where("row IS NOT NULL").select("row", "host")
+    if not bad.isEmpty():
+        kept = kept.join(_small(bad), F.expr("host <=> host_"), "left_anti")
+    return unpacked(kept, docs.columns)
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -158,10 +200,23 @@ def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
     return judge_documents(docs).select("doc_id", *_MEASURES, "base_failed", "kept", "host_rejected")
 
 
+_SQL_RULES = {"short": "n_words < 20", "repeated": "100 * n_repeat_words > 30 * n_words",
+              "symbols": "100 * n_symbols > 50 * n_words"}
+_SQL_HOSTS = ", ".join(f"count(*) FILTER ({c}) AS {r}" for r, c in _SQL_RULES.items())
+_SQL_MOMENTS = ", ".join(
+    f"avg({r} / n) AS m_{r}, greatest(var_pop({r} / n) - avg({r} / n * (1 - {r} / n) / n), 0) AS v_{r}" for r in _SQL_RULES)
+_SQL_PRIORS = ", ".join(
+    f"greatest(1.0, least(1000.0, coalesce(m_{r} * (1 - m_{r}) / nullif(v_{r}, 0) - 1, 1000.0))) AS s_{r}" for r in _SQL_RULES)
+_SQL_REJECTED = " OR ".join(
+    f"({r} + m_{r} * s_{r}) / (n + s_{r}) > least(0.8, greatest(0.5, m_{r} + 3 * sqrt(m_{r} * (1 - m_{r}) / (s_{r} + 1))))"
+    for r in _SQL_RULES)
+
 QUERIES = {"op5_quality_rules": op5_quality_rules}
 ORACLE = {
     "op5_quality_rules": r"""
-WITH texts AS (SELECT doc_id, source, coalesce(text, '') AS text,
+WITH texts AS (SELECT doc_id, CASE WHEN regexp_matches(source, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?[^/?#:]+') THEN
+                 regexp_replace(lower(regexp_extract(source, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www\.', '')
+                 ELSE source END AS host, coalesce(text, '') AS text,
                       coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
 dup_lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (
                 SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts)
@@ -170,18 +225,17 @@ wins AS (SELECT doc_id, i, w[i:i + 7] AS win FROM (
            SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM texts WHERE len(w) >= 8)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM wins) WHERE n > 1),
 cover AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(8) t(k) GROUP BY 1),
-base AS (SELECT t.doc_id, t.source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+base AS (SELECT t.doc_id, t.host, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
                 (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
                 coalesce(d.n, 0)::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
          FROM texts t LEFT JOIN dup_lines d ON d.doc_id = t.doc_id LEFT JOIN cover c ON c.doc_id = t.doc_id),
 judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base),
-hosts AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS failed FROM judged GROUP BY 1),
-moments AS (SELECT avg(failed / n) AS m, var_pop(failed / n) AS v,
-                   avg(failed / n * (1 - failed / n) / n) AS noise FROM hosts),
-prior AS (SELECT m, greatest(1.0, least(1000.0, coalesce(m * (1 - m) / nullif(greatest(v - noise, 0), 0) - 1, 1000.0))) AS s
-          FROM moments),
-verdicts AS (SELECT source, (failed + m * s) / (n + s) > 0.8 AS host_rejected FROM hosts, prior)
+"""
+    + f"""hosts AS (SELECT host, count(*) AS n, {_SQL_HOSTS} FROM judged GROUP BY 1),
+moments AS (SELECT {_SQL_MOMENTS} FROM hosts),
+priors AS (SELECT *, {_SQL_PRIORS} FROM moments),
+verdicts AS (SELECT host, {_SQL_REJECTED} AS host_rejected FROM hosts, priors)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT host_rejected AS kept, host_rejected
-FROM judged j JOIN verdicts v ON j.source IS NOT DISTINCT FROM v.source"""
+FROM judged j JOIN verdicts v ON j.host IS NOT DISTINCT FROM v.host"""
 }
