@@ -261,6 +261,47 @@ def test_ngram_join_groups(spark):
     assert sorted(map(tuple, found)) == sorted(brute_components(rows).values())
 
 
+def test_ngram_join_through_trees(spark):
+    """Windows that slide over one long text: every shingle is in a large group, and most windows do not link with the
+    central one, so the trees have to find links."""
+    rng = random.Random(8)
+    stream = [f"s{rng.randrange(100_000)}" for _ in range(1300)]
+    rows = [(i, " ".join(stream[3 * i : 3 * i + 100])) for i in range(400)]
+    passage = [f"p{i}" for i in range(30)]
+    rows += [(1000 + i, " ".join(passage + [f"t{rng.randrange(100_000)}" for _ in range(40)])) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    _, nodes, first, more = ngram_join.jaccard_links(df)
+    doc = {r["node"]: r["doc"] for r in nodes.collect()}
+    parent = {d: d for d, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    by_tree = more.collect()
+    for a, b in (*first.collect(), *by_tree):
+        x, y = find(doc[a]), find(doc[b])
+        parent[max(x, y)] = min(x, y)
+    assert [(d, find(d)) for d, _ in rows] == [(d, c) for d, _, c in brute_components(rows).values()]
+    assert len(by_tree) > 100
+
+
+def test_boxes_bound_their_points(spark, docs):
+    """The rows of a tree: each point is in a leaf of its cluster and size class, boxes hold what is below them."""
+    sketches = ngram_join._sketches(docs).where("node IS NOT NULL").dropDuplicates(["node"])
+    members = sketches.selectExpr("1L AS cluster", "CAST(NULL AS bigint) AS anchor", "node AS comp", "node", "n", "place", "vec")
+    tree = ngram_join.packed_tree(members).collect()
+    boxes = {r["id"]: r for r in tree if r["level"]}
+    assert sorted(r["node"] for r in tree if not r["level"]) == sorted(r["node"] for r in members.collect())
+    for r in tree:
+        box = boxes.get(r["id"] if not r["level"] else r["parent"])
+        if box is not None and r["level"] < 2:
+            assert (box["bin"], box["cluster"]) == (r["bin"], r["cluster"]) and box["n"] <= r["n"] <= r["most"] <= box["most"]
+            inner, outer = ngram_join.points([bytes(r["vec"])]), ngram_join.points([bytes(box["vec"])])
+            assert (np.minimum(inner, 255) <= outer).all() and box["comp"] <= r["comp"] and r["last"] <= box["last"]
+
+
 def test_ngram_join_odd(odd, empty):
     found = defaultdict(list)
     for r in ngram_join.jaccard_components(odd).collect():
@@ -319,6 +360,19 @@ def test_bad_hosts_go(spark):
     assert {r["doc_id"] for r in out if r["kept"]} == {r["doc_id"] for r in quality_rules.keep_good_documents(df).collect()}
 
 
+def test_documents_of_bad_hosts_go_with_them(spark):
+    """A planted host whose documents mostly fail one rule; URLs of one domain are one host; alike hosts stay."""
+    good = " ".join(f"w{i}" for i in range(30))
+    signs = " ".join("# $ % & <".split() * 6)
+    rows = [(i, signs if i % 10 else good, ["https://www.Bad.example/a", "http://bad.example:80/b"][i % 2]) for i in range(200)]
+    rows += [(1000 + i, good if i % 12 else "x", f"http://h{i % 9}.example/{i}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    out = quality_rules.judge_documents(df).collect()
+    alone = {r["doc_id"] for r in out if not r["base_failed"] and not r["kept"]}
+    assert alone == {r["doc_id"] for r in out if r["doc_id"] < 1000 and not r["base_failed"]} and len(alone) == 20
+    assert {r["doc_id"] for r in out if r["kept"]} == {r["doc_id"] for r in quality_rules.keep_good_documents(df).collect()}
+
+
 def test_quality_odd(odd, empty):
     out = quality_rules.judge_documents(odd).collect()
     assert len(out) == odd.count() and all(not r["kept"] for r in out if r["doc_id"] in (4, 5, 6))
@@ -579,7 +633,7 @@ def test_warc_round_trip(spark):
 
 def test_components(spark):
     rng = random.Random(9)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000, 1000 + i) for i in range(1, 200)] + [(2000 + i, 2001 + i) for i in range(60)]
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000, 1000 + i) for i in range(1, 200)] + [(2000 + i, 2001 + i) for i in range(3000)]
     parent = {}
 
     def find(x):
@@ -657,6 +711,25 @@ def test_pipeline_against_brute_force(spark, docs, library):
     assert len(corpus_pipeline.STAGES) == 5 and got == sorted(want)
 
 
+#: Names that operators of the pipeline use inside, and those of earlier versions.
+INNER = ("row n_words host host_ doc doc_ fp fp_ drop gone _fp _doc _row _id _source _n _size id id_ origin origin_ size size_ "
+         "place places times time copies node rank prefix vec base_failed symbols short repeated text_ _text_ n key").split()
+
+
+def test_pipeline_stages_keep_clashing_columns(spark, odd):
+    from pyspark.sql import functions as F
+
+    base = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    wide = base.select("*", *[F.concat(F.lit(f"{c}:"), F.coalesce("text", F.lit("-"))).alias(c) for c in INNER])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, DIR)
+        assert out.columns == wide.columns, name
+        plain = stage(spark, base, DIR)
+        assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter((r["doc_id"], r["text"]) for r in plain.collect())
+        before = {(r["doc_id"], *[r[c] for c in INNER]) for r in wide.collect()}
+        assert all((r["doc_id"], *[r[c] for c in INNER]) in before for r in out.collect()), name
+
+
 def test_pipeline_stages_on_odd_rows(spark, odd, empty):
     for df in (odd, empty):
         for name, stage in corpus_pipeline.STAGES[:-1]:
