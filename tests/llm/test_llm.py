@@ -542,6 +542,79 @@ def test_html_constants_inside_articles_stay(spark):
     assert page_texts(spark, [page.format(i) for i in range(8)]) == [f"Note: one{i} two see\n\nSame\n\ncell" for i in range(8)]
 
 
+def test_html_keeps_article_text():
+    for page, want in {
+        '<article><p title="the hidden truth">keep me</p></article>': "keep me",
+        '<article><p>see <a href="/the-hidden-cost">the hidden cost</a> now</p></article>': "see the hidden cost now",
+        '<article><p data-id="related">keep me</p></article>': "keep me",
+        '<article><section class="search results">found</section></article>': "found",
+        '<body class="has-sidebar ad-page"><div class="sidebar-left"><article>m</article></div>': "m",
+        '<form><article>m</article></form>': "m",
+        '<div class="sidebar"><article>teaser</article></div><article>m<div id="comments"><p>c</p></div></article>': "m",
+        '<article>a<div class=ad>b</div><div class="top-ads">c</div><p hidden>d</p><aside>e</aside>f</article>': "a\n\nf",
+        '<article title="a>b" data-x=\'"\'>m &lt;p&gt;</article>': "m <p>",
+        '<article><p>a<p>b<b>c<p>d</article>e': "a\n\nbc\n\nd",
+    }.items():
+        assert html_extraction.main_text(page) == want, page
+
+
+def test_html_any_size_and_depth(spark):
+    import time
+
+    deep = "<div>" * 100_000 + "x"
+    hard = [deep, "<div>" * 60_000 + "<p>" + "<b>" * 60_000 + "y", "<a " * 6_000, "<b>" * 20_000 + "</i>" * 20_000 + "z",
+            "<i><article>" + "<b>" * 20_000 + "</i>" * 20_000 + "w", "<b>" * 20_000 + "<h1></h1>" * 20_000 + "v",
+            "<p>a<!--" * 5_000, "<a b='" * 5_001 + ">", "<dl>" + "<dt>k<dd><i>v</i>" * 3_000 + "</dl>", "word " * 200_000]
+    begun = time.time()
+    assert [html_extraction.main_text(p)[-1:] for p in hard[:6]] == ["x", "y", "", "z", "w", "v"]
+    for p in hard[6:]:
+        html_extraction.main_text(p)
+    got = page_texts(spark, [deep, deep + "y", "<p>plain</p>", *hard[1:]])
+    assert got[:3] == ["x", "xy", "plain"] and time.time() - begun < 60
+
+
+def templated(rng, words, articles):
+    """A page of a made template: constant blocks and slots, and the text of the slots."""
+    def some(lo, hi):
+        return " ".join(rng.choice(words) for _ in range(rng.randint(lo, hi)))
+    title, paras, note = some(2, 6), [some(5, 30) for _ in range(rng.randint(1, 4))], some(3, 8)
+    body = "".join(f"<p>{p}</p>" for p in paras)
+    inner = f"<h1>{title}</h1><div class='share'>Tell your friends</div><div class='text'>{body}</div><div class='related'>{note}</div>"
+    if articles:
+        inner = f"<article>{inner}</article>"
+    page = (f"<html><head><title>{title}</title></head><body><div class='top'>The shop of things</div><ul><li><a href='/'>Start</a></li>"
+            f"<li><a href='/x'>More</a></li></ul>{inner}<div class='box'><p>We ship to all places</p></div><div>Imprint</div></body></html>")
+    return page, "\n\n".join([title, *paras, note])
+
+
+@pytest.mark.parametrize("articles", [False, True])
+@pytest.mark.parametrize("n", [2, 3, 40])
+def test_wrappers_against_known_templates(spark, articles, n):
+    """Constant blocks go and slots stay, which marks alone do not do: outside articles, and inside for weak words."""
+    rng = random.Random(n)
+    words = [f"w{i}" for i in range(300)]
+    made = [templated(rng, words, articles) for _ in range(n)]
+    made += made[:1] * 5  # repeated pages count once
+    assert page_texts(spark, [p for p, _ in made]) == [t for _, t in made]
+    alone = [html_extraction.main_text(p) for p, _ in made]
+    assert all(a != t for a, (_, t) in zip(alone, made))
+
+
+def test_wrappers_are_shared_by_shuffle_too(spark, monkeypatch):
+    rng = random.Random(7)
+    made = [templated(rng, [f"w{i}" for i in range(300)], False) for _ in range(30)]
+    monkeypatch.setattr(html_extraction, "BROADCAST_BYTES", 10)
+    assert page_texts(spark, [p for p, _ in made]) == [t for _, t in made]
+
+
+def test_html_repeated_and_clashing(spark):
+    rows = [(1, "http://h.example/1", "<p>a</p>")] * 3 + [(None, "http://h.example/2", None), (2, "http://h.example/2", "<p>b</p>")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr(
+        "*", *[f"'k' as {c}" for c in ("host", "hash", "reference", "constant", "row", "salt", "text")])
+    out = html_extraction.extract_main_text(df).collect()
+    assert sorted(r["text"] for r in out) == ["", "a", "a", "a", "b"]
+
+
 # 9 lines ---------------------------------------------------------------------------------------------------------------------
 
 
