@@ -82,14 +82,62 @@ _ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 _LEVELS = [("or",), ("and",), ("==", "!=", "<", ">", "<=", ">=", "in"), ("+", "-", "~"), ("*", "%")]
 
 
+#: Code points that a value made by ``+`` or ``~`` may have, and those of a constant that is folded.
+LONGEST, LONGEST_CONSTANT = 1 << 28, 10_000
+
+
+def _joined(a, b) -> str:
+    a, b = _text(a), _text(b)
+    if len(a) + len(b) > LONGEST:
+        raise TemplateError("a value is too long")
+    return a + b
+
+
 def _add(a, b):
-    return a + b if isinstance(a, (int, float)) and isinstance(b, (int, float)) else _text(a) + _text(b)
+    return a + b if _numbers(a, b) else _joined(a, b)
+
+
+def _numbers(a, b) -> bool:
+    return isinstance(a, (int, float)) and isinstance(b, (int, float))
+
+
+def _arithmetic(sign: str, f: Callable) -> Callable:
+    """Of numbers only: texts are neither repeated nor formatted."""
+
+    def run(a, b):
+        if not _numbers(a, b):
+            raise TemplateError(f"{sign} takes numbers")
+        try:
+            return f(a, b)
+        except ArithmeticError as e:
+            raise TemplateError(f"{sign}: {e}") from e
+
+    return run
+
+
+def _ordered(sign: str, f: Callable) -> Callable:
+    def run(a, b):
+        if not _numbers(a, b) and not (isinstance(a, str) and isinstance(b, str)):
+            raise TemplateError(f"{sign} takes two numbers or two texts")
+        return f(a, b)
+
+    return run
+
+
+def _holds(a, b) -> bool:
+    if isinstance(b, str) and isinstance(a, str) or isinstance(b, list):
+        return a in b
+    if isinstance(b, dict):
+        return isinstance(a, (str, int, float, bool)) and a in b
+    raise TemplateError("in takes a text, a list or a mapping")
 
 
 _BINARY: dict[str, Callable] = {
-    "==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, ">": lambda a, b: a > b,
-    "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b, "in": lambda a, b: a in b, "+": _add,
-    "-": lambda a, b: a - b, "~": lambda a, b: _text(a) + _text(b), "*": lambda a, b: a * b, "%": lambda a, b: a % b,
+    "==": lambda a, b: a == b, "!=": lambda a, b: a != b, "+": _add, "~": _joined, "in": _holds,
+    "<": _ordered("<", lambda a, b: a < b), ">": _ordered(">", lambda a, b: a > b),
+    "<=": _ordered("<=", lambda a, b: a <= b), ">=": _ordered(">=", lambda a, b: a >= b),
+    "-": _arithmetic("-", lambda a, b: a - b), "*": _arithmetic("*", lambda a, b: a * b),
+    "%": _arithmetic("%", lambda a, b: a % b),
 }
 
 
@@ -178,7 +226,10 @@ class _Expression:
 
 
 def parse_expression(source: str):
-    return _Expression(source).whole()
+    try:
+        return _Expression(source).whole()
+    except RecursionError as e:
+        raise TemplateError("an expression is nested too deeply") from e
 
 
 def parse(template: str) -> list:
@@ -210,13 +261,13 @@ def parse(template: str) -> list:
         elif word in ("elif", "else"):
             kind, _ = stack.pop()
             if kind != "if":
-                raise TemplateError(f"{word} outside if")
+                raise TemplateError(f"{word} outside if" if kind != "else" else f"{word} after else")
             node = stack[-1][1][-1]
             if word == "elif":
                 node[1].append((parse_expression(rest), []))
                 stack.append(("if", node[1][-1][1]))
             else:
-                stack.append(("if", node[2]))
+                stack.append(("else", node[2]))
         elif word == "for":
             name, mark, of = rest.partition(" in ")
             if not mark or not name.strip().isidentifier():
@@ -233,7 +284,7 @@ def parse(template: str) -> list:
             node = ["generation", []]
             body.append(node)
             stack.append(("generation", node[1]))
-        elif word.startswith("end") and word[3:] == stack[-1][0] and len(stack) > 1:
+        elif word.startswith("end") and len(stack) > 1 and word[3:] == {"else": "if"}.get(stack[-1][0], stack[-1][0]):
             stack.pop()
         else:
             raise TemplateError(f"unexpected {word!r}")
@@ -256,7 +307,9 @@ def fold_expression(e):
     if kind in ("and", "or") and parts[0][0] == "const":
         return parts[1] if bool(parts[0][1]) == (kind == "and") else parts[0]
     if all(p[0] == "const" for p in parts if isinstance(p, tuple)):
-        return ("const", _closure(folded)({}))
+        value = _closure(folded)({})
+        if not isinstance(value, str) or len(value) <= LONGEST_CONSTANT:
+            return ("const", value)
     return folded
 
 
