@@ -2,8 +2,9 @@
 
 Learning. Words of labelled documents are counted by label. A word's log-odds of the toxic label comes from its
 counts under a Dirichlet prior whose mean is the estimate of a broader unit: the word's first five characters, for
-these the first four, for these the common rate. Log-odds that are less than two standard errors from zero count
-as zero. A word's score is its log-odds less a drift, so that ordinary text scores negative.
+these the first four, for these the common rate. Log-odds that are less than ``Z`` (four) standard errors from zero
+count as zero. A word's score is its signed log-odds, held within ``MOST``, less a drift, so that ordinary text scores
+negative and words that speak against toxicity cost more than others.
 
 Search. A linear-time scan (Ruzzo and Tompa) finds all maximal scoring segments of a document. With n words, a
 segment of score S is expected E = K n exp(-L S) times by chance; L and K (the extreme-value parameters) are fitted
@@ -12,11 +13,15 @@ through a logistic curve fitted to the labelled documents, is the document's sco
 without their own counts.
 
 Labels of at most SAMPLE documents are used (those with the smallest hash of their id, a documented bound that
-makes learning a fixed cost); every document is scored, over its whole text.
+makes learning a fixed cost, and with it the model, which holds every unit of theirs that occurs twice: a single
+occurrence never is significant, and a word inherits the estimate of its broader unit); every document is scored, over
+its whole text.
 
 Defined cases: null and empty texts have no words and get the curve's value at zero; without labels of both
 kinds the score is the share of toxic ones (0 without labels); a document with several labels is toxic if one is;
-labels that are null are not used; repeated rows are scored each; other columns are not read.
+labels that are null are not used; repeated rows are scored each, and equal texts get equal scores; an empty table gives
+an empty result; long texts take time in proportion to their words; extra columns of any name are not read, and kept
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,8 +42,6 @@ from ._shared import staged
 
 #: Labelled documents used at most for learning.
 SAMPLE = 20_000
-#: Units (words and prefixes) that the model holds at most, those with most toxic occurrences.
-UNITS = 200_000
 FOLDS = 5
 DRIFT = 2.0
 #: Standard errors that log-odds must be away from zero to count.
@@ -61,11 +65,19 @@ def units_of(word: str) -> list[str]:
     return out
 
 
+def unit_hash(unit: str) -> int:
+    """As Spark's ``xxhash64`` of a text."""
+    h = xxhash.xxh64_intdigest(unit.encode("utf-8"), seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 class Model:
-    """Counts of units by label, and the fitted curve."""
+    """Counts of units by label, found by hash, and the fitted curve."""
 
-    def __init__(self, counts: dict[str, tuple[int, int]], toxic: int, clean: int):
-        self.counts, self.toxic, self.clean = counts, max(toxic, 1), max(clean, 1)
+    def __init__(self, units: np.ndarray, a: np.ndarray, b: np.ndarray, toxic: int, clean: int):
+        order = np.argsort(units)
+        self.units, self.a, self.b = units[order], a[order].astype(np.int32), b[order].astype(np.int32)
+        self.toxic, self.clean = max(toxic, 1), max(clean, 1)
         self.base = math.log(self.toxic / self.clean)
         self.rate, self.scale = 1.0, 0.1
         self.slope, self.shift = 1.0, 0.0
@@ -79,10 +91,15 @@ class Model:
         self.__dict__.update(state)
         self._cache = _Scores(self)
 
+    def counts(self, unit: str) -> tuple[int, int]:
+        h = unit_hash(unit)
+        at = int(np.searchsorted(self.units, h))
+        return (int(self.a[at]), int(self.b[at])) if at < len(self.units) and self.units[at] == h else (0, 0)
+
     def log_odds(self, word: str, without: Counter | None = None, toxic: bool = False) -> float:
         odds, common = 0.0, self.toxic / (self.toxic + self.clean)
         for unit in reversed(units_of(word)):
-            a, b = self.counts.get(unit, (0, 0))
+            a, b = self.counts(unit)
             if without:
                 own = without[unit]
                 a, b = (a - own, b) if toxic else (a, b - own)
@@ -97,17 +114,19 @@ class Model:
         return odds
 
     def score(self, word: str, without: Counter | None = None, toxic: bool = False) -> float:
-        """Positive for words that speak for toxicity, else 0 (they cost the drift)."""
-        return max(0.0, min(self.log_odds(word, without, toxic), MOST) - DRIFT)
+        """Signed: positive for words that speak for toxicity, the drift below zero for those that say nothing."""
+        return max(-MOST, min(self.log_odds(word, without, toxic), MOST)) - DRIFT
 
-    def hits(self, words: list[str]) -> list[tuple[int, float]]:
-        return [(i, s) for i, s in enumerate(map(self._cache.__getitem__, words)) if s]
+    def scores(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self._cache.__getitem__, words), float, len(words))
 
     def passages(self, words: list[str]) -> list[tuple[int, int, float, float]]:
         """Significant passages: first word, word after the last, score, expected number by chance."""
-        n = len(words)
+        return self.significant(scored_segments(self.scores(words)), len(words))
+
+    def significant(self, segs: list[tuple[int, int, float]], n: int) -> list[tuple[int, int, float, float]]:
         found = []
-        for lo, hi, s in segments(self.hits(words)):
+        for lo, hi, s in segs:
             e = self.scale * n * math.exp(-self.rate * s)
             if e < 1:
                 found.append((lo, hi, s, e))
@@ -116,10 +135,10 @@ class Model:
     def evidence(self, segs: list[tuple[int, int, float]], n: int) -> float:
         return sum(max(0.0, self.rate * s - math.log(self.scale * n)) for _, _, s in segs)
 
-    def probability(self, words: list[str]) -> float:
+    def probability(self, segs: list[tuple[int, int, float]], n: int) -> float:
         if self.constant is not None:
             return self.constant
-        x = self.evidence(segments(self.hits(words)), max(len(words), 1))
+        x = self.evidence(segs, max(n, 1))
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.slope * x + self.shift))))
 
 
@@ -139,15 +158,12 @@ class _Scores(dict):
         return s
 
 
-def segments(hits: list[tuple[int, float]], drift: float = DRIFT) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments in linear time, where words that are no hit score ``-drift``."""
-    found: list[list[float]] = []  # start, end, sum before, sum after
-    total, at = 0.0, 0
-    for i, s in hits:
-        total -= drift * (i - at)
-        left, total = total, total + s
-        at = i + 1
-        cur = [i, i + 1, left, total]
+def _scan(at: list[int], before: list[float], after: list[float]) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments in linear time, from the words that score above zero: their places, and the sums
+    of all scores before and after them."""
+    found: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum after
+    for i, left, total in zip(at, before, after):
+        cur = (i, i + 1, left, total)
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][2] >= cur[2]:
@@ -155,9 +171,31 @@ def segments(hits: list[tuple[int, float]], drift: float = DRIFT) -> list[tuple[
             if j < 0 or found[j][3] >= cur[3]:
                 found.append(cur)
                 break
-            cur = [found[j][0], cur[1], found[j][2], cur[3]]
+            cur = (found[j][0], cur[1], found[j][2], cur[3])
             del found[j:]
-    return [(int(a), int(b), r - l) for a, b, l, r in found]
+    return [(a, b, r - l) for a, b, l, r in found]
+
+
+def scored_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """The maximal scoring segments of a sequence of scores: first place, place after the last, score."""
+    at = np.flatnonzero(scores > 0)
+    if not len(at):
+        return []
+    total = np.cumsum(scores)
+    return _scan(at.tolist(), (total[at] - scores[at]).tolist(), total[at].tolist())
+
+
+def segments(hits: list[tuple[int, float]], drift: float = DRIFT) -> list[tuple[int, int, float]]:
+    """The same where all words but some hits score ``-drift``."""
+    at, before, after, total, last = [], [], [], 0.0, 0
+    for i, s in hits:
+        total -= drift * (i - last)
+        at.append(i)
+        before.append(total)
+        total += s
+        after.append(total)
+        last = i + 1
+    return _scan(at, before, after)
 
 
 def _gumbel(best: np.ndarray, n: np.ndarray) -> tuple[float, float]:
@@ -226,8 +264,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         .groupBy("unit").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     )
     total = words.agg(F.sum("a"), F.sum("b")).first()
-    best = units.where("a >= 2").orderBy(F.desc("a"), "unit").limit(UNITS).collect()
-    model = Model({r[0]: (r[1], r[2]) for r in best}, total[0] or 0, total[1] or 0)
+    held = units.where("a + b >= 2").select(F.xxhash64("unit"), "a", "b").toArrow()  # of at most ``sample`` documents
+    model = Model(*(held.column(i).to_numpy() for i in range(3)), total[0] or 0, total[1] or 0)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rescore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 kinds = set(words)
                 own = Counter(u for w in kinds for u in units_of(w))
                 memo = {w: m.score(w, own, bool(toxic)) for w in kinds}
-                segs = segments([(i, memo[w]) for i, w in enumerate(words) if memo[w]])
+                segs = scored_segments(np.fromiter(map(memo.__getitem__, words), float, len(words)))
                 out.append((toxic, len(words), [s for _, _, s in segs]))
             yield pa.RecordBatch.from_arrays([
                 pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int64()),
@@ -273,13 +311,17 @@ def score_documents(docs: DataFrame, model: Model, keep: list[str], text_col: st
             scores, found = [], []
             for text in batch.column(batch.num_columns - 1):
                 words = tokens(text.as_py())
-                scores.append(m.probability(words))
-                found.append([{"first": a, "after": b, "score": s} for a, b, s, _ in m.passages(words)])
+                segs = scored_segments(m.scores(words))
+                scores.append(m.probability(segs, len(words)))
+                found.append([{"first": a, "after": b, "score": s} for a, b, s, _ in m.significant(segs, len(words))])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in range(len(keep))] + [pa.array(scores, pa.float64()), pa.array(found, kind)],
-                full.names)
+                names)
 
-    return docs.select(*keep, F.col(text_col).alias("_text_")).mapInArrow(run, full)
+    names = [*[f"kept_{i}" for i in range(len(keep))], *full.names[len(keep):]]
+    typed = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, full.fields)])
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], F.col(text_col).alias("_text_"))
+    return rows.mapInArrow(run, typed).toDF(*full.names)
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
