@@ -2,11 +2,12 @@
 
 A fingerprint holds the k smallest hashes of a text's distinct 5-word shingles. Sketches of parts merge into the
 sketch of the whole (the k smallest of their union). From two sketches the resemblance (Jaccard), the containment
-and from one the number of distinct shingles are estimated; while a set has no more than k shingles, exactly.
+and from one the number of distinct shingles are estimated; while sets have fewer than k shingles, exactly.
 
 Defined cases: null and empty texts have the empty fingerprint, which is like itself (1.0) and unlike all others
 (0.0); texts with fewer than five words have one shingle, the whole sequence; a document alone in its table is its
-own next document; rows with equal ids are ordered by text; null ids come first; extra columns are not read.
+own next document; rows with equal ids are ordered by text; null ids come first; texts of any length are taken whole;
+an empty table gives an empty result; extra columns of any name are not read.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,12 +69,13 @@ def fingerprint_column(docs: DataFrame, text_col: str = "text", out: str = "fing
 
 
 def merge_fingerprints(sketches: DataFrame, by: list[str], col: str = "fingerprint", k: int = K) -> DataFrame:
-    """The sketch of each group's union. Each task keeps k hashes a group before anything is shuffled by group."""
+    """The sketch of each group's union: of each group's hashes, dealt in 64 parts, the k smallest a part, and of these
+    the k smallest. A group that holds most sketches is spread over the parts; window limits keep k rows a group in
+    each task before a shuffle."""
+    hashes = sketches.select(*by, F.explode(col).alias("_h")).withColumn("_part", F.pmod(F.xxhash64("_h"), F.lit(64)))
     order = F.col("_h").asc()
-    part = F.pmod(F.xxhash64("_h"), F.lit(64))
-    hashes = sketches.select(*by, F.explode(col).alias("_h")).distinct().withColumn("_part", part)
-    some = hashes.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(order)))
-    some = some.where(F.col("_n") <= k)
+    some = hashes.withColumn("_n", F.dense_rank().over(Window.partitionBy(*by, "_part").orderBy(order)))
+    some = some.where(F.col("_n") <= k).groupBy(*by, "_part", "_h").agg(F.lit(1).alias("_one"))
     best = some.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(order))).where(F.col("_n") <= k)
     return best.groupBy(*by).agg(F.sort_array(F.collect_list("_h")).alias(col))
 
@@ -106,30 +109,38 @@ def encoded(s: np.ndarray) -> str:
 def with_next_document(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(bucket, extra, id, text) dealt so that a task holds runs of neighbouring documents in order.
 
-    Buckets are ranges of the id with bounds taken as quantiles; each bucket also gets, marked as extra, the first
-    document of the next bucket (the last bucket that of the first), so texts are shuffled once."""
+    Buckets are ranges of the id with bounds taken as quantiles (four times as many as shuffle partitions); each
+    bucket also gets, marked as extra, the first document of the next bucket (the last bucket that of the first), so
+    texts are read and shuffled once. A document's bucket is found by binary search, not in the plan."""
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     number = F.coalesce(F.col(id_col).cast("double"), F.lit(float("-inf")))
     steps = [i / (4 * parts) for i in range(1, 4 * parts)]
     row = docs.agg(F.percentile_approx(id_col, steps, 10_000)).first()
-    bounds = sorted(set(row[0] or []))
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), number.alias("_number"))
-    limits = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
-    bucket = F.size(F.filter(limits, lambda b: b <= F.col("_number")))
-    own = own.withColumn("bucket", bucket)
-    firsts = sorted(own.groupBy("bucket").agg(F.min("_number").alias("first")).collect())  # one row per bucket
-    if not firsts:
-        return own.select("bucket", F.lit(0).alias("extra"), "id", "text")
-    before = {firsts[(i + 1) % len(firsts)]["first"]: r["bucket"] for i, r in enumerate(firsts)}
-    to = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    extra = own.where(F.col("_number").isin(list(before))).withColumn("bucket", to[F.col("_number")])
-    if any(b == float("-inf") for b in before):
-        extra = own.where(F.col("_number").isin(list(before)) | F.col("id").isNull()).withColumn(
-            "bucket", to[F.col("_number")])
-    both = own.withColumn("extra", F.lit(0)).unionByName(extra.withColumn("extra", F.lit(1)))
+    bounds = np.array(sorted(set(row[0] or [])), float)
+
+    @F.pandas_udf("int")
+    def bucket_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, ids.to_numpy(float), "right"), dtype="int32")
+
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), number.alias("number"))
+    firsts = sorted(docs.select(number.alias("number")).groupBy(bucket_of("number").alias("bucket")).agg(
+        F.min("number").alias("first")).collect())  # one row per bucket
+    first = np.array([r["first"] for r in firsts], float)
+    before = np.array([firsts[i - 1]["bucket"] for i in range(len(firsts))], "int32")
+
+    @F.pandas_udf("array<int>")
+    def buckets_of(ids: pd.Series) -> pd.Series:
+        """A document's bucket, and for the first of a bucket the one before."""
+        ids = ids.to_numpy(float)
+        mine = np.searchsorted(bounds, ids, "right").astype("int32")
+        at = np.minimum(np.searchsorted(first, ids), max(len(first) - 1, 0))
+        heads = first[at] == ids if len(first) else np.zeros(len(ids), bool)
+        return pd.Series([[m, before[a]] if h else [m] for m, a, h in zip(mine, at, heads)])
+
     return (
-        both.select("bucket", "extra", "id", "text")
+        own.select("id", "text", F.posexplode(buckets_of("number")).alias("extra", "bucket"))
+        .select("bucket", "extra", "id", "text")
         .repartition(parts, "bucket")
         .sortWithinPartitions("bucket", "extra", "id", "text")
     )
