@@ -11,7 +11,7 @@ import pytest
 
 import corpus_pipeline
 from tableloom.llm import (
-    _shared, chat_format, fingerprints, html_extraction, line_dedup, mixing, ngram_join, piece_tokenizer,
+    _shared, _text, chat_format, fingerprints, html_extraction, line_dedup, mixing, ngram_join, piece_tokenizer,
     quality_rules, queries, toxicity, warc,
 )
 
@@ -75,6 +75,12 @@ def test_fingerprints_against_brute_force(spark, texts):
         assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         a, b = shingles(t), shingles(edited)
         errors.append(abs(r["near_edited"] - (len(a & b) / len(a | b) if a | b else 1.0)))
+        c = shingles(after)
+        errors.append(abs(r["near_next"] - (len(a & c) / len(a | c) if a | c else 1.0)))
+        for name, whole in (("fingerprint", t), ("edited_fingerprint", edited)):
+            data = np.frombuffer(whole.encode(), np.uint8)
+            s = next(_text.shingle_sets(data, np.array([0, len(data)])))
+            assert len(s) == len(shingles(whole)) and r[name] == fingerprints.encoded(np.sort(s)[: fingerprints.K])
     assert max(errors) < 0.15 and sum(errors) / len(errors) < 0.02
 
 
@@ -101,6 +107,24 @@ def test_fingerprints_merge_and_estimate(spark, odd):
     assert abs(j - 0.6) < 0.12 and c > 0.8
 
 
+def test_fingerprints_in_many_buckets(spark, texts):
+    """The neighbours are the same however many ranges the ids are dealt in; ids may be negative, far apart or null."""
+    rng = random.Random(6)
+    ids = sorted(rng.sample(range(-10**9, 10**9), 150))
+    rows = [(d, " ".join(rng.choice("abcdefgh") * 3 for _ in range(rng.randint(0, 40)))) for d in ids]
+    df = spark.createDataFrame(rows + [(None, "first of all")], "doc_id bigint, text string").selectExpr("*", "0 as bucket", "0 as extra")
+    order = ["first of all", *[t for _, t in rows]]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (1, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = {r["doc_id"]: r["edited_sha256"] for r in fingerprints.fingerprint_edits(df).collect()}
+            want = [t[: len(t) - len(t) // 2] + order[(i + 1) % len(order)][: len(t) // 2] for i, t in enumerate(order)]
+            assert got == dict(zip([None, *ids], [hashlib.sha256(w.encode()).hexdigest() for w in want]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 # 2 mixing ---------------------------------------------------------------------------------------------------------------
 
 
@@ -187,6 +211,16 @@ def test_templates():
             T(bad).render()
 
 
+def test_templates_are_a_sandbox():
+    T = chat_format.Template
+    for bad in ("{{ 'a' * 50000000 }}", "{{ 50000000 * 'a' }}", "{{ 1 < 'a' }}", "{{ '%9d' % 3 }}", "{{ 1 % 0 }}", "{{ 1 - 'a' }}", "{{ 1 in 2 }}",
+                "{% if x %}a{% else %}b{% else %}c{% endif %}", "{% if x %}a{% else %}b{% elif y %}c{% endif %}", "{% if x %}{% else %}{% endelse %}",
+                "{{ " + "(" * 5000 + "1" + ")" * 5000 + " }}", "{% set x = 'ab' %}" + "{% set x = x ~ x %}" * 60 + "{{ x }}"):
+        with pytest.raises(chat_format.TemplateError):
+            T(bad).render()
+    assert T("{% if x %}a{% else %}b{% endif %}{{ 7 % 4 * 2 }}{{ 'b' in 'abc' }}{{ 'a' < 'b' }}").render()[0] == "b6truetrue"
+
+
 def test_chat_odd(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a</s>"), (2, 0, None, None), (2, 0, None, None), (None, 0, "user", "x"), (3, None, "assistant", "\\<s>")]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").selectExpr("*", "1 as loop")
@@ -425,6 +459,61 @@ def test_toxicity_held_out(spark):
     assert total > 40 and right / total > 0.9
 
 
+def test_toxicity_query_against_brute_force(spark):
+    """The query's scores from the model's own words, with segments, sums and curve worked out plainly."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    m = toxicity.fit(docs, labels)
+    counts = {0: Counter(), 1: Counter()}  # units by document, from plain loops
+    known = {}
+    for r in labels.collect():
+        if r["toxic"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5:
+            known[r["doc_id"]] = max(known.get(r["doc_id"], 0), r["toxic"])
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for d, toxic in known.items():
+        if d in texts:
+            for w in set(re.findall(r"[^\W_]+", (texts[d] or "").lower())):
+                counts[toxic].update({w} | ({w[:4] + "*"} if len(w) > 4 else set()) | ({w[:5] + "*"} if len(w) > 5 else set()))
+    for unit in rng_sample(counts[1] | counts[0], 400):
+        a, b = counts[1][unit], counts[0][unit]
+        assert m.counts(unit) == ((a, b) if a + b >= 2 else (0, 0))
+    rows = {r["doc_id"]: r for r in queries.QUERIES["op6_toxicity"](spark, sf).collect()}
+    for d in rng_sample(texts, 60):
+        words = re.findall(r"[^\W_]+", (texts[d] or "").lower())[:400]
+        scores = [m.score(w) for w in words]
+        got = toxicity.scored_segments(np.array(scores))
+        want = quick_segments(scores)
+        assert [(a, b) for a, b, _ in got] == want and all(abs(s - sum(scores[a:b])) < 1e-6 for a, b, s in got)
+        if len(words) < 400:
+            n = max(len(words), 1)
+            x = sum(max(0.0, m.rate * sum(scores[a:b]) - np.log(m.scale * n)) for a, b in want)
+            assert abs(rows[d]["score"] - 1 / (1 + np.exp(-(m.slope * x + m.shift)))) < 1e-9
+            assert rows[d]["n_passages"] == sum(m.scale * n * np.exp(-m.rate * sum(scores[a:b])) < 1 for a, b in want)
+
+
+def rng_sample(of, n):
+    of = sorted(of)
+    return random.Random(n).sample(of, min(n, len(of)))
+
+
+def quick_segments(scores):
+    """Maximal segments by their recursive definition, the best one of a stretch by prefix sums."""
+    out, todo = [], [(0, len(scores))]
+    while todo:
+        lo, hi = todo.pop()
+        total, low, best = 0.0, (0.0, lo), None
+        for i in range(lo, hi):
+            total += scores[i]
+            if best is None or total - low[0] > best[0] + 1e-12:
+                best = (total - low[0], low[1], i + 1)
+            if total <= low[0]:
+                low = (total, i + 1)
+        if best and best[0] > 1e-12:
+            out.append(best[1:])
+            todo += [(lo, best[1]), (best[2], hi)]
+    return sorted(out)
+
+
 def test_toxicity_odd(spark, odd, empty):
     labels = spark.createDataFrame([(1, 0), (3, 1), (3, None), (None, 1), (99, 1)], "doc_id bigint, toxic int")
     model = toxicity.fit(odd, labels)
@@ -701,6 +790,88 @@ def test_warc_round_trip(spark):
     assert b"error: no HTTP response" in warc.derivatives(junk, b"junk")[0][1] and warc.derivatives(junk, b"junk")[1][1] == b""
 
 
+def test_warc_query_against_brute_force(spark):
+    """The query's rows over the driver's pages, made again with plain code."""
+    import base64
+    import html
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        blocks = set("address article aside blockquote body br div footer form h1 h2 h3 header hr html li main nav ol p table title tr ul".split())
+
+        def __init__(self):
+            super().__init__()
+            self.out, self.hidden, self.title, self.links = [""], None, None, []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("script", "style"):
+                self.hidden = tag
+                self.out[-1] += " "
+            if tag in self.blocks:
+                self.out.append("")
+            if tag == "title":
+                self.title = ""
+            self.links += [v for k, v in attrs if tag == "a" and k == "href"]
+            self.last = tag
+
+        def handle_endtag(self, tag):
+            if tag == self.hidden:
+                self.hidden = None
+            if tag in self.blocks:
+                self.out.append("")
+            self.last = None
+
+        def handle_data(self, data):
+            if self.last == "title":
+                self.title += data
+            if not self.hidden:
+                self.out[-1] += data
+
+        def handle_comment(self, data):
+            self.out[-1] += " "
+
+    sha = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    want = {}
+    for r in spark.read.parquet(f"{DIR}/pages.parquet").collect():
+        body = r["html"].encode()
+        block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body
+        reader = Reader()
+        reader.feed(r["html"])
+        lines = [re.sub(r"[ \t\r\n\f\v]+", " ", x).strip() for x in reader.out]
+        source, payload = warc.record_id("response", r["url"], sha(body)), sha(body)
+        fields = [("source-WARC-Type", "response"), ("source-WARC-Record-ID", source), ("source-WARC-Target-URI", r["url"]),
+                  ("source-WARC-Date", "1970-01-01T00:00:00Z"), ("source-WARC-Payload-Digest", payload), ("source-WARC-Block-Digest", sha(block)),
+                  ("source-Content-Type", "application/http; msgtype=response"), ("source-Content-Length", str(len(block))), ("http-status", "HTTP/1.1 200 OK"),
+                  ("http-Content-Type", "text/html; charset=utf-8"), ("http-Content-Length", str(len(body))), ("title", " ".join(reader.title.split())),
+                  *[("outlink", x) for x in reader.links]]
+        for kind, data in (("metadata", "".join(f"{k}: {v}\r\n" for k, v in fields)), ("conversion", "\n".join(x for x in lines if x))):
+            data = data.encode()
+            want[r["page_id"], kind] = (source, r["url"], sha(data), len(data), payload)
+    got = {(r["page_id"], r["warc_type"]): (r["refers_to"], r["target_uri"], r["block_digest"], r["content_length"], r["source_digest"])
+           for r in queries.QUERIES["op10_warc_derivatives"](spark, DIR).collect()}
+    assert got == want
+
+
+def test_warc_takes_bad_records(spark, tmp_path):
+    made = warc.serialized([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:a>"), ("X-Seen", "one"), ("X-Seen", "two"), ("Content-Length", "2")], b"hi")
+    bad = [None, b"", b"junk", b"WARC/1.1\r\nX:\r\nno colon\r\nContent-Length: many\r\n\r\nbody\r\n\r\n", b"WARC/1.0\r\n\r\n", made,
+           warc.serialized([("Content-Length", "9")], b"HTTP/1.1 200 OK\r\n\r\n" + b"<a " * 40_000 + b"<script>\nvar x=1;" + b"<title>" * 9_000)]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bad)], "page_id bigint, record binary")
+    out = warc.derive_records(df).collect()
+    assert len(out) == 2 * len(bad)
+    meta = {r["page_id"]: warc.parse_record(bytes(r["record"]))[1].decode() for r in out if r["warc_type"] == "metadata"}
+    assert "error: no record" in meta[0] and "error: not a WARC record" in meta[1] and "error: not a WARC" in meta[2]
+    assert "source-X: \r\n" in meta[3] and "source-X-Seen: one\r\nsource-X-Seen: two\r\n" in meta[5]
+    assert all(r["refers_to"] for r in out)
+    assert warc.page_text("a<script>\nvar x=1;") == "a" and warc.page_text("a<!-- b") == "a" and warc.page_text("1 < 2") == "1 < 2"
+    files = warc.write_warc(warc.derive_records(df).repartition(2), f"file://{tmp_path}/out", file_bytes=2_000)
+    assert len(files) > 2 and sorted(p.name for p in (tmp_path / "out").iterdir()) == files
+    back = warc.read_warc(spark, f"file://{tmp_path}/out").collect()
+    assert sorted(bytes(r["record"]) for r in back) == sorted(bytes(r["record"]) for r in out)
+    clash = df.withColumnRenamed("page_id", "warc_type")
+    assert warc.derive_records(clash, ("warc_type",)).count() == 2 * len(bad)
+
+
 # shared, twins and the pipeline ------------------------------------------------------------------------------------------------
 
 
