@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field as _field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +31,11 @@ def _groups(columns: Sequence[str]) -> list[list[str]]:
     return [list(columns[i : i + WIDTH]) for i in range(0, len(columns), WIDTH)]
 
 
-def column_stats(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
+def column_stats(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = False) -> DataFrame:
     """One row per column: counts of rows, nulls, empty and blank texts, missing words and distinct values, least
-    and greatest value and length, whether texts begin with zeros. One aggregation over the table (distinct values
-    in a second if exact)."""
+    and greatest value and length, whether texts begin with zeros. One aggregation over the table. Distinct values
+    are estimated by a sketch; if ``exact``, a second pass shuffles each column's values once, after each task has
+    dropped its repeats."""
     columns = list(columns or df.columns)
     texts = _text_columns(df)
     parts = []
@@ -58,10 +59,11 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None, exact: boo
                 (F.lit(None).cast("bigint") if exact else F.approx_count_distinct(c)).alias("n_distinct")))
         row = df.agg(F.array(*structs).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
         if exact:
-            distinct = df.agg(F.array(*[F.struct(F.lit(n).alias("_c"), F.count_distinct(F.col(f"`{n}`")).alias("_d"))
-                                        for n in group]).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
-            row = row.join(F.broadcast(distinct), F.col("column") == F.col("_c")).withColumn(
-                "n_distinct", F.col("_d")).drop("_c", "_d")  # one row per column
+            values = F.explode(F.array(*[F.struct(F.lit(n).alias("c"), F.col(f"`{n}`").cast("string").alias("v")) for n in group]))
+            distinct = df.select(values.alias("x")).select("x.c", "x.v").where("v IS NOT NULL").distinct().groupBy(
+                F.col("c").alias("_c")).agg(F.count(F.lit(1)).alias("_d"))
+            row = row.join(F.broadcast(distinct), F.col("column") == F.col("_c"), "left").withColumn(
+                "n_distinct", F.coalesce("_d", F.lit(0))).drop("_c", "_d")  # one row per column
         parts.append(row)
     out = parts[0]
     for p in parts[1:]:
@@ -74,28 +76,42 @@ def _attempt(name: str, how: str) -> Val:
     return getattr(scalars, how)(f) if how in COERCIONS else scalars.parse_date(f, how)
 
 
-def parse_rates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, how, n_values, n_passed, rate, examples): how often each coercion and date format reads the texts,
-    with up to three of the least failing texts."""
-    columns = [c for c in (columns or df.columns) if c in _text_columns(df)]
-    parts = []
-    for group in _groups([(c, how) for c in columns for how in (*COERCIONS, *DATE_FORMATS)]):
-        structs = []
-        for name, how in group:
-            v = _attempt(name, how)
-            s = F.col(f"`{name}`")
-            failing = F.when(v.failed, F.left(s, F.lit(EXAMPLE_CHARS)))
+_WAYS = (*COERCIONS, *DATE_FORMATS)
+_RATES = "column string, how string, n_values bigint, n_passed bigint, rate double, examples array<string>"
+
+
+def _attempts(columns: Sequence[str]) -> list[Column]:
+    """Of each row the texts ``s{i}`` and whether each way reads them, ``p{i}_{j}``: every attempt is made once."""
+    return [F.col(f"`{c}`").alias(f"s{i}") for i, c in enumerate(columns)] + [
+        _attempt(c, how).col.isNotNull().alias(f"p{i}_{j}") for i, c in enumerate(columns) for j, how in enumerate(_WAYS)]
+
+
+def _rate_structs(columns: Sequence[str]) -> list[Column]:
+    structs = []
+    for i, name in enumerate(columns):
+        s = F.col(f"s{i}")
+        short = F.left(s, F.lit(EXAMPLE_CHARS))
+        for j, how in enumerate(_WAYS):
+            passed = F.col(f"p{i}_{j}")
+            failing = F.when(s.isNotNull() & ~passed, short)
             structs.append(F.struct(
                 F.lit(name).alias("column"), F.lit(how).alias("how"), F.count(s).alias("n_values"),
-                F.count_if(v.col.isNotNull()).alias("n_passed"),
+                F.count_if(passed).alias("n_passed"),
                 F.array_compact(F.array(F.min(failing), F.max(failing))).alias("examples")))
-        parts.append(df.agg(F.array(*structs).alias("rows")).select(F.explode("rows").alias("r")).select("r.*"))
-    if not parts:
-        return df.sparkSession.createDataFrame(
-            [], "column string, how string, n_values bigint, n_passed bigint, rate double, examples array<string>")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    return structs
+
+
+def parse_rates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(column, how, n_values, n_passed, rate, examples): how often each coercion and date format reads the texts,
+    with up to two failing texts, the least and the greatest."""
+    columns = [c for c in (columns or df.columns) if c in _text_columns(df)]
+    out = None
+    for group in _groups(columns):
+        row = df.select(*_attempts(group)).agg(F.array(*_rate_structs(group)).alias("rows"))
+        part = row.select(F.explode("rows").alias("r")).select("r.*")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return df.sparkSession.createDataFrame([], _RATES)
     return out.select("column", "how", "n_values", "n_passed",
                       F.try_divide("n_passed", "n_values").alias("rate"), F.array_distinct("examples").alias("examples"))
 
@@ -127,33 +143,75 @@ def drift(saved: dict, now: dict) -> str | None:
 
 # --- cleaning ----------------------------------------------------------------------------------------------------------
 
-#: Words in a column's name that mark identifiers (fixed values).
+#: Words in a column's name that mark identifiers, and signs of currencies (fixed values).
 IDENTIFIER_WORDS = frozenset(["id", "zip", "postal", "code", "phone", "account", "sku"])
-_DRESSED = re.compile(r"[$€£¥%]|\d[.,]\d{3}\b|\d\s?[a-zA-Z]{1,4}$")
+CURRENCIES = "$€£¥"
+
+
+def name_words(name: str) -> list[str]:
+    """The words of a column's name in lower case: they end at signs and where a capital follows a small letter."""
+    words, word = [], ""
+    for before, c in zip(" " + name, name):
+        if not c.isalnum() or c.isupper() and (before.islower() or before.isdigit()):
+            words.append(word)
+            word = ""
+        if c.isalnum():
+            word += c.lower()
+    return [w for w in (*words, word) if w]
+
+
+def dressed_as(text: str) -> str | None:
+    """What a number is dressed up with: a currency sign, a percent sign, marks between groups of three digits, or a
+    unit of one to four letters after it. None for texts that are no dressed number."""
+    text = text.strip()
+    if not any(c.isdigit() for c in text):
+        return None
+    if text[0] in CURRENCIES or text[-1] in CURRENCIES:
+        return "currency"
+    if text[-1] == "%":
+        return "percent"
+    bare = text.lstrip("+-")
+    for mark, point in ((",", "."), (".", ",")):
+        head, *groups = bare.split(point)[0].split(mark)
+        if groups and head.isdigit() and len(head) <= 3 and all(len(g) == 3 and g.isdigit() for g in groups):
+            return "groups"
+    number = bare.rstrip("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    unit = bare[len(number):]
+    if 1 <= len(unit) <= 4 and number.rstrip()[-1:].isdigit() and set(number.strip()) <= set("0123456789.,"):
+        return "unit"
+    return None
+
+
+_ROUTES = {(False, False): "none", (True, False): "missing-value", (False, True): "coercion", (True, True): "both"}
 
 
-def is_identifier(name: str, leading_zeros: bool) -> bool:
-    spaced = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name).lower()
-    return leading_zeros or bool(IDENTIFIER_WORDS & set(re.split(r"[^a-z0-9]+", spaced)))
+def route_of(stats, rates: Sequence) -> dict:
+    """The route of one column from its statistics and parse rates, and the reasons for it."""
+    reasons = []
+    missing = stats["n_missing_token"] + stats["n_empty"] + stats["n_blank"]
+    if missing:
+        reasons.append(f"{missing} texts stand for a missing value")
+    best = max(rates, key=lambda r: r["n_passed"], default=None)
+    forms = sorted({d for r in rates for d in map(dressed_as, r["examples"]) if d})
+    coercible = bool(forms) or best is not None and best["n_passed"] > 0
+    if coercible:
+        reasons.append(f"{best['how']} reads {best['n_passed']} texts" if best["n_passed"] else f"numbers with {', '.join(forms)}")
+    named = sorted(IDENTIFIER_WORDS.intersection(name_words(stats["column"])))
+    identifier = coercible and bool(named or stats["leading_zeros"])
+    if identifier:
+        reasons.append(f"an identifier by its {'name' if named else 'leading zeros'}, so it is not read as a number")
+    return {"column": stats["column"], "route": _ROUTES[bool(missing), coercible and not identifier],
+            "identifier": identifier, "reason": "; ".join(reasons)}
 
 
 def route_columns(df: DataFrame, stats: DataFrame | None = None, rates: DataFrame | None = None) -> list[dict]:
-    """For each column what cleaning it needs: missing-value, coercion, both or none, and why."""
+    """For each column what cleaning it needs, missing-value, coercion, both or none, and why."""
     stats = column_stats(df) if stats is None else stats
     rates = parse_rates(df) if rates is None else rates
     seen: dict[str, list] = {}
     for r in rates.collect():  # some rows per column
         seen.setdefault(r["column"], []).append(r)
-    out = []
-    for s in stats.orderBy("column").collect():
-        missing = s["n_missing_token"] + s["n_empty"] + s["n_blank"] > 0
-        coercible = any(r["n_passed"] > 0 or any(re.search(r"\d", e) and _DRESSED.search(e) for e in r["examples"])
-                        for r in seen.get(s["column"], []))
-        identifier = coercible and is_identifier(s["column"], s["leading_zeros"])
-        coercion = coercible and not identifier
-        route = "both" if missing and coercion else "missing-value" if missing else "coercion" if coercion else "none"
-        out.append({"column": s["column"], "route": route, "identifier": identifier})
-    return out
+    return [route_of(s, seen.get(s["column"], [])) for s in stats.orderBy("column").collect()]
 
 
 def clear_missing(x: Val) -> Val:
@@ -202,22 +260,17 @@ def date_order(df: DataFrame, column: str) -> str:
 
 def clean_date(df: DataFrame, column: str, on_ambiguous: str = "report") -> Val | None:
     """A chain of the date formats that read the column, best first, as one fallible value; None if the order of
-    day and month is ambiguous (with ``exclusive_rows``, rows that one order alone reads are read)."""
-    order = date_order(df, column)
+    day and month is ambiguous (with ``exclusive_rows``, rows that one order alone reads are read). One pass."""
+    facts = _cleaning_facts(df, [column])[column]
+    order = _order_of(facts)
+    if order != "ambiguous":
+        return _date_by(column, order, facts)
+    if on_ambiguous != "exclusive_rows":
+        return None
     x = clear_missing(field(column, "text"))
-    formats = [f for f in DATE_FORMATS if f.startswith("YYYY")]
-    if order == "ambiguous":
-        if on_ambiguous != "exclusive_rows":
-            return None
-        d, m = scalars.parse_date(x, "DD/MM/YYYY"), scalars.parse_date(x, "MM/DD/YYYY")
-        one = F.when(d.col.isNull() | m.col.isNull() | (d.col == m.col), F.coalesce(d.col, m.col))
-        read = F.coalesce(*[scalars.parse_date(x, f).col for f in formats], one)
-    else:
-        formats += [{"dmy": "DD/MM/YYYY", "mdy": "MM/DD/YYYY"}[order]] if order != "none" else []
-        rates = df.agg(*[F.count_if(scalars.parse_date(x, f).col.isNotNull()).alias(f"f{i}")
-                         for i, f in enumerate(formats)]).first()
-        ranked = sorted(range(len(formats)), key=lambda i: -rates[i])
-        read = F.coalesce(*[scalars.parse_date(x, formats[i]).col for i in ranked])
+    d, m = scalars.parse_date(x, "DD/MM/YYYY"), scalars.parse_date(x, "MM/DD/YYYY")
+    one = F.when(d.col.isNull() | m.col.isNull() | (d.col == m.col), F.coalesce(d.col, m.col))
+    read = F.coalesce(*[scalars.parse_date(x, f).col for f in _ISO], one)
     return fallible("parse_date", read, Val(x.col, (), "text"), kind="date")
 
 
@@ -249,34 +302,88 @@ class CleanPlan:
 
 #: A coercion that would fail in more than this share of rows is left out.
 WORST_RATE = 0.5
+_ISO = [f for f in DATE_FORMATS if f.startswith("YYYY")]
+
+
+def _cleaning_facts(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
+    """What the rules need to know of each text column, gathered in one aggregation: every attempt to read a text is
+    made once a row."""
+    made = []
+    for i, name in enumerate(columns):
+        x = clear_missing(field(name, "text"))
+        made += [x.col.alias(f"x{i}"), clean_boolean(x).col.isNotNull().alias(f"b{i}")]
+        made += [clean_number(x, mark).col.isNotNull().alias(f"n{i}{k}") for k, mark in enumerate(".,")]
+        made += [scalars.parse_date(x, f).col.isNotNull().alias(f"d{i}_{j}") for j, f in enumerate(DATE_FORMATS)]
+    both = df.select(*made, *_attempts(columns))
+    aggs = [F.array(*_rate_structs(columns)).alias("rates"), F.count(F.lit(1)).alias("n")]
+    iso = [DATE_FORMATS.index(f) for f in _ISO]
+    dmy, mdy = DATE_FORMATS.index("DD/MM/YYYY"), DATE_FORMATS.index("MM/DD/YYYY")
+    for i in range(len(columns)):
+        x, d = F.col(f"x{i}"), [F.col(f"d{i}_{j}") for j in range(len(DATE_FORMATS))]
+        read = reduce(lambda a, b: a | b, [d[j] for j in iso])
+        facts = {
+            "present": F.count(x), "booleans": F.count_if(F.col(f"b{i}")), "points": F.count_if(F.col(f"n{i}0")),
+            "commas": F.count_if(F.col(f"n{i}1")), "comma_marks": F.count_if(x.rlike(r",[0-9]{1,2}([^0-9]|$)")),
+            "point_marks": F.count_if(x.rlike(r"\.[0-9]{1,2}([^0-9]|$)")), "dmy": F.count_if(d[dmy] & ~d[mdy]),
+            "mdy": F.count_if(d[mdy] & ~d[dmy]), "either": F.count_if(d[dmy] & d[mdy]),
+            "none": F.count_if(read), "with_dmy": F.count_if(read | d[dmy]), "with_mdy": F.count_if(read | d[mdy]),
+            **{f: F.count_if(d[j]) for j, f in enumerate(DATE_FORMATS)}}
+        aggs.append(F.struct(*[v.alias(k) for k, v in facts.items()]).alias(f"f{i}"))
+    row = both.agg(*aggs).first()  # one row
+    out = {name: row[f"f{i}"].asDict() | {"n": row["n"], "rates": []} for i, name in enumerate(columns)}
+    for r in row["rates"]:
+        out[r["column"]]["rates"].append(r)
+    return out
+
+
+def _order_of(facts: dict) -> str:
+    if facts["dmy"] and facts["mdy"] or not facts["dmy"] and not facts["mdy"] and facts["either"]:
+        return "ambiguous"
+    return "dmy" if facts["dmy"] else "mdy" if facts["mdy"] else "none"
+
+
+def _date_by(column: str, order: str, rates: dict) -> Val:
+    x = clear_missing(field(column, "text"))
+    formats = _ISO + [{"dmy": "DD/MM/YYYY", "mdy": "MM/DD/YYYY"}[order]] * (order != "none")
+    ranked = sorted(formats, key=lambda f: -rates[f])
+    return fallible("parse_date", F.coalesce(*[scalars.parse_date(x, f).col for f in ranked]), Val(x.col, (), "text"), kind="date")
 
 
 def propose_cleaning(df: DataFrame, on_ambiguous: str = "report") -> CleanPlan:
-    """A plan by rules: missing words go first, then the coercion that reads most values."""
+    """A plan by rules: missing words go first, then the coercion that reads most values. Two passes over the table:
+    statistics, and all attempts to read its texts."""
     plan = CleanPlan()
-    rates: dict[str, dict[str, float]] = {}
-    found = parse_rates(df)
-    for r in found.collect():
-        rates.setdefault(r["column"], {})[r["how"]] = r["rate"] or 0.0
-    for route in route_columns(df, rates=found):
-        name, kind = route["column"], route["route"]
-        if kind == "none":
-            continue
+    texts = [c for c in df.columns if c in _text_columns(df)]
+    if not texts:
+        return plan
+    facts: dict[str, dict] = {}
+    for group in _groups(texts):
+        facts |= _cleaning_facts(df, group)
+    for stats in column_stats(df, texts).orderBy("column").collect():  # one row per column
+        name = stats["column"]
+        f = facts[name]
+        kind = route_of(stats, f["rates"])["route"]
         x = clear_missing(field(name, "text"))
         value = x if kind in ("missing-value", "both") else None
         if kind in ("coercion", "both"):
-            have = rates[name]
-            dates = max(have[f] for f in (*DATE_FORMATS, "to_date"))
-            booleans = df.agg(F.avg(F.when(x.col.isNotNull(), clean_boolean(x).col.isNotNull().cast("int")))).first()[0] or 0
-            if dates > max(have["to_number"], booleans):
-                read = clean_date(df, name, on_ambiguous)
-                if read is None:
-                    plan.notes[name] = "order of day and month is ambiguous"
+            have = {r["how"]: r["n_passed"] / r["n_values"] if r["n_values"] else 0.0 for r in f["rates"]}
+            booleans = f["booleans"] / f["present"] if f["present"] else 0.0
+            if max(have[w] for w in (*DATE_FORMATS, "to_date")) > max(have["to_number"], booleans):
+                order = _order_of(f)
+                if order != "ambiguous":
+                    read, passed = _date_by(name, order, f), f["none" if order == "none" else f"with_{order}"]
+                else:
+                    read = clean_date(df, name, on_ambiguous)
+                    passed = f["present"] if read is None else f["with_dmy"] + f["with_mdy"] - f["none"] - 2 * f["either"]
+                    if read is None:
+                        plan.notes[name] = "order of day and month is ambiguous"
+            elif booleans > have["to_number"] or booleans == 1:
+                read, passed = clean_boolean(x), f["booleans"]
             else:
-                read = clean_boolean(x) if booleans > have["to_number"] or booleans == 1 else clean_number(
-                    x, decimal_mark(df, name))
+                comma = f["comma_marks"] > f["point_marks"]
+                read, passed = clean_number(x, "," if comma else "."), f["commas" if comma else "points"]
             if read is not None:
-                failing = df.agg(F.avg(read.failed.cast("int"))).first()[0] or 0.0
+                failing = (f["present"] - passed) / f["n"] if f["n"] else 0.0
                 if failing <= WORST_RATE:
                     value = read
                 else:
