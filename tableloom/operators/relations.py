@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,25 +12,53 @@ from pyspark.sql import types as T
 from ..functions.values import BuildError
 
 
+#: Right rows of an as-of join that are broadcast at most, and their bytes at most (counted as text).
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32_000_000
+
+
 def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: str, right_time: str,
-              values: Sequence[str]) -> DataFrame:
+              values: Sequence[str], slice_seconds: int = 86_400) -> DataFrame:
     """Each left row with the ``values`` of the latest right row of its key at or before its time, null without one.
 
-    Both sides are stacked and read in order of time within a key: one shuffle, linear in the rows, however many
-    right rows a key has. At equal times the right row comes first. Of right rows with equal key and time the
-    largest values win."""
-    keys = [F.col(f"`{c}`") for c in on]
+    Of right rows with equal key and time the largest values win; null keys and times never match. A small right side
+    (by rows and bytes, counted) becomes spans from each time to the next and is broadcast: left rows are not shuffled,
+    however many a key has. A large one meets the left rows in slices of time, so that a key with most rows is dealt
+    over many tasks; what holds at a slice's begin comes from the slices before it."""
+    keys = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(on)]
+    names = [f"k{i}" for i in range(len(on))]
     item = F.struct(*[F.col(f"`{c}`") for c in values])
-    own = F.struct(*[F.col(f"`{c}`") for c in left.columns])
-    a = left.select(*keys, F.col(f"`{left_time}`").alias("_t"), F.lit(1).alias("_side"), own.alias("_row"))
-    b = right.groupBy(*keys, F.col(f"`{right_time}`").alias("_t")).agg(F.max(item).alias("_value")).withColumn(
-        "_side", F.lit(0))
-    w = Window.partitionBy(*on).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = a.unionByName(b, allowMissingColumns=True)
-    # right rows without a time never match; nulls sort first, so they are left out
-    both = both.where((F.col("_side") == 1) | F.col("_t").isNotNull())
-    found = both.withColumn("_last", F.last("_value", ignorenulls=True).over(w)).where("_side = 1")
-    return found.select("_row.*", *[F.col("_last").getField(c).alias(c) for c in values])
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in names], F.col("t").isNotNull())
+    points = right.select(*keys, F.col(f"`{right_time}`").alias("t"), item.alias("value")).where(whole).groupBy(
+        *names, "t").agg(F.max("value").alias("value"))
+    own = F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("row")
+    rows = left.select(own, *keys, F.col(f"`{left_time}`").alias("t"))
+    probe = points.limit(BROADCAST_ROWS + 1).agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    if probe[0] <= BROADCAST_ROWS and probe[1] <= BROADCAST_BYTES:
+        until = F.lead("t").over(Window.partitionBy(*names).orderBy("t"))
+        spans = points.withColumn("until", until).toDF(*[f"{k}_" for k in names], "since", "value", "until")
+        same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"{k}_") for k in names])
+        met = same & (F.col("t") >= F.col("since")) & (F.col("until").isNull() | (F.col("t") < F.col("until")))
+        found = rows.join(F.broadcast(spans), met, "left")
+    else:
+        part = F.floor(F.unix_timestamp(F.col("t").cast("timestamp")) / F.lit(slice_seconds)).alias("part")
+        cut = points.select(*names, "t", "value", part)
+        rows = rows.select("row", *names, "t", part)
+        # what holds at the begin of a slice: the last value of the slices before, of one row a key and slice
+        ends = cut.groupBy(*names, "part").agg(F.max_by("value", "t").alias("end"))
+        slices = rows.where(whole).select(*names, "part").distinct().join(ends, [*names, "part"], "full")
+        before = Window.partitionBy(*names).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        begins = slices.withColumn("begin", F.last("end", ignorenulls=True).over(before)).select(*names, "part", "begin")
+        # the begin is one more point, ahead of all of the slice
+        heads = begins.where("begin IS NOT NULL").select(
+            *names, F.lit(None).cast(left.schema[left_time].dataType).alias("t"), "part", F.col("begin").alias("value"),
+            F.lit(0).alias("side"))
+        stacked = heads.unionByName(cut.withColumn("side", F.lit(0))).unionByName(
+            rows.withColumn("side", F.lit(1)), allowMissingColumns=True)
+        w = Window.partitionBy(*names, "part").orderBy(F.asc_nulls_first("t"), "side").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        found = stacked.withColumn("value", F.when(whole, F.last("value", ignorenulls=True).over(w))).where("side = 1")
+    return found.select("row.*", *[F.col("value").getField(c).alias(c) for c in values])
 
 
 def with_label(df: DataFrame, names: DataFrame, key: str, name_key: str, name: str, output: str) -> DataFrame:
@@ -68,7 +97,7 @@ def anti(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
 
 
 def with_parameters(df: DataFrame, parameters: DataFrame) -> DataFrame:
-    """Every row with the columns of a one-row table."""
+    """Every row with the columns of a one-row table, which is read once and becomes literals."""
     rows = parameters.limit(2).collect()
     if len(rows) != 1:
         raise BuildError("parameters are one row")

@@ -8,7 +8,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import relations
@@ -69,6 +69,18 @@ def kpi(df: DataFrame, time: str, last: dt.datetime, days: int, measure) -> Data
     return row.select("value", F.when(F.col("_first") <= F.lit(before), F.col("value") - F.col("_before")).alias("delta"))
 
 
+def kpis(df: DataFrame, time: str, last: dt.datetime, days: int, measures: dict) -> DataFrame:
+    """(kpi, value, delta) of several measures, in one pass over the table."""
+    end, start, before = last + dt.timedelta(days=1), last - dt.timedelta(days=days - 1), last - dt.timedelta(days=2 * days - 1)
+    t = F.col(time)
+    now, then = (t >= F.lit(start)) & (t < F.lit(end)), (t >= F.lit(before)) & (t < F.lit(start))
+    structs = [F.struct(F.lit(n).alias("kpi"), m(now).cast("double").alias("value"), m(then).cast("double").alias("before"))
+               for n, m in measures.items()]
+    row = df.agg(F.array(*structs).alias("rows"), F.min(t).alias("first"))
+    return row.select("first", F.explode("rows").alias("r")).select(
+        "r.kpi", "r.value", F.when(F.col("first") <= F.lit(before), F.col("r.value") - F.col("r.before")).alias("delta"))
+
+
 def gated_percentile(value: str, p: float, least: int = 20) -> Column:
     """The nearest-rank percentile of a column, null for fewer than ``least`` values."""
     return F.when(F.count(value) >= least, F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{value}`)"))
@@ -109,7 +121,8 @@ def daily_usage(spark, sf):
 ORDER BY value DESC, user_id LIMIT 5) UNION ALL (SELECT 'kind', event_type, round(sum(cost), 4) AS value FROM costs GROUP BY event_type
 ORDER BY value DESC, event_type LIMIT 5)""")
 def top_consumers(spark, sf):
-    c = _costs(spark, sf)
+    # one pass over the usage: sums by user and kind, from which both lists are made
+    c = _costs(spark, sf).groupBy("user_id", "event_type").agg(F.sum("cost").alias("cost"))
     parts = [relations.top_n(c, [k], F.round(F.sum("cost"), 4), 5).select(
         F.lit(d).alias("dimension"), F.col(k).cast("string").alias("key"), "value") for d, k in (("user", "user_id"), ("kind", "event_type"))]
     return parts[0].unionByName(parts[1])
@@ -204,9 +217,7 @@ def kpi_delta(spark, sf):
         "count": lambda c: F.count_if(c).cast("double"),
         "purchase rate": lambda c: F.try_divide(F.count_if(c & (F.col("event_type") == "purchase")), F.count_if(c)),
         "median": lambda c: F.median(F.when(c, F.col("value")))}
-    parts = [kpi(e, "ts", TODAY, 14, m).select(F.lit(n).alias("kpi"), F.round("value", 9).alias("value"), F.round("delta", 9).alias("delta"))
-             for n, m in measures.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return kpis(e, "ts", TODAY, 14, measures).select("kpi", F.round("value", 9).alias("value"), F.round("delta", 9).alias("delta"))
 
 
 @query("""SELECT user_id, CASE WHEN count(value) >= 20 THEN quantile_disc(value, 0.95) END AS p95 FROM events WHERE event_type = 'click' GROUP BY 1""")
@@ -236,11 +247,13 @@ def event_facets(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
-@query("""SELECT count(*) AS n, 4::BIGINT AS buckets, true AS even FROM events""")
+@query("""SELECT bucket, round(count(*) / (SELECT count(*) FROM events), 2) AS share FROM (SELECT CASE WHEN value < q[1] THEN 0 WHEN value < q[2] THEN 1
+WHEN value < q[3] THEN 2 ELSE 3 END AS bucket FROM events, (SELECT quantile_disc(value, [0.25, 0.5, 0.75]) AS q FROM events)) GROUP BY 1""")
 def auto_buckets(spark, sf):
     e = read(spark, sf, "events")
     sizes = relations.bucketed(e, "value", relations.auto_bounds(e, "value", 4)).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("buckets"), (F.max("n") <= 1.1 * F.min("n")).alias("even"))
+    all_ = F.sum("n").over(Window.partitionBy(F.lit(1)))  # four rows
+    return sizes.select("bucket", F.round(F.col("n") / all_, 2).alias("share"))
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events)
