@@ -1,8 +1,9 @@
 """Writing tables: versions behind a pointer, staged and asserted; upserts, deletes, quarantine and delivery.
 
-Plain Parquet has no transactions, so a ``VersionedTable`` is a folder of versions ``v=N``; readers see the version
-that the newest pointer file names. A commit writes the pointer last, through Spark's file system, so that a run
-that dies leaves the table as it was, and a run that is repeated under its run id changes nothing.
+Plain Parquet has no transactions, so a ``VersionedTable`` is a folder of versions; readers see the version that the
+newest pointer file names. A commit claims the next version and writes the pointer last, through Spark's file system,
+so that a run that dies leaves the table as it was, and a run that is repeated under its run id changes nothing. It is
+meant for tables that may be written whole; where a table format is installed, use its ``MERGE``.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.values import BuildError
 from ..operators import quality
+from .staging import new_folder
 
 
 def last_wins(df: DataFrame, keys: Sequence[str], sequence: str) -> DataFrame:
@@ -71,58 +73,67 @@ class VersionedTable:
 
     def read(self) -> DataFrame | None:
         """The current rows; None before the first commit."""
-        v = self.version
-        return self.spark.read.parquet(f"{self.path}/v={v}") if v else None
+        found = self._pointers()
+        return self.spark.read.parquet(f"{self.path}/v={found[-1][0]}-{found[-1][1]}") if found else None
 
-    def commit(self, df: DataFrame, run_id: str, asserts: Sequence[Callable[[DataFrame], None]] = ()) -> int:
-        """Writes a new version, checks it as it was written, and publishes it. A run id commits once."""
+    def commit(self, df: DataFrame, run_id: str, asserts: Sequence[Callable[[DataFrame], None]] = (),
+               base: int | None = None) -> int:
+        """Writes a new version, checks it as it was written, and publishes it. A run id commits once. ``base`` is the
+        version that ``df`` was made of (else the one now); if another run has published since, this one fails."""
         if self.has_run(run_id):
             return self.version
+        base = self.version if base is None else base
+        v = base + 1
         fs, path = self._fs()
-        staging = f"{self.path}/_staging/{run_id}"
-        df.write.mode("overwrite").parquet(staging)
+        target = f"{self.path}/v={v}-{run_id}"
+        df.write.mode("overwrite").parquet(target)
         try:
-            written = self.spark.read.parquet(staging)
+            written = self.spark.read.parquet(target)
             for check in asserts:
                 check(written)
         except Exception:
-            fs.delete(path(staging), True)
+            fs.delete(path(target), True)
             raise
-        v = self.version + 1
-        target = path(f"{self.path}/v={v}")
-        if fs.exists(target):  # left by a run that died before its pointer
-            fs.delete(target, True)
-        fs.rename(path(staging), target)
-        fs.mkdirs(path(f"{self.path}/_commits"))
-        fs.create(path(f"{self.path}/_commits/{v:012d}-{run_id}"), False).close()  # fails if another run was first
+        for folder in ("_claims", "_commits"):
+            fs.mkdirs(path(f"{self.path}/{folder}"))
+        # fails if another run claimed the version; one that died after its claim is cleared by hand
+        fs.create(path(f"{self.path}/_claims/{v:012d}"), False).close()
+        fs.create(path(f"{self.path}/_commits/{v:012d}-{run_id}"), False).close()
         return v
 
     def replace(self, df: DataFrame, run_id: str, keys: Sequence[str] = (), least: float = 0.5,
                 allow_shrink: bool = False) -> int:
-        old = self.read()
+        base, old = self.version, self.read()
         before = old.count() if old is not None else 0
         checks = [lambda d: quality.assert_no_shrink(d.count(), before, least, allow_shrink)]
         if keys:
             checks.append(lambda d: quality.assert_keys(d, keys))
-        return self.commit(df, run_id, checks)
+        return self.commit(df, run_id, checks, base)
 
     def upsert(self, changes: DataFrame, run_id: str, keys: Sequence[str], sequence: str | None = None) -> int:
         if sequence is not None:
             changes = last_wins(changes, keys, sequence)
-        old = self.read()
+        base, old = self.version, self.read()
         return self.commit(changes if old is None else upserted(old, changes, keys), run_id,
-                           [lambda d: quality.assert_keys(d, keys)])
+                           [lambda d: quality.assert_keys(d, keys)], base)
 
     def delete(self, gone: DataFrame, run_id: str, keys: Sequence[str]) -> int:
-        old = self.read()
-        return self.version if old is None else self.commit(deleted(old, gone, keys), run_id)
+        base, old = self.version, self.read()
+        return self.version if old is None else self.commit(deleted(old, gone, keys), run_id, (), base)
+
+    def drop_versions(self, keep: int = 2) -> None:
+        """Deletes the rows of all but the newest ``keep`` versions; their pointers stay, so runs still commit once."""
+        fs, path = self._fs()
+        for v, run_id in self._pointers()[:-keep]:
+            fs.delete(path(f"{self.path}/v={v}-{run_id}"), True)
 
-    def quarantine(self, rejects: DataFrame, run_id: str, table: str, most: int = 100_000) -> None:
-        """Rejected rows beside the table, as many as a person may look at; the counts are in the reports."""
-        rows = rejects.limit(most).select(
+    def quarantine(self, rejects: DataFrame, run_id: str, table: str, most: int | None = None) -> DataFrame:
+        """Rejected rows beside the table, all of them or the first ``most``; returns them as written."""
+        rows = (rejects if most is None else rejects.limit(most)).select(
             F.lit(run_id).alias("run_id"), F.lit(table).alias("dest_table"), F.col("step").alias("step_id"), "function",
             "input_value", "source_row", F.lit("open").alias("status"))
         rows.write.mode("overwrite").parquet(f"{self.path}/_quarantine/run={run_id}")
+        return self.spark.read.schema(rows.schema).parquet(f"{self.path}/_quarantine/run={run_id}")
 
 
 def write_direct(df: DataFrame, path: str, mode: str = "append", fmt: str = "parquet") -> None:
@@ -170,11 +181,13 @@ def coerce_json(df: DataFrame, target: T.StructType) -> DataFrame:
 PART_ROWS, PART_BYTES = 50_000, 56_000_000
 
 
-def assign_parts(df: DataFrame, rows: int = PART_ROWS, size: int = PART_BYTES) -> DataFrame:
+def assign_parts(df: DataFrame, rows: int = PART_ROWS, size: int = PART_BYTES, folder: str | None = None) -> DataFrame:
     """(partition, part, n_rows, n_bytes, body, last, total_parts): rows as JSON in parts of bounded rows and bytes.
 
     Parts are filled within a task in one pass, so no task holds more than a part; a row that is larger than a part
-    is an error. The last part carries the number of all parts."""
+    is an error. They are written to ``folder`` (a new shared one) once and numbered as they were written; the last
+    part carries the number of all parts."""
+    folder = folder or new_folder(df.sparkSession, "parts")
     json_rows = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("row"),
                           F.spark_partition_id().alias("partition"))
 
@@ -202,9 +215,11 @@ def assign_parts(df: DataFrame, rows: int = PART_ROWS, size: int = PART_BYTES) -
         if held:
             yield full()
 
-    parts = json_rows.mapInArrow(run, "partition int, part int, n_rows bigint, n_bytes bigint, body string")
-    ends = parts.groupBy("partition").agg(F.max("part").alias("m"), F.count(F.lit(1)).alias("n"))
-    total, end = ends.agg(F.sum("n"), F.max(F.struct("partition", "m"))).first()
+    schema = "partition int, part int, n_rows bigint, n_bytes bigint, body string"
+    json_rows.mapInArrow(run, schema).write.mode("overwrite").parquet(folder)
+    parts = df.sparkSession.read.schema(schema).parquet(folder)
+    total, end = parts.select("partition", "part").agg(
+        F.count(F.lit(1)), F.max(F.struct("partition", "part"))).first()
     last = F.lit(False) if end is None else (F.col("partition") == end[0]) & (F.col("part") == end[1])
     return parts.withColumn("last", last).withColumn("total_parts", F.lit(total).cast("bigint"))
 
@@ -229,7 +244,15 @@ def write_ndjson(df: DataFrame, path: str) -> int:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    """CSV with a header, quotes doubled inside quotes, and nulls told from empty texts."""
+    df.write.mode("overwrite").options(header=True, quote='"', escape='"', quoteAll=True, nullValue="\\N", emptyValue="",
+                                       ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, lineSep="\n").csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What ``write_csv`` wrote. Quoted line breaks are part of a value, so a file is read by one task."""
+    return spark.read.schema(schema).options(header=True, quote='"', escape='"', multiLine=True, nullValue="\\N", emptyValue="",
+                                             lineSep="\n", maxCharsPerColumn=-1).csv(path)
 
 
 #: Wire types that a source type may be delivered as (fixed values).

@@ -51,6 +51,16 @@ def partitioned_options(options: dict[str, str], column: str, lower: int, upper:
                       "numPartitions": str(parts)}
 
 
+def in_ranges(df: DataFrame, key: str, lower: int, upper: int, parts: int, output: str = "part") -> DataFrame:
+    """Rows with the number of the range of a keyed read that would bring them: ranges of equal width from ``lower`` to
+    ``upper``, open at both ends; null keys are in the first."""
+    if upper <= lower or parts < 1:
+        raise BuildError("a partitioned read needs lower < upper and parts >= 1")
+    stride = max(1, (upper - lower) // parts)
+    at = F.floor((F.col(f"`{key}`") - F.lit(lower)) / F.lit(stride))
+    return df.withColumn(output, F.coalesce(F.least(F.greatest(at, F.lit(0)), F.lit(parts - 1)), F.lit(0)).cast("int"))
+
+
 #: SQL Server types that must not pass through a binary float, and those that are not read (fixed values).
 EXACT = {"money": "DECIMAL(19,4)", "smallmoney": "DECIMAL(10,4)", "bigint": "BIGINT", "datetime2": "TIMESTAMP_NTZ"}
 NOT_READ = {"geometry": "spatial", "geography": "spatial", "hierarchyid": "hierarchy", "image": "binary",
@@ -155,5 +165,11 @@ def head_tail_sample(df: DataFrame, key: str | None, n: int) -> tuple[DataFrame,
     return both.dropDuplicates([key]), "head-tail"
 
 
+def keyed_sample(df: DataFrame, key: str, fraction: float, seed: int = 7) -> DataFrame:
+    """Rows whose key's hash falls under the fraction: the same rows on every run and however the table is split."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))))
+    return df.where(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") < F.lit(int(fraction * (1 << 32))))
+
+
 def random_sample(df: DataFrame, fraction: float, seed: int = 7) -> DataFrame:
     return df.sample(fraction=fraction, seed=seed)

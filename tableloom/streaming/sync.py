@@ -155,9 +155,9 @@ def upsert_delta(table: VersionedTable, df: DataFrame, run_id: str, keys: Sequen
     rows = usable_keys(changed_since(df, sequence, bookmark), keys)
     rows = last_wins(rows, keys, sequence)
     live, gone = split_soft_deletes(rows, flag) if flag else (rows, None)
-    old = table.read()
+    base, old = table.version, table.read()
     new = live if old is None else upserted(old, live, keys)
-    return table.commit(new if gone is None else deleted(new, gone, keys), run_id)
+    return table.commit(new if gone is None else deleted(new, gone, keys), run_id, (), base)
 
 
 def tick(table: VersionedTable, changes: DataFrame, batch_id: int, keys: Sequence[str], sequence: str,
@@ -168,8 +168,9 @@ def tick(table: VersionedTable, changes: DataFrame, batch_id: int, keys: Sequenc
     if table.has_run(run_id) or changes.isEmpty():
         return
     live, gone = collapse(changes, keys, sequence, operation)
-    old = table.read()
-    table.commit(live if old is None else upserted(deleted(old, gone, keys), live, keys), run_id)
+    base, old = table.version, table.read()
+    table.commit(live if old is None else upserted(deleted(old, gone, keys), live, keys), run_id, (), base)
+    table.drop_versions()
 
 
 def stream_into(changes: DataFrame, table: VersionedTable, checkpoint: str, keys: Sequence[str], sequence: str,
