@@ -94,6 +94,24 @@ def join_types(a: T.DataType | str, b: T.DataType | str) -> Joined:
     return Joined(T.StringType(), True, f"{ka} and {kb} only share text")
 
 
+def union_widened(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of two tables under the least common type of each column; a column that one lacks is null there."""
+    names = list(dict.fromkeys([*a.columns, *b.columns]))
+    fields = [join_fields(a.schema[n] if n in a.columns else None, b.schema[n] if n in b.columns else None)[0] for n in names]
+
+    def shaped(df: DataFrame) -> DataFrame:
+        out = []
+        for f in fields:
+            c = F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)
+            nested = f.name in df.columns and kind_of(df.schema[f.name].dataType) in ("object", "array")
+            if nested and kind_of(f.dataType) == "string":
+                c = F.to_json(c)
+            out.append(c.cast(f.dataType).alias(f.name))
+        return df.select(*out)
+
+    return shaped(a).unionByName(shaped(b))
+
+
 def json_field(name: str, nullable: bool = True, **metadata) -> T.StructField:
     return T.StructField(name, T.StringType(), nullable, {"json": True, **metadata})
 

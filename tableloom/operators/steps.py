@@ -262,6 +262,23 @@ def prune_struct(df: DataFrame, field: str, keep: dict[str, Column]) -> DataFram
         *[F.when(c, s.getField(n)).alias(n) for n, c in keep.items()])))
 
 
+def redact(df: DataFrame, visible: Callable[[str, Column], Column | None]) -> DataFrame:
+    """Documents pruned at every level. ``visible`` is asked for each struct, by its dotted path, and each array of
+    structs, by that and ``[]``; it gives a condition over the struct, or None to leave it. A struct for which the
+    condition is not true becomes null, with all below it; an array loses such elements."""
+
+    def walk(c: Column, kind: T.DataType, path: str) -> Column:
+        if isinstance(kind, T.StructType):
+            inside = F.struct(*[walk(c.getField(f.name), f.dataType, f"{path}.{f.name}").alias(f.name) for f in kind.fields])
+            condition = visible(path, c)
+            return F.when(c.isNotNull() if condition is None else c.isNotNull() & condition, inside)
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+            return F.filter(F.transform(c, lambda x: walk(x, kind.elementType, f"{path}[]")), lambda x: x.isNotNull())
+        return c
+
+    return df.select(*[walk(F.col(f"`{f.name}`"), f.dataType, f.name).alias(f.name) for f in df.schema.fields])
+
+
 def replace_root(df: DataFrame, field: str) -> DataFrame:
     """The fields of a struct as the whole row."""
     return df.select(f"`{field}`.*")
