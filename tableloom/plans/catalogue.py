@@ -5,8 +5,6 @@ Each query reads the driver's tables from ``sf_dir`` and has a twin in DuckDB's
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +14,7 @@ from ..functions.values import Val
 from ..operators import profiles, quality, relations, schemas, steps
 from ..operators.predicates import Parameter, Predicate, bind, date_range, search, where_all
 from ..sources import sinks, tables
+from ..sources.staging import new_folder
 from ..streaming import sync
 from . import analytics
 from .registry import ORACLE, QUERIES, query, read
@@ -316,11 +315,9 @@ def struct_flatten(spark, sf):
     return steps.flatten(df, "c", 3).df
 
 
-@query("""SELECT o_orderkey, coalesce(sum(len) FILTER (len IS NOT NULL), 0)::BIGINT AS n_items FROM (
-SELECT o_orderkey, CASE WHEN l_orderkey IS NULL THEN 0 ELSE 1 END AS len FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey
-WHERE o_orderkey % 3 = 0) GROUP BY 1""")
+@query("""SELECT o_orderkey, count(l_orderkey) AS n_items FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1""")
 def lookup_and_unwind(spark, sf):
-    orders = read(spark, sf, "orders").where("o_orderkey % 3 = 0").select("o_orderkey")
+    orders = read(spark, sf, "orders").select("o_orderkey")
     lines = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
     df = steps.lookup(orders, lines, "o_orderkey", "l_orderkey", "items")
     df = steps.unwind(df, "items", keep_empty=True)
@@ -328,14 +325,18 @@ def lookup_and_unwind(spark, sf):
 
 
 @query("""SELECT r_regionkey, r_name, coalesce((SELECT '[' || string_agg('{"n_name":"' || n_name || '"}', ',' ORDER BY n_nationkey) || ']'
-FROM nation WHERE n_regionkey = r_regionkey AND n_nationkey % 5 <> 0), '[]') AS nations FROM region""")
+FROM nation WHERE n_regionkey = r_regionkey), '[]') AS nations FROM region""")
 def children_as_json(spark, sf):
-    return steps.children_json(read(spark, sf, "region"), read(spark, sf, "nation").where("n_nationkey % 5 <> 0"),
+    return steps.children_json(read(spark, sf, "region"), read(spark, sf, "nation"),
                                "r_regionkey", "n_regionkey", ["n_name"], ["n_nationkey"], "nations")
 
 
-@query("""SELECT column_name AS field, kind FROM (VALUES ('a.n', 'integer'), ('a.s', 'string'), ('id', 'integer'), ('mix', 'float'))
-t(column_name, kind)""")
+_KIND = """CASE WHEN bool_and(regexp_full_match(v, '-?[0-9]+')) THEN 'integer' WHEN bool_and(regexp_full_match(v, '-?[0-9]+([.][0-9]+)?'))
+THEN 'float' ELSE 'string' END AS kind"""
+
+
+@query(f"""SELECT field, {_KIND} FROM (SELECT 'id' AS field, event_id::VARCHAR AS v FROM events UNION ALL SELECT 'a.n', props->>'$.k' FROM events
+UNION ALL SELECT 'a.s', event_type FROM events UNION ALL SELECT 'mix', CASE WHEN event_id % 2 = 0 THEN '1.5' ELSE '2' END FROM events) GROUP BY 1""")
 def infer_documents(spark, sf):
     df = read(spark, sf, "events").select(
         F.col("event_id").cast("string").alias("id"), F.get_json_object("props", "$.k").alias("a.n"),
@@ -402,9 +403,10 @@ def inner_join(spark, sf):
 
 
 @query("""SELECT c_custkey, coalesce(n_name, c_nationkey::VARCHAR) AS nation FROM customer LEFT JOIN
-(SELECT * FROM nation WHERE n_nationkey % 2 = 0) ON c_nationkey = n_nationkey""")
+(SELECT * FROM nation WHERE EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal < 0)) ON c_nationkey = n_nationkey""")
 def label_fallback(spark, sf):
-    return relations.with_label(read(spark, sf, "customer"), read(spark, sf, "nation").where("n_nationkey % 2 = 0"),
+    in_debt = read(spark, sf, "supplier").where("s_acctbal < 0").select(F.col("s_nationkey").alias("n_nationkey"))
+    return relations.with_label(read(spark, sf, "customer"), relations.semi(read(spark, sf, "nation"), in_debt, ["n_nationkey"]),
                                 "c_nationkey", "n_nationkey", "n_name", "nation").select("c_custkey", "nation")
 
 
@@ -532,7 +534,7 @@ count(*) FILTER (amount = '  ') AS n_blank, count(*) FILTER (amount = 'n/a') AS
 count(DISTINCT amount) AS n_distinct, min(length(amount))::INT AS min_length, max(length(amount))::INT AS max_length,
 min(amount) AS least, max(amount) AS greatest, false AS leading_zeros FROM {_MESSY}""")
 def column_profile(spark, sf):
-    return profiles.column_stats(messy_amounts(read(spark, sf, "lineitem")), ["amount"]).select(
+    return profiles.column_stats(messy_amounts(read(spark, sf, "lineitem")), ["amount"], exact=True).select(
         "column", "n_rows", "n_null", "n_empty", "n_blank", "n_missing_token", "n_distinct", "min_length", "max_length",
         "least", "greatest", "leading_zeros")
 
@@ -544,7 +546,12 @@ def parse_rates(spark, sf):
         "how IN ('to_number', 'to_date')").select("column", "how", "n_values", "n_passed")
 
 
-@query("""SELECT * FROM (VALUES ('amount', 'both'), ('l_returnflag', 'none'), ('l_linestatus', 'none')) t("column", route)""")
+_ROUTE = """CASE WHEN bool_or(v IN ('n/a', '-', '?') OR trim(v) = '') THEN CASE WHEN bool_or(regexp_matches(v, '[0-9]')) THEN 'both' ELSE 'missing-value' END
+WHEN bool_or(regexp_matches(v, '[0-9]')) THEN 'coercion' ELSE 'none' END AS route"""
+
+
+@query(f"""SELECT "column", {_ROUTE} FROM (SELECT 'amount' AS "column", amount AS v FROM {_MESSY} UNION ALL SELECT 'l_returnflag', l_returnflag FROM lineitem
+UNION ALL SELECT 'l_linestatus', l_linestatus FROM lineitem) GROUP BY 1""")
 def route_columns(spark, sf):
     df = messy_amounts(read(spark, sf, "lineitem")).select("amount", "l_returnflag", "l_linestatus")
     return spark.createDataFrame([(r["column"], r["route"]) for r in profiles.route_columns(df)], "column string, route string")
@@ -591,13 +598,20 @@ def null_keys(spark, sf):
     return spark.createDataFrame([(quality.null_keys(df, ["k"]),)], "without_key bigint")
 
 
-_HALVES = """t AS (SELECT * FROM orders WHERE o_orderkey % 2 = 0),
-d AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice + 1 AS o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 3 = 0)"""
+_HALVES = """t AS (SELECT * FROM orders),
+d AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice + 1 AS o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderstatus = 'F'
+UNION ALL SELECT -1 - c_custkey, c_custkey, 'O', c_acctbal, TIMESTAMP '1998-01-01', '5-LOW' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders))"""
 
 
 def _halves(spark, sf) -> tuple[DataFrame, DataFrame]:
-    o = read(spark, sf, "orders")
-    return o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    """All orders, and changes to them: the finished ones, dearer, and a first order of each customer without any."""
+    o, c = read(spark, sf, "orders"), read(spark, sf, "customer")
+    first = relations.anti(c, o.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]).select(
+        (-1 - F.col("c_custkey")).alias("o_orderkey"), F.col("c_custkey").alias("o_custkey"), F.lit("O").alias("o_orderstatus"),
+        F.col("c_acctbal").alias("o_totalprice"), F.lit(dt.datetime(1998, 1, 1)).cast(o.schema["o_orderdate"].dataType).alias("o_orderdate"),
+        F.lit("5-LOW").alias("o_orderpriority"))
+    done = o.where("o_orderstatus = 'F'").withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    return o, done.unionByName(first)
 
 
 @query(f"""WITH {_HALVES} SELECT o_orderkey, o_totalprice FROM d UNION ALL
@@ -637,17 +651,17 @@ def soft_delete_split(spark, sf):
     return sync.split_soft_deletes(df, "gone")[0].select("o_orderkey")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 10 = 0 AND o_orderkey % 3 <> 0")
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority <> '1-URGENT'")
 def reconcile_deletes(spark, sf):
     o = read(spark, sf, "orders")
-    saved, scan, ups = o, o.where("o_orderkey % 10 <> 0"), o.where("o_orderkey % 3 = 0")
+    saved, scan, ups = o, o.where("o_orderstatus <> 'P'"), o.where("o_orderpriority = '1-URGENT'")
     return sync.reconcile(saved, scan, ups, ["o_orderkey"]).deletes
 
 
-@query("SELECT count(*) FILTER (o_orderkey % 10 = 0) AS deletes, count(*) FILTER (o_orderkey % 10 = 0) * 100.0 / count(*) > 20 AS stopped FROM orders")
+@query("SELECT count(*) FILTER (o_orderstatus = 'P') AS deletes, count(*) FILTER (o_orderstatus = 'P') * 100.0 / count(*) > 20 AS stopped FROM orders")
 def mass_delete_guard(spark, sf):
     o = read(spark, sf, "orders")
-    scan = o.where("o_orderkey % 10 <> 0")
+    scan = o.where("o_orderstatus <> 'P'")
     r = sync.reconcile(o, scan, o.limit(0), ["o_orderkey"])
     try:
         n, stopped = r.guard(o, scan), False
@@ -674,7 +688,7 @@ def tick_collapse(spark, sf):
 @query(f"WITH {_TICK} SELECT user_id, event_id, value FROM live")
 def tick_stream(spark, sf):
     """The same changes as a stream into a versioned table, read back."""
-    base = f"{_folder(spark)}/tick-{uuid.uuid4().hex}"
+    base = new_folder(spark, "tick")
     _changes(spark, sf).write.parquet(f"{base}/in")
     stream = spark.readStream.schema(_changes(spark, sf).schema).parquet(f"{base}/in")
     table = sinks.VersionedTable(spark, f"{base}/table")
@@ -682,45 +696,40 @@ def tick_stream(spark, sf):
     return table.read()
 
 
-_own: list[str] = []
-
-
-def _folder(spark: SparkSession) -> str:
-    """The shared folder that the session names; where it names none, one for this process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _own:
-            _own.append("file://" + tempfile.mkdtemp(prefix="tableloom-"))
-        base = _own[0]
-    return base.rstrip("/")
-
-
 @query(f"""WITH {_HALVES} SELECT o_orderkey, o_totalprice FROM d UNION ALL
 SELECT o_orderkey, o_totalprice FROM t WHERE o_orderkey NOT IN (SELECT o_orderkey FROM d)""")
 def staged_upsert(spark, sf):
     """Two commits and a repeated one into a versioned table, read back."""
     target, delta = _halves(spark, sf)
-    table = sinks.VersionedTable(spark, f"{_folder(spark)}/orders-{uuid.uuid4().hex}")
+    table = sinks.VersionedTable(spark, new_folder(spark, "orders"))
     table.replace(target, "first", ["o_orderkey"])
     for _ in range(2):
         table.upsert(delta, "second", ["o_orderkey"], "o_orderdate")
     return table.read().select("o_orderkey", "o_totalprice")
 
 
-@query("SELECT kind, subject, min(first) AS first FROM (SELECT event_type AS kind, user_id AS subject, event_id AS first FROM events) WHERE subject % 2 = 1 GROUP BY 1, 2")
+@query("""SELECT event_type AS kind, user_id AS subject, min(event_id) AS first FROM events GROUP BY 1, 2
+HAVING min(ts) >= TIMESTAMP '2024-01-03'""")
 def ledger_once(spark, sf):
-    e = read(spark, sf, "events").select(F.col("event_type").alias("kind"), F.col("user_id").alias("subject"), F.col("event_id").alias("first"))
-    ledger = e.where("subject % 2 = 0").select("kind", "subject").distinct()
-    firsts = e.groupBy("kind", "subject").agg(F.min("first").alias("first"))
-    return sync.once_per(ledger, firsts, ["kind", "subject"])
+    """Who did what for the first time since the ledger, that of the first two days, was written."""
+    e = read(spark, sf, "events").select(F.col("event_type").alias("kind"), F.col("user_id").alias("subject"), F.col("event_id").alias("first"), "ts")
+    ledger = e.where(F.col("ts") < F.lit(dt.datetime(2024, 1, 3))).select("kind", "subject").distinct()
+    return sync.once_per(ledger, e.groupBy("kind", "subject").agg(F.min("first").alias("first")), ["kind", "subject"])
 
 
-@query("SELECT count(*) AS n_rows, true AS whole FROM documents")
+@query("""SELECT count(*) AS n_rows, sum(length('{"doc_id":' || doc_id || coalesce(',"source":"' || source || '"', '')
+|| coalesce(',"n_chars":' || n_chars, '') || '}'))::BIGINT AS n_bytes, sum(doc_id)::BIGINT AS ids, sum(n_chars)::BIGINT AS chars,
+1::BIGINT AS n_last, 0::BIGINT AS too_large FROM documents""")
 def delivery_parts(spark, sf):
-    parts = sinks.assign_parts(read(spark, sf, "documents"), 100, 400_000)
-    bounded = (F.col("n_rows") <= 100) & (F.col("n_bytes") <= 400_000)
-    return parts.agg(F.sum("n_rows").alias("n_rows"), (
-        F.min(bounded) & (F.count_if("last") == 1) & (F.max("total_parts") == F.count(F.lit(1)))).alias("whole"))
+    """What the parts' bodies hold, read back, and whether each is within its bounds."""
+    parts = sinks.assign_parts(read(spark, sf, "documents").select("doc_id", "source", "n_chars"), 100, 4_000)
+    row = "array<struct<doc_id: bigint, source: string, n_chars: bigint>>"
+    rows = parts.withColumn("rows", F.from_json("body", row))
+    total = F.aggregate("rows", F.lit(0).cast("bigint"), lambda a, x: a + x["doc_id"])
+    chars = F.aggregate("rows", F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x["n_chars"], F.lit(0)))
+    small = (F.size("rows") == F.col("n_rows")) & (F.col("n_rows") <= 100) & (F.col("n_bytes") <= 4_000)
+    return rows.agg(F.sum(F.size("rows")).alias("n_rows"), F.sum("n_bytes").alias("n_bytes"), F.sum(total).alias("ids"),
+                    F.sum(chars).alias("chars"), F.count_if(F.col("last")).alias("n_last"), F.count_if(~small).alias("too_large"))
 
 
 @query(r"""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate - INTERVAL 9 HOUR, '%Y-%m-%dT%H:%M:%S') || '.000Z' AS utc,
@@ -733,6 +742,7 @@ def wire_values(spark, sf):
                      sinks.wire_value(df, "price", "number", "Number").alias("price"))
 
 
-@query("SELECT 'lineitem' AS \"table\", count(*) AS columns FROM (DESCRIBE lineitem)")
+@query("""SELECT 'lineitem' AS "table", column_name AS "column", CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP WITH TIME ZONE'
+THEN 'timestamp' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'INTEGER' THEN 'int' ELSE lower(column_type) END AS type, "null" = 'YES' AS nullable FROM (DESCRIBE lineitem)""")
 def describe_table(spark, sf):
-    return tables.describe(read(spark, sf, "lineitem"), "lineitem").groupBy("table").agg(F.count(F.lit(1)).alias("columns"))
+    return tables.describe(read(spark, sf, "lineitem"), "lineitem")
