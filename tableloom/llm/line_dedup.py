@@ -32,7 +32,8 @@ MIN_WORDS = 3
 MIN_DOCS = 2
 #: A template with generalised words has so many literal words at least, and half of its words are literal.
 MIN_LITERAL = 3
-VARIABLE_FROM = 12
+#: Words from which a template may have a variable field: with 5, a stretch is one word and four stay.
+VARIABLE_FROM = 5
 #: Per cent of equal words in place that make two lines of a leaf alike.
 SIMILAR = 70
 
@@ -196,7 +197,7 @@ masked AS (SELECT doc_id, pos, list_transform(
                lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS w FROM lines),
 counted AS (SELECT *, len(w) AS n, (len(w) - 3) // 3 AS c1, (len(w) - 3) * 2 // 3 AS c2
             FROM masked WHERE len(w) >= 3),
-keyed AS (SELECT doc_id, pos, unnest(CASE WHEN n >= 12 THEN [
+keyed AS (SELECT doc_id, pos, unnest(CASE WHEN n >= 5 THEN [
               [['0'], w, [], []], [['1'], w[1:3], w[4+c1:3+c2], w[4+c2:n]],
               [['2'], w[1:3], w[4:3+c1], w[4+c2:n]], [['3'], w[1:3], w[4:3+c1], w[4+c1:3+c2]]]
               ELSE [[['0'], w, [], []]] END) AS key, n FROM counted),

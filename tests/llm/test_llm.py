@@ -919,7 +919,7 @@ def brute_lines(docs):
             if n < 3:
                 continue
             keys[0, n, tuple(w)].append((d, pos))
-            if n >= 12:
+            if n >= 5:
                 c1, c2 = (n - 3) // 3, (n - 3) * 2 // 3
                 lead, a, b, c = tuple(w[:3]), tuple(w[3 : 3 + c1]), tuple(w[3 + c1 : 3 + c2]), tuple(w[3 + c2 :])
                 for k, x, y in ((1, b, c), (2, a, c), (3, a, b)):
