@@ -362,18 +362,22 @@ def conform(df: DataFrame, contract: Contract, policy: str = "quarantine") -> St
     """Every column cast to its contract's type, in one pass. Columns that have the type stay as they are. A row in
     which casts fail is rejected once, for the first column of the contract that failed."""
     failures: list[Failure] = []
+    made: list[Column] = []
     out: dict[str, Column] = {}
-    for c in contract.columns:
+    for i, c in enumerate(contract.columns):
         have, want = kind_of(df.schema[c.name].dataType), kind_of(c.type)
         if have == want or want not in _CASTS:
-            out[c.name] = F.col(f"`{c.name}`")
             continue
         v = _CASTS[want](field(c.name, _KINDS.get(have)))
-        failures += v.failures
-        out[c.name] = v.col.cast(c.type)
+        cast = f"__cast{i}__"  # made once, for the value and for the failure
+        made.append(v.col.alias(cast))
+        source = F.col(f"`{c.name}`")
+        failures += [Failure(f.function, f.input, source.isNotNull() & F.col(cast).isNull()) for f in v.failures]
+        out[c.name] = F.col(cast).cast(c.type)
+    own = [F.col(f"`{n}`") for n in df.columns]
     value = Val(F.lit(True), tuple(failures), "boolean")
-    return _apply(df, "conform", value, policy,
-                  lambda d: d.select(*[out.get(n, F.col(f"`{n}`")).alias(n) for n in df.columns]))
+    return _apply(df.select(*own, *made), "conform", value, policy,
+                  lambda d: d.select(*[out.get(n, F.col(f"`{n}`")).alias(n) for n in df.columns]), F.to_json(F.struct(*own)))
 
 
 def unmapped_fields(df: DataFrame, mapping: Sequence[tuple[str, str]], policy: str = "count") -> list[str]:

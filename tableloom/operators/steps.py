@@ -57,6 +57,9 @@ def reject_rows(df: DataFrame, label: str, value: Val, row: Column | None = None
         F.substring(whole, 1, ROW_CHARS).alias("source_row"))
 
 
+_FAILED = "__failed__"
+
+
 def _apply(df: DataFrame, label: str, value: Val, policy: str, keep: Callable[[DataFrame], DataFrame],
            row: Column | None = None) -> StepResult:
     if policy not in POLICIES:
@@ -70,12 +73,13 @@ def _apply(df: DataFrame, label: str, value: Val, policy: str, keep: Callable[[D
             raise StepFailed(f"{label}: {', '.join(functions)} failed in {n} rows")
         return StepResult(keep(df), None, StepReport(label, functions, policy))
     seen = Observation()
-    watched = df.observe(seen, F.count_if(value.failed).alias("n"))
+    # whether a row failed is worked out once, below the count, which no filter passes
+    watched = df.withColumn(_FAILED, value.failed).observe(seen, F.count_if(F.col(_FAILED)).alias("n"))
     report = StepReport(label, functions, policy, lambda: seen.get["n"])
     if policy == "null":
-        return StepResult(keep(watched), None, report)
+        return StepResult(keep(watched).drop(_FAILED), None, report)
     rejects = reject_rows(df, label, value, row) if policy == "quarantine" else None
-    return StepResult(keep(watched.where(~value.failed)), rejects, report)
+    return StepResult(keep(watched.where(~F.col(_FAILED))).drop(_FAILED), rejects, report)
 
 
 def need_columns(df: DataFrame, names: Sequence[str]) -> None:
