@@ -5,7 +5,9 @@ A template is text with ``{{ expression }}``, ``{% if %}``/``{% elif %}``/``{% e
 syntax tree, constants are folded (pieces of text that meet are joined, operations on constants and branches on
 constant conditions are resolved), and the tree becomes nested Python closures. The language is sandboxed: values
 are strings, numbers, booleans, lists and dicts; names and items are looked up in dicts only, never as attributes of
-Python objects; there are no calls but the filters listed here.
+Python objects; there are no calls but the filters listed here; arithmetic takes numbers only, so that texts are
+neither repeated nor formatted, and a value that grows beyond ``LONGEST`` code points is refused. Whatever is wrong
+with a template, or with a value for it, is a ``TemplateError``.
 
 Texts may hold the strings that the template uses to mark turns. The filter ``escape`` makes them harmless and
 ``unescape`` restores them exactly: backslashes are doubled, and one backslash goes behind the first character of
@@ -15,8 +17,9 @@ Conversations are rendered as a stream: messages are read, rendered and read bac
 conversation needs the memory of its longest turn.
 
 Defined cases: a null role or text is empty; rows of a conversation with equal turn are ordered by role and text;
-null turns come first; rows with a null conversation id form one conversation; repeated rows are turns each; an
-empty table gives no rows; other columns are not read.
+null turns come first; rows with a null conversation id form one conversation; repeated rows are turns each; long
+texts and long conversations cost time in proportion to them, the memory of their longest turn, and one task each; an
+empty table gives no rows; extra columns of any name are not read.
 """
 
 from __future__ import annotations

@@ -11,9 +11,10 @@ Texts are cut before runs of the space mark and around characters that no longer
 merge crosses such a place (checked against the vocabulary when the model is loaded); the parts are
 remembered by each worker in a cache of bounded size.
 
-Defined cases: null and empty texts give the begin and end ids alone and decode to an empty text; repeated
-rows give repeated results; other columns pass through ``encode_texts`` unless they carry an output's name,
-in which case the output wins.
+Defined cases: null and empty texts give the begin and end ids alone and decode to an empty text; repeated and tied
+rows give repeated results; texts of any length are encoded whole, in time in proportion to them; an empty table gives
+an empty result; other columns pass through ``encode_texts`` unless they carry an output's name, in which case the
+output wins, and are not read by the query.
 """
 
 from __future__ import annotations
