@@ -42,6 +42,17 @@ def likeness(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
     return float(np.isin(union, np.intersect1d(a, b, assume_unique=True), assume_unique=True).sum()) / len(union)
 
 
+def size_estimate(s: np.ndarray, k: int = K) -> float:
+    """Distinct hashes behind a sketch; exact while there are fewer than k."""
+    return float(len(s)) if len(s) < k else (k - 1) / ((float(s[k - 1]) + 1) / 2.0**64)
+
+
+def containment_estimate(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
+    """Share of a's set that b has, from their likeness and sizes."""
+    j, na, nb = likeness(a, b, k), size_estimate(a, k), size_estimate(b, k)
+    return min(1.0, j / (1 + j) * (na + nb) / na) if na else 1.0
+
+
 def _signed(h: np.ndarray) -> np.ndarray:
     """Unsigned order kept in signed integers, so that Spark's order of bigint is the sketch's order."""
     return (h ^ np.uint64(1 << 63)).view(np.int64)
@@ -147,7 +158,8 @@ def with_next_document(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def fingerprint_edits(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
-    """Fingerprints of each document and of its edited text, with their likeness and that to the next document.
+    """Fingerprints of each document and of its edited text, with their likeness and that to the next document, the
+    estimated number of the document's shingles, and the estimated share of them that its edited text keeps.
 
     The edited text has the last floor(n / 2) code points replaced by the first as many of the next document."""
     dealt = with_next_document(docs)
@@ -155,7 +167,8 @@ def fingerprint_edits(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFr
         T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_chars", T.LongType()),
         T.StructField("edited_sha256", T.StringType()), T.StructField("fingerprint", T.StringType()),
         T.StructField("edited_fingerprint", T.StringType()), T.StructField("near_edited", T.DoubleType()),
-        T.StructField("near_next", T.DoubleType()),
+        T.StructField("near_next", T.DoubleType()), T.StructField("n_shingles_estimate", T.DoubleType()),
+        T.StructField("kept_estimate", T.DoubleType()),
     ])
 
     def sketches(texts: list[bytes]) -> list[np.ndarray]:
@@ -179,6 +192,8 @@ def fingerprint_edits(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFr
             pa.array([encoded(s) for s in other], pa.string()),
             pa.array([likeness(own[i], other[i], k) for i in range(n)], pa.float64()),
             pa.array([likeness(own[i], own[i + 1], k) for i in range(n)], pa.float64()),
+            pa.array([size_estimate(s, k) for s in own[:n]], pa.float64()),
+            pa.array([containment_estimate(own[i], other[i], k) for i in range(n)], pa.float64()),
         ], schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

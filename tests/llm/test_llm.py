@@ -75,6 +75,10 @@ def test_fingerprints_against_brute_force(spark, texts):
         assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         a, b = shingles(t), shingles(edited)
         errors.append(abs(r["near_edited"] - (len(a & b) / len(a | b) if a | b else 1.0)))
+        if len(a) < fingerprints.K:
+            assert r["n_shingles_estimate"] == len(a)
+        assert abs(r["n_shingles_estimate"] - len(a)) <= 0.3 * len(a)
+        assert abs(r["kept_estimate"] - (len(a & b) / len(a) if a else 1.0)) < 0.2
         c = shingles(after)
         errors.append(abs(r["near_next"] - (len(a & c) / len(a | c) if a | c else 1.0)))
         for name, whole in (("fingerprint", t), ("edited_fingerprint", edited)):
