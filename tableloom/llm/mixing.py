@@ -34,28 +34,48 @@ def word_count(text: str | Column = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def numbered_sources(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with the place of each source in code-point order, null last. Sources are dealt by ranges; only the
+    ranges' counts (one row a range) go through the driver."""
+    parts = max(1, int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    order = F.col("source").asc_nulls_last()
+    ranged = sizes.repartitionByRange(parts, order).sortWithinPartitions(order)
+    ranged = staged(ranged.withColumn("id", F.monotonically_increasing_id()), "sources")
+    part, place = F.shiftright("id", 33), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = sorted(ranged.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    before, total = {}, 0
+    for r in counts:
+        before[r["part"]] = total
+        total += r["n"]
+    start = F.map_from_arrays(F.array(*[F.lit(int(k)) for k in before]), F.array(*[F.lit(v) for v in before.values()])
+                              ) if before else F.create_map(F.lit(0), F.lit(0))
+    return ranged.withColumn("number", start[part] + place).drop("id")
+
+
 def mixture_targets(sizes: DataFrame, most: float = MOST_COPIES) -> DataFrame:
     """Targets of sources: from (source, source_size) to (source, source_size, weight, target).
 
     Weights are 1, 2, 3, 1, 2, 3, ... over the sources in order. The targets share the total of all sizes by
     weight; none exceeds ``most`` times its source's size, and what it leaves goes to the others by weight.
-    This is water filling: with sources in order of cap / weight, the level is the largest of the levels that
-    result from capping the first 0, 1, 2, ... of them.
-    """
-    named = Window.orderBy(F.col("source").asc_nulls_last())
-    by_cap = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(F.lit(1))
-    return (
-        sizes.withColumn("weight", (F.row_number().over(named) - 1) % 3 + 1)
+    This is water filling: the level (target by weight) of those that are not capped rises each time that others are
+    found to be capped at it, until none is; each step is one aggregate over the sources."""
+    rows = staged(
+        numbered_sources(sizes)
+        .withColumn("weight", F.col("number") % 3 + 1)
         .withColumn("cap", F.col("source_size") * F.lit(most))
         .withColumn("ratio", F.col("cap") / F.col("weight"))
-        .withColumn("left_size", F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("left_weight", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-        .withColumn("level", F.max(F.col("left_size") / F.col("left_weight")).over(every))
-        .withColumn("target", F.least("cap", F.col("weight") * F.col("level")))
-        .select("source", "source_size", "weight", "target")
-    )
+        .select("source", "source_size", "weight", "cap", "ratio"), "weights")
+    total = float(rows.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0])
+    level, capped = -1.0, -1
+    while True:
+        low = F.col("ratio") <= F.lit(level)
+        n, caps, weights = rows.agg(
+            F.count_if(low), F.coalesce(F.sum(F.when(low, F.col("cap"))), F.lit(0.0)),
+            F.coalesce(F.sum(F.when(~low, F.col("weight"))), F.lit(0))).first()
+        if n == capped or not weights:
+            break
+        capped, level = n, (total - caps) / weights
+    return rows.select("source", "source_size", "weight", F.least("cap", F.col("weight") * F.lit(level)).alias("target"))
 
 
 def source_offset(seed: int, source: Column) -> Column:

@@ -176,6 +176,13 @@ def test_targets_with_caps(spark):
     rows = mixing.mixture_targets(spark.createDataFrame([(k, v) for k, v in sizes.items()], "source string, source_size bigint")).collect()
     want = brute_targets(sizes)
     assert all(abs(r["target"] - want[r["source"]]) < 1e-6 for r in rows)
+    rng = random.Random(12)
+    for most in (10, 1_000_000):
+        sizes = {f"s{i:03d}": rng.randrange(most) if rng.random() < 0.8 else rng.randrange(10) for i in range(200)}
+        rows = mixing.mixture_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size bigint")).collect()
+        want = brute_targets(sizes)
+        assert len(rows) == 200 and all(abs(r["target"] - want[r["source"]]) < 1e-6 * max(1, want[r["source"]]) for r in rows)
+        assert abs(sum(r["target"] for r in rows) - sum(sizes.values())) < 1e-6 * sum(sizes.values())
 
 
 def test_mixing_odd(odd, empty):
