@@ -179,17 +179,14 @@ def judge_documents(docs: DataFrame, host_col: str = "source", worst_rate: float
 def keep_good_documents(docs: DataFrame, host_col: str = "source", worst_rate: float = WORST_RATE) -> DataFrame:
     """The documents that the rules keep, with the columns of ``docs``, whatever their names.
 
-    Texts are measured once. What passes the base rule is staged whole, of the rest only host and failures, until the
-    hosts' verdicts are known."""
-    rows = packed(docs, host=domain(host_col))
-    measured = document_measures(rows, ["row", "host"], "row.text")
-    good = F.when(~base_failed(), F.col("row"))
-    judged = staged(measured.select(
-        good.alias("row"), "host", F.lit(1).cast("long").alias("n"),
-        *[f.cast("long").alias(r) for r, f in rule_failures().items()]), "measures")
-    bad = staged(host_verdicts(judged.select("host", "n", *RULES), worst_rate).where("host_rejected").select(
+    Texts are measured once for the hosts' counts and once for the documents, so that no copy of the table is kept in
+    between; each time a text goes to Python once."""
+    host = domain(host_col).alias("host")
+    counted = document_measures(docs.select(host, "text"), ["host"])
+    bad = staged(host_verdicts(counted_failures(counted, F.col("host")), worst_rate).where("host_rejected").select(
         F.col("host").alias("host_")), "bad-hosts")
-    kept = judged.where("row IS NOT NULL").select("row", "host")
+    rows = packed(docs, host=domain(host_col))
+    kept = document_measures(rows, ["row", "host"], "row.text").where(~base_failed()).select("row", "host")
     if not bad.isEmpty():
         kept = kept.join(_small(bad), F.expr("host <=> host_"), "left_anti")
     return unpacked(kept, docs.columns)
