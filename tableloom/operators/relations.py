@@ -28,11 +28,11 @@ def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: s
     names = [f"k{i}" for i in range(len(on))]
     item = F.struct(*[F.col(f"`{c}`") for c in values])
     whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in names], F.col("t").isNotNull())
-    points = right.select(*keys, F.col(f"`{right_time}`").alias("t"), item.alias("value")).where(whole).groupBy(
-        *names, "t").agg(F.max("value").alias("value"))
+    told = right.select(*keys, F.col(f"`{right_time}`").alias("t"), item.alias("value")).where(whole)
+    points = told.groupBy(*names, "t").agg(F.max("value").alias("value"))
     own = F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("row")
     rows = left.select(own, *keys, F.col(f"`{left_time}`").alias("t"))
-    probe = points.limit(BROADCAST_ROWS + 1).agg(
+    probe = told.limit(BROADCAST_ROWS + 1).agg(
         F.count(F.lit(1)), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))).first()
     if probe[0] <= BROADCAST_ROWS and probe[1] <= BROADCAST_BYTES:
         until = F.lead("t").over(Window.partitionBy(*names).orderBy("t"))
