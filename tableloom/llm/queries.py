@@ -2,7 +2,8 @@
 
 import importlib
 
-_MODULES = ["fingerprints", "mixing", "chat_format", "ngram_join", "quality_rules", "toxicity", "piece_tokenizer", "html_extraction", "line_dedup", "warc"]
+_MODULES = ["fingerprints", "mixing", "chat_format", "ngram_join", "quality_rules", "toxicity", "piece_tokenizer",
+            "html_extraction", "line_dedup", "warc", "merkle"]
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
