@@ -3,7 +3,7 @@
 import importlib
 
 _MODULES = ["fingerprints", "mixing", "chat_format", "ngram_join", "quality_rules", "toxicity", "piece_tokenizer",
-            "html_extraction", "line_dedup", "warc", "merkle"]
+            "html_extraction", "line_dedup", "warc", "merkle", "divergence", "lm_scoring"]
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
