@@ -8,8 +8,9 @@ A model of the whole corpus fits no machine, and is not cut down to fit: tasks g
    asked in, a count an n-gram.
 3. A block and its answers meet, and the block's automaton is built: a state for each context that was learnt, an arc
    for each learnt n-gram from its context's state, and a failure arc from each state to that of the context without its
-   first word. All documents of a block go from left to right at the same time, each with its own state: a word without
-   an arc takes the failure arc and its weight, until a state has one; the empty state has one for every word.
+   first word. All documents of a block go from left to right at the same time, each with its own state, long ones in
+   several pieces: a word without an arc takes the failure arc and its weight, until a state has one; the empty state has
+   one for every word.
 
 Both shuffles grow with the corpus, tasks do not: a block has a bounded size, and there are as many slices as blocks. A
 very common n-gram is asked for once a block.
@@ -40,12 +41,23 @@ from ._text import _STEP, blocks, mix, raw, word_hashes, words
 
 #: Length of the longest n-grams of the query, and the prior mass m. The mass was chosen on held-out texts of sf0.1.
 ORDER, MASS = 2, 400.0
-#: Bytes of text in a block.
-BLOCK = 16 << 20
+#: Bytes of text in a block, and tokens that a text goes in one piece: a longer one's pieces run side by side.
+BLOCK, PIECE = 6 << 20, 256
 _BEGIN, _END = np.uint64(0xB5297A4D3F84D5A1), np.uint64(0x68E31DA4C2B1F0E7)
 _CODE = 7  # the low bits of a hash tell its order; 0 is the begin
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values in order, a place of each, and of each value its number among them."""
+    by = np.argsort(values)
+    ordered = values[by]
+    new = np.ones(len(by), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    ids = np.empty(len(by), np.int64)
+    ids[by] = np.cumsum(new) - 1
+    return ordered[new], by[new], ids
+
+
 class Grams:
     """The n-grams of a block. Tokens of all texts stand in a row, each text with a begin before and an end after;
     ``texts`` are the positions of the begins. ``ids[k]`` has the number of the n-gram of length k + 1 that ends at
@@ -74,7 +86,7 @@ class Grams:
             h = (mix(h) & ~np.uint64(_CODE)) | np.uint64(k + 1)
             if k == 0:
                 h[self.texts] &= ~np.uint64(_CODE)
-            keys, first, ids = np.unique(h, return_index=True, return_inverse=True)
+            keys, first, ids = _distinct(h)
             here = np.full(total, -1, np.int64)
             here[spots] = ids
             self.keys.append(keys)
@@ -158,7 +170,7 @@ def asking(order: int, slices: int):
 
 def _answers(number: int, asked: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
     keys = [np.cumsum(_values(k, np.uint64), dtype=np.uint64) for _, k, _ in asked]
-    every, at = np.unique(np.concatenate(keys), return_inverse=True)
+    every, _, at = _distinct(np.concatenate(keys))
     totals = np.zeros(len(every), np.uint64)
     np.add.at(totals, at, np.concatenate([_values(c, np.uint64) for _, _, c in asked]))
     single = (every & np.uint64(_CODE)) == 1
@@ -193,6 +205,7 @@ class Automaton:
 
     def __init__(self, grams: Grams, counts: np.ndarray, n: int, v: int, mass: float):
         keys, order = grams.asked(), len(grams.keys)
+        self.order = order
         learnt = [counts[np.searchsorted(keys, k)] for k in grams.keys]
         self.known = learnt[0] > 0
         p = (learnt[0] + 1) / (n + v + 1)
@@ -227,31 +240,46 @@ class Automaton:
         self.weight, self.next = np.concatenate([a[1] for a in arcs])[by], np.concatenate([a[2] for a in arcs])[by]
         self.begin = state[0] if order > 1 else np.zeros(width, np.int64)
 
-    def scores(self, grams: Grams) -> np.ndarray:
-        """Of each text the sum of what its way through the automaton weighs. One step takes every text that is long
-        enough a token further."""
-        by = np.argsort(-grams.lengths, kind="stable")
-        first, lengths = grams.texts[by], grams.lengths[by]
+    def step(self, at: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after a word each, and what the ways there weigh."""
+        at, after, weight = at.copy(), np.empty(len(at), np.int64), np.zeros(len(at))
+        left = np.arange(len(at))
+        while len(left):
+            label = at[left] * self.width + word[left]
+            arc = np.minimum(np.searchsorted(self.labels, label), len(self.labels) - 1)
+            hit = self.labels[arc] == label
+            done, arc = left[hit], arc[hit]
+            weight[done] += self.weight[arc]
+            after[done] = self.next[arc]
+            left = left[~hit]
+            weight[left] += self.fail_weight[at[left]]
+            at[left] = self.fail[at[left]]
+        return after, weight
+
+    def scores(self, grams: Grams, piece: int = PIECE) -> np.ndarray:
+        """Of each text the sum of what its way through the automaton weighs. One step takes every piece a token
+        further; a piece inside a text begins in the state to which the words before lead, as no state remembers more
+        of them than the longest context has."""
+        piece = max(piece, self.order)
+        n = -(-grams.lengths // piece)
+        text = np.repeat(np.arange(len(n)), n)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+        lengths = np.minimum(piece, grams.lengths[text] - number * piece)
+        by = np.argsort(-lengths, kind="stable")
+        text, number, lengths = text[by], number[by], lengths[by]
+        first = grams.texts[text] + number * piece  # the token before a piece
         tokens = grams.ids[0]
-        at = self.begin[tokens[first]]
+        at = np.zeros(len(by), np.int64)
+        at[number == 0] = self.begin[tokens[first[number == 0]]]
+        inner = np.flatnonzero(number)
+        for back in range(self.order - 2, -1, -1):
+            at[inner] = self.step(at[inner], tokens[first[inner] - back])[0]
         total = np.zeros(len(by))
         going = np.searchsorted(-lengths, -np.arange(1, (lengths[0] if len(by) else 0) + 1), "right")
         for step, n in enumerate(going, 1):
-            word = tokens[first[:n] + step]
-            left = np.arange(n)
-            while len(left):
-                label = at[left] * self.width + word[left]
-                arc = np.minimum(np.searchsorted(self.labels, label), len(self.labels) - 1)
-                hit = self.labels[arc] == label
-                done, arc = left[hit], arc[hit]
-                total[done] += self.weight[arc]
-                at[done] = self.next[arc]
-                left = left[~hit]
-                total[left] += self.fail_weight[at[left]]
-                at[left] = self.fail[at[left]]
-        out = np.empty(len(by))
-        out[by] = total
-        return out
+            at[:n], weight = self.step(at[:n], tokens[first[:n] + step])
+            total[:n] += weight
+        return np.bincount(text, total, len(grams.texts))
 
 
 def _scored(blob: bytes, answers: list[bytes], order: int, mass: float, n: int, v: int) -> pa.RecordBatch:
