@@ -36,7 +36,7 @@ LEAST_DOCS, TOP = 10, 10
 #: Shares are counted in so many parts.
 PARTS = 1_000_000_000
 #: Bytes of a slice of texts, rows that a task holds before it hands them on, pointers that are sorted without parting.
-SLICE, HELD, SMALL = 8 << 20, 1 << 20, 1 << 16
+SLICE, HELD, SMALL = 4 << 20, 400_000, 1 << 16
 #: Sources of a tile and terms of a slice of a language, in which pairs are compared.
 TILE, TERMS = 32, 4096
 
@@ -185,6 +185,7 @@ def count_terms(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterato
                 if rows > HELD // 2:
                     yield from held[0].to_batches(1 << 16)
                     held, rows = [], 0
+                    pa.default_memory_pool().release_unused()
     if held:
         yield from _merged(held).to_batches(1 << 16)
 
