@@ -20,11 +20,13 @@ class BuildError(ValueError):
 
 @dataclass(frozen=True)
 class Failure:
-    """One fallible call: its name, its first argument and whether it failed."""
+    """One fallible call: its name, its first argument and whether it failed; ``result`` is what it gives, where it
+    fails just if that is null and the input is not."""
 
     function: str
     input: Column
     failed: Column
+    result: Column | None = None
 
 
 @dataclass(frozen=True, eq=False)
@@ -139,7 +141,7 @@ def join_failures(*values: Val) -> tuple[Failure, ...]:
 def fallible(function: str, result: Column, *arguments: Val, kind: str | None) -> Val:
     """The result of a call that can fail, with the failures of its arguments before its own."""
     present = reduce(lambda a, b: a & b, [a.col.isNotNull() for a in arguments])
-    own = Failure(function, arguments[0].col, present & result.isNull())
+    own = Failure(function, arguments[0].col, present & result.isNull(), result if len(arguments) == 1 else None)
     return Val(result, (*join_failures(*arguments), own), kind)
 
 

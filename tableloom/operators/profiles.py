@@ -6,12 +6,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field as _field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars
-from ..functions.values import Val, fallible, field
+from ..functions.values import Failure, Val, fallible, field
 from .schemas import stable_hash
 from .steps import StepResult, _apply
 
@@ -40,24 +40,29 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None, exact: boo
     texts = _text_columns(df)
     parts = []
     for group in _groups(columns):
-        structs = []
-        for name in group:
-            c = F.col(f"`{name}`")
-            s = c.cast("string")
-            text = name in texts
+        structs, bound = [], []
+        for i, name in enumerate(group):
+            c = F.col(f"c{i}")
+            text, s = name in texts, c if name in texts else c.cast("string")
+            bare, missing = F.col(f"t{i}"), F.col(f"m{i}")
+            bound.append(F.col(f"`{name}`").alias(f"c{i}"))
             no = F.lit(0).cast("bigint")
             structs.append(F.struct(
                 F.lit(name).alias("column"), F.count(F.lit(1)).alias("n_rows"), F.count_if(c.isNull()).alias("n_null"),
                 (F.count_if(s == "") if text else no).alias("n_empty"),
-                (F.count_if((s != "") & (F.btrim(s, F.lit(scalars.BLANKS)) == "")) if text else no).alias("n_blank"),
-                (F.count_if(scalars.is_missing_token(field(name, "text")).col & (F.btrim(s, F.lit(scalars.BLANKS)) != ""))
-                 if text else no).alias("n_missing_token"),
+                (F.count_if((s != "") & (bare == "")) if text else no).alias("n_blank"),
+                (F.count_if(missing & (bare != "")) if text else no).alias("n_missing_token"),
                 F.min(s if text else c).cast("string").alias("least"), F.max(s if text else c).cast("string").alias("greatest"),
                 (F.min(F.length(s)) if text else F.lit(None).cast("int")).alias("min_length"),
                 (F.max(F.length(s)) if text else F.lit(None).cast("int")).alias("max_length"),
-                (F.coalesce(F.max(s.rlike("^0[0-9]+$")), F.lit(False)) if text else F.lit(False)).alias("leading_zeros"),
+                (F.coalesce(F.max(F.startswith(s, F.lit("0")) & s.rlike("^0[0-9]+$")), F.lit(False)) if text
+                 else F.lit(False)).alias("leading_zeros"),
                 (F.lit(None).cast("bigint") if exact else F.approx_count_distinct(c)).alias("n_distinct")))
-        row = df.agg(F.array(*structs).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
+        places = [i for i, name in enumerate(group) if name in texts]
+        read = df.select(*bound)  # one projection after the other: each text is stripped once, then looked at once
+        read = read.select("*", *[F.btrim(f"c{i}", F.lit(scalars.BLANKS)).alias(f"t{i}") for i in places])
+        read = read.select("*", *[scalars.is_missing_token(field(f"t{i}", "text")).col.alias(f"m{i}") for i in places])
+        row = read.agg(F.array(*structs).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
         if exact:
             values = F.explode(F.array(*[F.struct(F.lit(n).alias("c"), F.col(f"`{n}`").cast("string").alias("v")) for n in group]))
             distinct = df.select(values.alias("x")).select("x.c", "x.v").where("v IS NOT NULL").distinct().groupBy(
@@ -71,49 +76,130 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None, exact: boo
     return out
 
 
-def _attempt(name: str, how: str) -> Val:
-    f = field(name, "text")
-    return getattr(scalars, how)(f) if how in COERCIONS else scalars.parse_date(f, how)
-
-
 _WAYS = (*COERCIONS, *DATE_FORMATS)
 _RATES = "column string, how string, n_values bigint, n_passed bigint, rate double, examples array<string>"
+#: Classes of failing texts, by hash, whose least ones bound the least of all.
+_CLASSES = 4
+
 
+def _attempts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Of each row the texts ``s{i}``, stripped ``t{i}``, the number they are ``v{i}``, and whether each way reads them,
+    ``p{i}_{j}``: one projection after the other, so that every attempt is made once a row."""
+    n = range(len(columns))
+    read = df.select(*[F.col(f"`{c}`").alias(f"s{i}") for i, c in enumerate(columns)])
+    read = read.select("*", *[F.btrim(f"s{i}", F.lit(scalars.BLANKS)).alias(f"t{i}") for i in n])
+    read = read.select("*", *[scalars.to_number(field(f"t{i}", "text")).col.alias(f"v{i}") for i in n])
 
-def _attempts(columns: Sequence[str]) -> list[Column]:
-    """Of each row the texts ``s{i}`` and whether each way reads them, ``p{i}_{j}``: every attempt is made once."""
-    return [F.col(f"`{c}`").alias(f"s{i}") for i, c in enumerate(columns)] + [
-        _attempt(c, how).col.isNotNull().alias(f"p{i}_{j}") for i, c in enumerate(columns) for j, how in enumerate(_WAYS)]
+    def passes(i: int, how: str) -> Column:
+        text, number = field(f"t{i}", "text"), field(f"v{i}", "number")
+        if how in ("to_number", "to_integer"):
+            return getattr(scalars, how)(number).col.isNotNull()
+        # a number is no date, and a date no number: the tests for one spare those for the other
+        made = getattr(scalars, how)(text) if how in COERCIONS else scalars.parse_date(text, how)
+        return made.col.isNotNull() if how == "to_boolean" else number.col.isNull() & made.col.isNotNull()
+
+    return read.select("*", *[passes(i, how).alias(f"p{i}_{j}") for i in n for j, how in enumerate(_WAYS)])
 
 
 def _rate_structs(columns: Sequence[str]) -> list[Column]:
+    """For each column and way its counts, and the least failing text of each class of texts."""
     structs = []
     for i, name in enumerate(columns):
         s = F.col(f"s{i}")
         short = F.left(s, F.lit(EXAMPLE_CHARS))
         for j, how in enumerate(_WAYS):
             passed = F.col(f"p{i}_{j}")
-            failing = F.when(s.isNotNull() & ~passed, short)
+            least = [F.min(F.when(s.isNotNull() & ~passed & (F.pmod(F.hash(short), F.lit(_CLASSES)) == k), short)) for k in range(_CLASSES)]
             structs.append(F.struct(
                 F.lit(name).alias("column"), F.lit(how).alias("how"), F.count(s).alias("n_values"),
-                F.count_if(passed).alias("n_passed"),
-                F.array_compact(F.array(F.min(failing), F.max(failing))).alias("examples")))
+                F.count_if(passed).alias("n_passed"), F.array_sort(F.array_compact(F.array(*least))).alias("examples")))
     return structs
 
 
+def _failing_examples(df: DataFrame, group: Sequence[str], rows: Sequence) -> dict[tuple[str, str], list[str]]:
+    """The least ``EXAMPLES`` distinct failing texts of each column and way. Those of the classes bound them from above,
+    so few rows are looked at again; where there are no more distinct texts than classes tell, there is no bound. Texts
+    are combined in each task, and a task hands on no more of a way than are asked for."""
+    at = {name: i for i, name in enumerate(group)}
+    wanted, near = [], F.lit(False)
+    for r in rows:
+        i, j = at[r["column"]], _WAYS.index(r["how"])
+        short = F.left(F.col(f"s{i}"), F.lit(EXAMPLE_CHARS))
+        if not r["examples"]:
+            continue
+        under = short <= F.lit(r["examples"][EXAMPLES - 1]) if len(r["examples"]) >= EXAMPLES else F.lit(True)
+        failing = F.col(f"s{i}").isNotNull() & ~F.col(f"p{i}_{j}") & under
+        wanted.append(F.when(failing, F.struct(F.lit(r["column"]).alias("column"), F.lit(r["how"]).alias("how"), short.alias("text"))))
+        near = near | (F.left(F.col(f"`{r['column']}`"), F.lit(EXAMPLE_CHARS)) <= F.lit(r["examples"][EXAMPLES - 1])
+                       if len(r["examples"]) >= EXAMPLES else F.col(f"`{r['column']}`").isNotNull())
+    if not wanted:
+        return {}
+    texts = _attempts(df.where(near), group).select(F.explode(F.array_compact(F.array(*wanted))).alias("x")).select("x.*").distinct()
+    first = F.row_number().over(Window.partitionBy("column", "how").orderBy("text"))
+    found: dict[tuple[str, str], list[str]] = {}
+    for r in texts.withColumn("_n", first).where(F.col("_n") <= EXAMPLES).orderBy("column", "how", "text").collect():  # 3 a way
+        found.setdefault((r["column"], r["how"]), []).append(r["text"])
+    return found
+
+
 def parse_rates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, how, n_values, n_passed, rate, examples): how often each coercion and date format reads the texts,
-    with up to two failing texts, the least and the greatest."""
+    """(column, how, n_values, n_passed, rate, examples): how often each coercion and date format reads the texts, with
+    the least three texts of up to 50 characters that it does not read. One aggregation over the table, and a second
+    look at the few rows with small failing texts."""
     columns = [c for c in (columns or df.columns) if c in _text_columns(df)]
-    out = None
+    out = []
     for group in _groups(columns):
-        row = df.select(*_attempts(group)).agg(F.array(*_rate_structs(group)).alias("rows"))
-        part = row.select(F.explode("rows").alias("r")).select("r.*")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return df.sparkSession.createDataFrame([], _RATES)
-    return out.select("column", "how", "n_values", "n_passed",
-                      F.try_divide("n_passed", "n_values").alias("rate"), F.array_distinct("examples").alias("examples"))
+        rows = _attempts(df, group).agg(F.array(*_rate_structs(group)).alias("rows")).first()["rows"]  # some rows per column
+        examples = _failing_examples(df, group, rows)
+        out += [(r["column"], r["how"], r["n_values"], r["n_passed"], r["n_passed"] / r["n_values"] if r["n_values"] else None,
+                 examples.get((r["column"], r["how"]), [])) for r in rows]
+    return df.sparkSession.createDataFrame(out, _RATES)
+
+
+# --- statistics that are kept by part and merged -----------------------------------------------------------------------
+
+#: Parameters of the sketches: distinct values within about 2 %, ranks within about 2 %.
+SKETCH_BITS, SKETCH_K = 12, 200
+
+
+def part_sketches(df: DataFrame, part: str, columns: Sequence[str]) -> DataFrame:
+    """(part, column, n_rows, n_null, distinct, ranks): a row for each part of a table, such as a day, and column, with
+    sketches that can be merged. One aggregation, combined in each task. Keep the rows, and make new ones of new parts
+    only: nothing that was read is read again."""
+    structs = []
+    for name in columns:
+        c, numeric = F.col(f"`{name}`"), isinstance(df.schema[name].dataType, T.NumericType)
+        value = c if isinstance(df.schema[name].dataType, (T.IntegerType, T.LongType, T.StringType, T.BinaryType)) else c.cast("string")
+        structs.append(F.struct(
+            F.lit(name).alias("column"), F.count(F.lit(1)).alias("n_rows"), F.count_if(c.isNull()).alias("n_null"),
+            F.hll_sketch_agg(value, F.lit(SKETCH_BITS)).alias("distinct"),
+            (F.kll_sketch_agg_double(c.cast("double"), F.lit(SKETCH_K)) if numeric else F.lit(None).cast("binary")).alias("ranks")))
+    rows = df.groupBy(F.col(f"`{part}`").alias("part")).agg(F.array(*structs).alias("x"))
+    return rows.select("part", F.explode("x").alias("x")).select("part", "x.*")
+
+
+def grown_sketches(saved: DataFrame, df: DataFrame, part: str, columns: Sequence[str]) -> DataFrame:
+    """Saved sketches with those of the table's new parts; the filter on ``part`` prunes the parts that are known."""
+    known = [r[0] for r in saved.select("part").distinct().collect()]  # parts of a table, such as its days
+    new = df.where(~F.col(f"`{part}`").isin(known) | F.col(f"`{part}`").isNull()) if known else df
+    return saved.unionByName(part_sketches(new, part, columns))
+
+
+def merged_sketches(sketches: DataFrame, quantiles: Sequence[float] = (0.5,)) -> DataFrame:
+    """(column, n_rows, n_null, n_distinct, quantiles) over all parts."""
+    rows = sketches.groupBy("column").agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("n_null").alias("n_null"), F.hll_union_agg("distinct").alias("d"),
+        F.kll_merge_agg_double("ranks").alias("r"))
+    has = F.kll_sketch_get_n_double("r") > 0
+    found = F.array(*[F.kll_sketch_get_quantile_double("r", F.lit(float(q))) for q in quantiles])
+    return rows.select("column", "n_rows", "n_null", F.hll_sketch_estimate("d").alias("n_distinct"),
+                       F.when(F.col("r").isNotNull() & has, found).alias("quantiles"))
+
+
+def sketched_bounds(sketches: DataFrame, column: str, buckets: int) -> list[float]:
+    """Bounds that deal a column's values into about equal buckets, from kept sketches: no pass over the table."""
+    row = merged_sketches(sketches.where(F.col("column") == column), [i / buckets for i in range(1, buckets)]).first()
+    return sorted(set(row["quantiles"] or [])) if row else []
 
 
 _COUNTS = ("n_null", "n_empty", "n_blank", "n_missing_token")
@@ -219,10 +305,19 @@ def clear_missing(x: Val) -> Val:
     return Val(F.when(~scalars.is_missing_token(x).col, x.col), x.failures, "text")
 
 
+def _undressed(x: Val) -> Val:
+    """Text without currency signs, percent signs and units. A look at its ends spares most texts the pattern."""
+    bare = scalars.trim(x)
+    first, last = F.left(bare.col, F.lit(1)), F.right(bare.col, F.lit(1))
+    letter = (last >= "A") & (last <= "Z") | (last >= "a") & (last <= "z")
+    dressed = first.isin(*CURRENCIES) | last.isin(*CURRENCIES, "%") | letter
+    less = scalars.regex_replace(bare, r"^[$€£¥]\s*|\s*[$€£¥%]$|\s*[A-Za-z]{1,4}$", "")
+    return Val(F.when(dressed, less.col).otherwise(bare.col), bare.failures, "text")
+
+
 def clean_number(x: Val, decimal_mark: str = ".") -> Val:
     """A number out of text with currency signs, percent signs, units and marks between thousands."""
-    bare = scalars.regex_replace(scalars.trim(x), r"^[$€£¥]\s*|\s*[$€£¥%]$|\s*[A-Za-z]{1,4}$", "")
-    return scalars.parse_number(bare, decimal_mark)
+    return scalars.parse_number(_undressed(x), decimal_mark)
 
 
 def decimal_mark(df: DataFrame, column: str) -> str:
@@ -294,10 +389,20 @@ class CleanPlan:
         return out
 
     def apply(self, df: DataFrame, policy: str = "quarantine") -> StepResult:
-        """All columns cleaned in one pass, in their places."""
-        whole = Val(F.lit(True), tuple(f for v in self.values.values() for f in v.failures), "boolean")
-        columns = [self.values[c].col.alias(c) if c in self.values else F.col(f"`{c}`") for c in df.columns]
-        return _apply(df, "clean", whole, policy, lambda d: d.select(*columns))
+        """All columns cleaned in one pass, in their places; each value is worked out once a row."""
+        made = {c: f"__clean{i}__" for i, c in enumerate(self.values)}
+        failures = []
+        for c, v in self.values.items():
+            own = v.failures[-1] if v.failures else None
+            if own and own.result is v.col:  # it fails where it is null, so the value that is there tells
+                own = Failure(own.function, own.input, own.input.isNotNull() & F.col(made[c]).isNull())
+                failures += [*v.failures[:-1], own]
+            else:
+                failures += v.failures
+        bound = df.withColumns({made[c]: v.col for c, v in self.values.items()}) if made else df
+        columns = [F.col(made[c]).alias(c) if c in made else F.col(f"`{c}`") for c in df.columns]
+        row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+        return _apply(bound, "clean", Val(F.lit(True), tuple(failures), "boolean"), policy, lambda d: d.select(*columns), row)
 
 
 #: A coercion that would fail in more than this share of rows is left out.
@@ -308,23 +413,23 @@ _ISO = [f for f in DATE_FORMATS if f.startswith("YYYY")]
 def _cleaning_facts(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
     """What the rules need to know of each text column, gathered in one aggregation: every attempt to read a text is
     made once a row."""
-    made = []
-    for i, name in enumerate(columns):
-        x = clear_missing(field(name, "text"))
-        made += [x.col.alias(f"x{i}"), clean_boolean(x).col.isNotNull().alias(f"b{i}")]
-        made += [clean_number(x, mark).col.isNotNull().alias(f"n{i}{k}") for k, mark in enumerate(".,")]
-        made += [scalars.parse_date(x, f).col.isNotNull().alias(f"d{i}_{j}") for j, f in enumerate(DATE_FORMATS)]
-    both = df.select(*made, *_attempts(columns))
+    n = range(len(columns))
+    both = _attempts(df, columns)
+    both = both.select("*", *[clear_missing(field(f"t{i}", "text")).col.alias(f"x{i}") for i in n])
+    both = both.select("*", *[_undressed(field(f"x{i}", "text")).col.alias(f"u{i}") for i in n])
+    both = both.select("*", *[clean_boolean(field(f"x{i}", "text")).col.isNotNull().alias(f"b{i}") for i in n], *[
+        scalars.parse_number(field(f"u{i}", "text"), mark).col.isNotNull().alias(f"n{i}{k}") for i in n for k, mark in enumerate(".,")])
     aggs = [F.array(*_rate_structs(columns)).alias("rates"), F.count(F.lit(1)).alias("n")]
     iso = [DATE_FORMATS.index(f) for f in _ISO]
     dmy, mdy = DATE_FORMATS.index("DD/MM/YYYY"), DATE_FORMATS.index("MM/DD/YYYY")
     for i in range(len(columns)):
-        x, d = F.col(f"x{i}"), [F.col(f"d{i}_{j}") for j in range(len(DATE_FORMATS))]
+        # no word for a missing value is a date
+        x, d = F.col(f"x{i}"), [F.col(f"p{i}_{len(COERCIONS) + j}") for j in range(len(DATE_FORMATS))]
         read = reduce(lambda a, b: a | b, [d[j] for j in iso])
         facts = {
             "present": F.count(x), "booleans": F.count_if(F.col(f"b{i}")), "points": F.count_if(F.col(f"n{i}0")),
-            "commas": F.count_if(F.col(f"n{i}1")), "comma_marks": F.count_if(x.rlike(r",[0-9]{1,2}([^0-9]|$)")),
-            "point_marks": F.count_if(x.rlike(r"\.[0-9]{1,2}([^0-9]|$)")), "dmy": F.count_if(d[dmy] & ~d[mdy]),
+            "commas": F.count_if(F.col(f"n{i}1")), "comma_marks": F.count_if(F.contains(x, F.lit(",")) & x.rlike(r",[0-9]{1,2}([^0-9]|$)")),
+            "point_marks": F.count_if(F.contains(x, F.lit(".")) & x.rlike(r"\.[0-9]{1,2}([^0-9]|$)")), "dmy": F.count_if(d[dmy] & ~d[mdy]),
             "mdy": F.count_if(d[mdy] & ~d[dmy]), "either": F.count_if(d[dmy] & d[mdy]),
             "none": F.count_if(read), "with_dmy": F.count_if(read | d[dmy]), "with_mdy": F.count_if(read | d[mdy]),
             **{f: F.count_if(d[j]) for j, f in enumerate(DATE_FORMATS)}}

@@ -12,8 +12,12 @@ from pyspark.sql import types as T
 from ..functions.values import BuildError
 
 
+#: A name that ends in a number in parentheses.
+_NUMBERED = r"^(.*) \(([1-9][0-9]{0,8})\)$"
 #: Right rows of an as-of join that are broadcast at most, and their bytes at most (counted as text).
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32_000_000
+#: Spans, or runs of them, that a left row of an as-of join is compared with at a time.
+FAN = 64
 
 
 def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: str, right_time: str,
@@ -22,7 +26,8 @@ def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: s
 
     Of right rows with equal key and time the largest values win; null keys and times never match. A small right side
     (by rows and bytes, counted) becomes spans from each time to the next and is broadcast: left rows are not shuffled,
-    however many a key has. A large one meets the left rows in slices of time, so that a key with most rows is dealt
+    however many a key has. A key of many spans is a search tree: runs of ``FAN`` spans, runs of such runs, and so on,
+    are looked up level by level, so a left row is compared with ``FAN`` spans a level. A large right side meets the left rows in slices of time, so that a key with most rows is dealt
     over many tasks; what holds at a slice's begin comes from the slices before it."""
     keys = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(on)]
     names = [f"k{i}" for i in range(len(on))]
@@ -32,14 +37,29 @@ def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: s
     points = told.groupBy(*names, "t").agg(F.max("value").alias("value"))
     own = F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("row")
     rows = left.select(own, *keys, F.col(f"`{left_time}`").alias("t"))
-    probe = told.limit(BROADCAST_ROWS + 1).agg(
-        F.count(F.lit(1)), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    probe = told.limit(BROADCAST_ROWS + 1).groupBy(*names).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length(F.to_json(F.struct("*")))).alias("size")).agg(
+        F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0)), F.max("n")).first()
     if probe[0] <= BROADCAST_ROWS and probe[1] <= BROADCAST_BYTES:
-        until = F.lead("t").over(Window.partitionBy(*names).orderBy("t"))
-        spans = points.withColumn("until", until).toDF(*[f"{k}_" for k in names], "since", "value", "until")
-        same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"{k}_") for k in names])
-        met = same & (F.col("t") >= F.col("since")) & (F.col("until").isNull() | (F.col("t") < F.col("until")))
-        found = rows.join(F.broadcast(spans), met, "left")
+        spans = points.select(
+            *names, F.col("t").alias("since"), F.lead("t").over(Window.partitionBy(*names).orderBy("t")).alias("until"), "value",
+            (F.row_number().over(Window.partitionBy(*names).orderBy("t")) - 1).alias("at"))
+        levels = 1
+        while FAN**levels < (probe[2] or 0):
+            levels += 1
+        found = rows.withColumn("run", F.lit(0))
+        for level in reversed(range(levels)):  # from the widest runs to the spans
+            width = FAN**level
+            run = F.floor(F.col("at") / width)
+            step = spans if not level else spans.groupBy(*names, run.alias("at")).agg(
+                F.min("since").alias("since"), F.when(F.count_if(F.col("until").isNull()) == 0, F.max("until")).alias("until"))
+            step = step.select(*[F.col(k).alias(f"{k}_") for k in names], "since", "until", F.col("at").alias("at_"),
+                               F.floor(F.col("at") / FAN).alias("run_") if level < levels - 1 else F.lit(0).alias("run_"),
+                               *([] if level else ["value"]))
+            same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"{k}_") for k in names], F.col("run") == F.col("run_"))
+            met = same & (F.col("t") >= F.col("since")) & (F.col("until").isNull() | (F.col("t") < F.col("until")))
+            found = found.join(F.broadcast(step), met, "left").select(
+                "row", *names, "t", F.col("at_").alias("run"), *([] if level else ["value"]))
     else:
         part = F.floor(F.unix_timestamp(F.col("t").cast("timestamp")) / F.lit(slice_seconds)).alias("part")
         cut = points.select(*names, "t", "value", part)
@@ -105,12 +125,33 @@ def with_parameters(df: DataFrame, parameters: DataFrame) -> DataFrame:
 
 
 def number_duplicates(df: DataFrame, scope: Sequence[str], name: str, order: Sequence[str]) -> DataFrame:
-    """Names made unique within a scope, ignoring case: the oldest keeps its name, later ones get `` (2)`` etc."""
-    w = Window.partitionBy(*scope, F.lower(F.col(f"`{name}`"))).orderBy(*order)
-    n = F.row_number().over(w)
-    return df.withColumn("_n", n).withColumn(
-        name, F.when(F.col("_n") == 1, F.col(f"`{name}`")).otherwise(
-            F.concat(F.col(f"`{name}`"), F.lit(" ("), F.col("_n"), F.lit(")")))).drop("_n")
+    """Names made unique within a scope, ignoring case: the oldest keeps its name, later ones get the lowest numbers
+    from `` (2)`` on with which no name of the scope ends in parentheses already.
+
+    A name ``x (n)`` takes the number n from the names ``x``; the free numbers are the rest, counted from 2. Several
+    ``x (2)`` are a group of their own, whose suffix comes after the one that they have. A group's rows and its taken
+    numbers stand in one order, so that each row counts the taken ones below its own; nothing is collected."""
+    whole = F.col(f"`{name}`")
+    low = F.lower(whole)
+    base, number = F.regexp_extract(low, _NUMBERED, 1), F.regexp_extract(low, _NUMBERED, 2).try_cast("int")
+    by = [F.col(f"`{c}`").alias(f"_s{i}") for i, c in enumerate(scope)]
+    group = [*[f"_s{i}" for i in range(len(scope))], "_name"]
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+    rows = df.select(*by, low.alias("_name"), row, F.lit(None).cast("int").alias("_taken"), *[
+        F.col(f"`{c}`").alias(f"_o{i}") for i, c in enumerate(order)])
+    taken = df.where(number >= 2).select(*by, base.alias("_name"), number.alias("_taken")).distinct()
+    nth = F.row_number().over(Window.partitionBy(*group, F.col("_taken").isNull()).orderBy(
+        "_taken", *[f"_o{i}" for i in range(len(order))]))
+    both = rows.unionByName(taken, allowMissingColumns=True).withColumn("_nth", nth)
+    # the k-th taken number t has t - 1 - k free ones below it; the n-th row gets the free number n - 1 of them
+    place = F.coalesce(F.col("_taken") - 1 - F.col("_nth"), F.col("_nth") - 1)
+    line = Window.partitionBy(*group).orderBy(place, F.col("_taken").asc_nulls_first()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("_below", F.count("_taken").over(line))
+    old, number = F.col("_row").getField(name), (F.col("_nth") + F.col("_below")).cast("string")
+    out = F.when((F.col("_nth") > 1) & old.isNotNull(), F.concat(old, F.lit(" ("), number, F.lit(")"))).otherwise(old)
+    return both.where("_row IS NOT NULL").select(*[
+        (out if c == name else F.col("_row").getField(c)).alias(c) for c in df.columns])
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

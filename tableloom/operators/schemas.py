@@ -453,3 +453,63 @@ def stable_hash(value) -> str:
     if isinstance(value, Contract):
         value = [[c.name, c.source, c.type.simpleString(), c.key, c.nullable, c.json] for c in value.columns]
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
+
+
+# --- documents as they come ---------------------------------------------------------------------------------------------
+
+
+def _leaves(kind: T.DataType, path: tuple[str, ...] = ()) -> list[tuple[tuple[str, ...], T.DataType]]:
+    """The leaves of a type. An object with a name that no path can say, with both kinds of quotes, is one leaf."""
+    if isinstance(kind, T.StructType) and kind.fields and not any("'" in n and '"' in n for n in kind.names):
+        return [x for f in kind.fields for x in _leaves(f.dataType, (*path, f.name))]
+    return [(path, kind)]
+
+
+def _at(path: Sequence[str]) -> str:
+    """A path as ``variant_get`` takes it."""
+    return "$" + "".join(f'["{p}"]' if "'" in p else f"['{p}']" for p in path)
+
+
+def _is_object(v: str) -> Column:
+    return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT<")), F.lit(False))
+
+
+def inferred_documents(df: DataFrame, column: str) -> T.DataType:
+    """The type of the JSON objects in a text column, with every key that any of them has: one aggregation, whose result
+    is a type, whatever the number of rows. Other texts do not count, and values that clash become variants."""
+    rows = df.select(F.try_parse_json(f"`{column}`").alias("v"))
+    text = rows.agg(F.schema_of_variant_agg(F.when(_is_object("v"), F.col("v")))).first()[0] or "VOID"
+    return T._parse_datatype_string(text.replace("OBJECT<", "STRUCT<"))
+
+
+def document_presence(df: DataFrame, column: str, kind: T.DataType | None = None) -> DataFrame:
+    """(path, type, n_present, share) of each leaf of the documents in a JSON column: in how many it has a value."""
+    kind = inferred_documents(df, column) if kind is None else kind
+    leaves = [x for x in _leaves(kind) if x[0]]
+    if not leaves:
+        return df.sparkSession.createDataFrame([], "path string, type string, n_present bigint, share double")
+    rows = df.select(F.try_parse_json(f"`{column}`").alias("v"))
+    present = [F.variant_get("v", F.lit(_at(p)), "variant") for p, _ in leaves]
+    structs = [F.struct(F.lit(".".join(p)).alias("path"), F.lit(k.simpleString()).alias("type"),
+                        F.count_if(v.isNotNull() & ~F.is_variant_null(v)).alias("n_present"), F.count(F.lit(1)).alias("n"))
+               for (p, k), v in zip(leaves, present)]
+    return rows.agg(F.array(*structs).alias("x")).select(F.explode("x").alias("x")).select(
+        "x.path", "x.type", "x.n_present", F.try_divide("x.n_present", "x.n").alias("share"))
+
+
+def flattened_documents(df: DataFrame, column: str, kind: T.DataType | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects): a JSON text column as one column a leaf, under dotted names, with the keys of all rows; arrays
+    and clashing values become JSON text. A text that is neither null nor an object is rejected as
+    ``flatten_non_object``. One pass, given the type."""
+    kind = inferred_documents(df, column) if kind is None else kind
+    parsed = df.withColumn("_v", F.try_parse_json(f"`{column}`"))
+    odd = F.col(f"`{column}`").isNotNull() & ~(_is_object("_v") | F.coalesce(F.is_variant_null("_v"), F.lit(False)))
+    out = [F.col(f"`{c}`") for c in df.columns if c != column]
+    for path, k in _leaves(kind):
+        if path:
+            plain = not isinstance(k, (T.ArrayType, T.VariantType, T.NullType, T.StructType))
+            v = F.variant_get("_v", F.lit(_at(path)), "variant")
+            c = F.try_variant_get("_v", F.lit(_at(path)), k.simpleString()) if plain else F.when(~F.is_variant_null(v), F.to_json(v))
+            out.append(c.alias(f"{column}.{'.'.join(path)}"))
+    rejects = parsed.where(odd).select(F.lit("flatten_non_object").alias("function"), F.col(f"`{column}`").alias("input_value"))
+    return parsed.where(~odd).select(*out), rejects

@@ -1,14 +1,14 @@
 """Writing tables: versions behind a pointer, staged and asserted; upserts, deletes, quarantine and delivery.
 
 Plain Parquet has no transactions, so a ``VersionedTable`` is a folder of versions; readers see the version that the
-newest pointer file names. A commit claims the next version and writes the pointer last, through Spark's file system,
-so that a run that dies leaves the table as it was, and a run that is repeated under its run id changes nothing. It is
-meant for tables that may be written whole; where a table format is installed, use its ``MERGE``.
+newest pointer file names. Putting the pointer in its place is the only step that publishes, so a run that dies at any
+moment leaves the table as it was and in nobody's way, and a run that is repeated under its run id changes nothing. It is
+meant for tables that are replaced whole; for changes by key see ``keyed.KeyedTable``.
 """
 
 from __future__ import annotations
 
-
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from zoneinfo import ZoneInfo
 
@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.values import BuildError
 from ..operators import quality
+from .keyed import GONE
 from .staging import new_folder
 
 
@@ -56,12 +57,35 @@ class VersionedTable:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
     def _pointers(self) -> list[tuple[int, str]]:
+        """(version, run id) of what was published, in order."""
         fs, path = self._fs()
         folder = path(f"{self.path}/_commits")
         if not fs.exists(folder):
             return []
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        return sorted((int(n.split("-", 1)[0]), n.split("-", 1)[1]) for n in names if n[0].isdigit())
+        text = self.spark._jvm.org.apache.commons.io.IOUtils.toString
+        found = []
+        for s in fs.listStatus(folder):
+            if s.getPath().getName().isdigit():
+                stream = fs.open(s.getPath())
+                found.append((int(s.getPath().getName()), text(stream, "UTF-8")))
+                stream.close()
+        return sorted(found)
+
+    def _publish(self, v: int, run_id: str) -> None:
+        """The pointer, written aside and moved to its place, which fails if another run has a pointer there."""
+        fs, path = self._fs()
+        aside = path(f"{self.path}/_commits/_{v}-{run_id}-{uuid.uuid4().hex}")
+        stream = fs.create(aside)
+        stream.write(bytearray(run_id, "utf-8"))
+        stream.close()
+        jvm = self.spark._jvm
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), self.spark._jsc.hadoopConfiguration())
+        keep_target = self.spark._sc._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            files.rename(fs.makeQualified(aside), fs.makeQualified(path(f"{self.path}/_commits/{v:012d}")), keep_target)
+        except Exception:
+            fs.delete(aside, False)
+            raise
 
     @property
     def version(self) -> int:
@@ -71,11 +95,16 @@ class VersionedTable:
     def has_run(self, run_id: str) -> bool:
         return any(r == run_id for _, r in self._pointers())
 
-    def read(self) -> DataFrame | None:
-        """The current rows; None before the first commit."""
+    def stored(self) -> DataFrame | None:
+        """The current rows, and tombstones if a tick left any; None before the first commit."""
         found = self._pointers()
         return self.spark.read.parquet(f"{self.path}/v={found[-1][0]}-{found[-1][1]}") if found else None
 
+    def read(self) -> DataFrame | None:
+        """The current rows; None before the first commit."""
+        rows = self.stored()
+        return rows if rows is None or GONE not in rows.columns else rows.where(~F.col(GONE)).drop(GONE)
+
     def commit(self, df: DataFrame, run_id: str, asserts: Sequence[Callable[[DataFrame], None]] = (),
                base: int | None = None) -> int:
         """Writes a new version, checks it as it was written, and publishes it. A run id commits once. ``base`` is the
@@ -94,11 +123,8 @@ class VersionedTable:
         except Exception:
             fs.delete(path(target), True)
             raise
-        for folder in ("_claims", "_commits"):
-            fs.mkdirs(path(f"{self.path}/{folder}"))
-        # fails if another run claimed the version; one that died after its claim is cleared by hand
-        fs.create(path(f"{self.path}/_claims/{v:012d}"), False).close()
-        fs.create(path(f"{self.path}/_commits/{v:012d}-{run_id}"), False).close()
+        fs.mkdirs(path(f"{self.path}/_commits"))
+        self._publish(v, run_id)
         return v
 
     def replace(self, df: DataFrame, run_id: str, keys: Sequence[str] = (), least: float = 0.5,
@@ -224,10 +250,38 @@ def assign_parts(df: DataFrame, rows: int = PART_ROWS, size: int = PART_BYTES, f
     return parts.withColumn("last", last).withColumn("total_parts", F.lit(total).cast("bigint"))
 
 
-def deliver(df: DataFrame, send: Callable[[str], None]) -> None:
-    """Hands the body of each part to ``send`` on the executors."""
-    bodies = assign_parts(df).select("body")
-    bodies.foreachPartition(lambda rows: [send(r["body"]) for r in rows])
+def deliver(df: DataFrame, send: Callable[[str, str], None], folder: str | None = None,
+            has: Callable[[str], bool] | None = None) -> int:
+    """Hands (id, body) of each part to ``send`` on the executors; returns how many parts this run handed over.
+
+    ``folder``, in storage that is shared, holds one delivery: its parts, which are cut once, so their ids stay, and a
+    ledger of the ids that went out, which is read before anything is sent. A run that is started again goes on from
+    there. A task enters its parts when it ends, also where the run fails later; about parts of tasks that did not end,
+    ``has`` asks the receiver whether it knows the id. Without ``has`` those may come twice, under the same id."""
+    spark = df.sparkSession
+    folder = folder or new_folder(spark, "delivery")
+    fs = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    there = lambda name: bool(fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")))
+    if not there("parts/_SUCCESS"):
+        assign_parts(df, folder=f"{folder}/parts")
+    parts = spark.read.parquet(f"{folder}/parts").select(
+        F.concat_ws("-", F.col("partition").cast("string"), F.col("part").cast("string")).alias("id"), "body")
+    if there("ledger/*.parquet"):
+        parts = parts.join(spark.read.parquet(f"{folder}/ledger"), "id", "left_anti")
+    left = parts.count()
+    if not left:
+        return 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if has is None or not has(key):
+                    send(key, body.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([key])], ["id"])
+
+    parts.repartition(left, "id").mapInArrow(run, "id string").write.mode("append").option(
+        "mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(f"{folder}/ledger")  # a task's file stays
+    return left
 
 
 def write_ndjson(df: DataFrame, path: str) -> int:
@@ -243,14 +297,16 @@ def write_ndjson(df: DataFrame, path: str) -> int:
     return n
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header, quotes doubled inside quotes, and nulls told from empty texts."""
+def write_csv(df: DataFrame, path: str, rows_per_file: int = 100_000) -> None:
+    """CSV with a header, quotes doubled inside quotes, and nulls told from empty texts, in files of bounded length: one
+    with quoted line breaks cannot be split when it is read."""
     df.write.mode("overwrite").options(header=True, quote='"', escape='"', quoteAll=True, nullValue="\\N", emptyValue="",
-                                       ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, lineSep="\n").csv(path)
+                                       ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, lineSep="\n",
+                                       maxRecordsPerFile=rows_per_file).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """What ``write_csv`` wrote. Quoted line breaks are part of a value, so a file is read by one task."""
+    """What ``write_csv`` wrote. Quoted line breaks are part of a value, so a file, which is short, is read by one task."""
     return spark.read.schema(schema).options(header=True, quote='"', escape='"', multiLine=True, nullValue="\\N", emptyValue="",
                                              lineSep="\n", maxCharsPerColumn=-1).csv(path)
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import BuildError
 from ..operators.schemas import stable_hash
+from ..sources.keyed import GONE, KeyedTable, newest
 from ..sources.sinks import VersionedTable, deleted, last_wins, upserted
 
 OVERLAP = dt.timedelta(seconds=300)
@@ -149,31 +150,45 @@ def replace_table(table: VersionedTable, df: DataFrame, run_id: str, keys: Seque
 
 def upsert_delta(table: VersionedTable, df: DataFrame, run_id: str, keys: Sequence[str], sequence: str,
                  bookmark: dt.datetime | None = None, flag: str | None = None) -> int:
-    """Delta mode: rows since the bookmark, soft deletes applied, in one commit."""
+    """Delta mode: rows since the bookmark, soft deletes applied, in one commit. A row that is older than what the table
+    has of its key changes nothing; one without a time was read now, and counts as newer."""
     if table.has_run(run_id):
         return table.version
     rows = usable_keys(changed_since(df, sequence, bookmark), keys)
     rows = last_wins(rows, keys, sequence)
-    live, gone = split_soft_deletes(rows, flag) if flag else (rows, None)
     base, old = table.version, table.read()
+    if old is not None:
+        have = old.select(*keys, F.col(f"`{sequence}`").alias("_stored"))
+        newer = F.col("_stored").isNull() | F.col(f"`{sequence}`").isNull() | (F.col(f"`{sequence}`") >= F.col("_stored"))
+        rows = rows.join(have, list(keys), "left").where(newer).select(*[F.col(f"`{c}`") for c in rows.columns])
+    live, gone = split_soft_deletes(rows, flag) if flag else (rows, None)
     new = live if old is None else upserted(old, live, keys)
     return table.commit(new if gone is None else deleted(new, gone, keys), run_id, (), base)
 
 
-def tick(table: VersionedTable, changes: DataFrame, batch_id: int, keys: Sequence[str], sequence: str,
-         operation: str = "op") -> None:
-    """One micro-batch: collapsed, applied to the last version in one commit. A batch that comes again, or has no
-    rows, changes nothing."""
+def tick(table: VersionedTable | KeyedTable, changes: DataFrame, batch_id: int, keys: Sequence[str], sequence: str,
+         operation: str = "op", since=None) -> None:
+    """One micro-batch merged with what the table has: of each key the greatest state stays, and a deleted key stays
+    deleted (in a ``KeyedTable`` as it was made), so the table is the same for any order and split of the changes. A
+    batch that comes again, or has no rows, changes nothing. ``since`` is as in ``KeyedTable.merge``."""
+    if changes.isEmpty():
+        return
+    gone = F.col(f"`{operation}`").eqNullSafe("delete")
+    if isinstance(table, KeyedTable):
+        table.merge(changes.withColumn(GONE, gone).drop(operation), F.col(GONE), since)
+        return
     run_id = f"batch-{batch_id}"
-    if table.has_run(run_id) or changes.isEmpty():
+    if table.has_run(run_id):
         return
-    live, gone = collapse(changes, keys, sequence, operation)
-    base, old = table.version, table.read()
-    table.commit(live if old is None else upserted(deleted(old, gone, keys), live, keys), run_id, (), base)
+    rows = changes.withColumn(GONE, gone).drop(operation)
+    base, old = table.version, table.stored()
+    if old is not None:
+        rows = rows.unionByName(old if GONE in old.columns else old.withColumn(GONE, F.lit(False)))
+    table.commit(newest(rows, keys, sequence), run_id, (), base)
     table.drop_versions()
 
 
-def stream_into(changes: DataFrame, table: VersionedTable, checkpoint: str, keys: Sequence[str], sequence: str,
+def stream_into(changes: DataFrame, table: VersionedTable | KeyedTable, checkpoint: str, keys: Sequence[str], sequence: str,
                 operation: str = "op"):
     """A running query that applies a stream of changes, tick by tick, until it has read all there is."""
     return (
@@ -184,3 +199,23 @@ def stream_into(changes: DataFrame, table: VersionedTable, checkpoint: str, keys
     )
 
 
+# --- key lists in buckets -----------------------------------------------------------------------------------------------
+
+
+def saved_keys(df: DataFrame, keys: Sequence[str], table: str, buckets: int, path: str) -> DataFrame:
+    """The distinct keys of ``df`` as a table in ``buckets`` sorted buckets. Reconciliations read it in place: choose at
+    least as many buckets as the session has shuffle partitions, or Spark deals it anew."""
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS `{table}`")
+    rows = df.select(*keys).distinct().repartition(buckets, *keys)
+    rows.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).mode("overwrite").saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+def reconcile_saved(saved: DataFrame, scan: DataFrame, upserts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of each key of either side its state: ``delete`` if only the saved list has it, ``add`` if it is new, else
+    ``keep``. One join; the saved list, in buckets, stays where it is, and the keys that were seen are dealt to it."""
+    keys = list(keys)
+    now = scan.select(*keys).unionByName(upserts.select(*keys)).distinct().withColumn("_now", F.lit(True))
+    both = saved.select(*keys).withColumn("_saved", F.lit(True)).hint("merge").join(now, keys, "full")
+    state = F.when(F.col("_now").isNull(), "delete").when(F.col("_saved").isNull(), "add").otherwise("keep")
+    return both.select(*keys, state.alias("state"))
