@@ -13,13 +13,13 @@ through a logistic curve fitted to the labelled documents, is the document's sco
 without their own counts.
 
 Labels of at most SAMPLE documents are used (those with the smallest hash of their id, a documented bound that
-makes learning a fixed cost, and with it the model, which holds every unit of theirs that occurs twice: a single
-occurrence never is significant, and a word inherits the estimate of its broader unit); every document is scored, over
+makes learning a fixed cost, and with it the model, which holds every unit of theirs); every document is scored, over
 its whole text.
 
 Defined cases: null and empty texts have no words and get the curve's value at zero; without labels of both
 kinds the score is the share of toxic ones (0 without labels); a document with several labels is toxic if one is;
-labels that are null are not used; repeated rows are scored each, and equal texts get equal scores; an empty table gives
+labels that are null are not used; where rows share an id, the text with the smallest hash is learnt from; repeated
+rows are scored each, and equal texts get equal scores; an empty table gives
 an empty result; long texts take time in proportion to their words; extra columns of any name are not read, and kept
 columns may have any name.
 """
@@ -237,8 +237,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         .groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     )
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # SAMPLE rows
-    rows = staged(rows.select("toxic", "text"), "labelled")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # SAMPLE labels
+    # one row an id, however many rows of the table share it: what is gathered below is bounded by the sample
+    one = F.min_by("text", F.struct(F.col("text").isNull(), F.xxhash64("text"), "text")).alias("text")
+    rows = staged(rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), one).select("toxic", "text"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = [Counter(), Counter()]
@@ -264,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         .groupBy("unit").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     )
     total = words.agg(F.sum("a"), F.sum("b")).first()
-    held = units.where("a + b >= 2").select(F.xxhash64("unit"), "a", "b").toArrow()  # of at most ``sample`` documents
+    held = units.select(F.xxhash64("unit"), "a", "b").toArrow()  # of at most ``sample`` documents
     model = Model(*(held.column(i).to_numpy() for i in range(3)), total[0] or 0, total[1] or 0)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
