@@ -4,7 +4,8 @@ Base rules look at one document: too few words, or too many words inside repeate
 aggregate the failures of each rule (the base rules, and too many symbols for the words) by host: the domain of a
 URL, else the source as it stands. A host's failure rate by a rule is shrunk towards the rate of all hosts with a beta
 prior fitted to the hosts by moments; a host that stands out of the prior of one rule is rejected, with all its
-documents. A host with few documents stays near the common rate.
+documents. A host with few documents stays near the common rate. Where the hosts' rates spread no more than chance (and
+a prior of STRONGEST documents) explains, no spread can be fitted, and only rates beyond LEAST_RATE stand out.
 
 Defined cases: a null or empty text has no words and fails; a null host is a host of its own; repeated rows count
 each; an empty table gives an empty result; texts of any length are measured whole; hosts with equal rates (ties) get
@@ -29,11 +30,13 @@ WINDOW = 8
 MOST_REPEATED_PERCENT = 30
 #: Share of failing documents, after shrinking, beyond which a whole host goes in any case.
 WORST_RATE = 0.8
-#: A host whose rate does not exceed this is never rejected.
+#: Where hosts show no spread of their own, a host whose rate does not exceed this is not rejected.
 LEAST_RATE = 0.5
+#: The most documents that a prior counts as.
+STRONGEST = 1000.0
 MOST_SYMBOLS_PERCENT = 50
-#: Hosts that are broadcast at most; more are joined by shuffle.
-BROADCAST_HOSTS = 20_000
+#: Hosts that are broadcast at most, and the bytes of their names; more are joined by shuffle.
+BROADCAST_HOSTS, BROADCAST_BYTES = 20_000, 4_000_000
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = 1
@@ -131,8 +134,9 @@ def host_verdicts(failures: DataFrame, worst_rate: float = WORST_RATE, least_rat
 
     ``failures`` has host, n and a count of failures by rule, in as many rows a host as one likes. A rule's prior
     Beta(a, b) has the mean m of the hosts' rates and the variance v that is left of theirs after the sampling noise is
-    taken away: a + b = m (1 - m) / v - 1, held within [1, 1000]. A host is rejected by a rule if its shrunk rate
-    exceeds the limit m + 3 standard deviations of the prior, held within [least_rate, worst_rate]."""
+    taken away: a + b = m (1 - m) / v - 1, held within [1, STRONGEST]. A host is rejected by a rule if its shrunk rate
+    exceeds the limit m + 3 standard deviations of the prior, or ``worst_rate`` in any case; only where the hosts give no
+    spread (a + b is at STRONGEST) the limit is ``least_rate`` at least."""
     hosts = failures.groupBy("host").agg(F.sum("n").alias("n"), *[F.sum(r).alias(r) for r in RULES])
     hosts = staged(hosts, "hosts")
     asked = []
@@ -145,8 +149,9 @@ def host_verdicts(failures: DataFrame, worst_rate: float = WORST_RATE, least_rat
     rejected = F.lit(False)
     for r in RULES:
         m, v = seen[f"m_{r}"] or 0.0, max((seen[f"v_{r}"] or 0.0) - (seen[f"noise_{r}"] or 0.0), 0.0)
-        strength = min(max(m * (1 - m) / v - 1, 1.0), 1000.0) if v > 0 else 1000.0
-        limit = min(worst_rate, max(least_rate, m + 3 * math.sqrt(m * (1 - m) / (strength + 1))))
+        strength = min(max(m * (1 - m) / v - 1, 1.0), STRONGEST) if v > 0 else STRONGEST
+        limit = m + 3 * math.sqrt(m * (1 - m) / (strength + 1))
+        limit = min(worst_rate, limit if strength < STRONGEST else max(least_rate, limit))
         shrunk = (F.col(r) + F.lit(m * strength)) / (F.col("n") + F.lit(strength))
         rejected = rejected | (shrunk > F.lit(limit))
         out += [F.col(r).alias(f"failed_{r}"), shrunk.alias(f"rate_{r}"), F.lit(limit).alias(f"limit_{r}")]
@@ -161,8 +166,9 @@ def counted_failures(measured: DataFrame, host: Column) -> DataFrame:
 
 
 def _small(hosts: DataFrame) -> DataFrame:
-    """Marked for broadcast if there are few hosts."""
-    return F.broadcast(hosts) if hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS else hosts
+    """Marked for broadcast if the hosts are few and their names short."""
+    n, size = hosts.limit(BROADCAST_HOSTS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("host_")), F.lit(0))).first()
+    return F.broadcast(hosts) if n <= BROADCAST_HOSTS and size <= BROADCAST_BYTES else hosts
 
 
 def judge_documents(docs: DataFrame, host_col: str = "source", worst_rate: float = WORST_RATE) -> DataFrame:
@@ -205,7 +211,8 @@ _SQL_MOMENTS = ", ".join(
 _SQL_PRIORS = ", ".join(
     f"greatest(1.0, least(1000.0, coalesce(m_{r} * (1 - m_{r}) / nullif(v_{r}, 0) - 1, 1000.0))) AS s_{r}" for r in _SQL_RULES)
 _SQL_REJECTED = " OR ".join(
-    f"({r} + m_{r} * s_{r}) / (n + s_{r}) > least(0.8, greatest(0.5, m_{r} + 3 * sqrt(m_{r} * (1 - m_{r}) / (s_{r} + 1))))"
+    f"({r} + m_{r} * s_{r}) / (n + s_{r}) > least(0.8, greatest(CASE WHEN s_{r} < 1000 THEN 0 ELSE 0.5 END, "
+    f"m_{r} + 3 * sqrt(m_{r} * (1 - m_{r}) / (s_{r} + 1))))"
     for r in _SQL_RULES)
 
 QUERIES = {"op5_quality_rules": op5_quality_rules}
