@@ -192,15 +192,19 @@ def op9_drop_similar_lines(spark, sf_dir: str) -> DataFrame:
 LINES_SQL = r"""
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
                  generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM {table}),
-masked AS (SELECT doc_id, pos, list_transform(
-               list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> ''),
-               lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS w FROM lines),
-counted AS (SELECT *, len(w) AS n, (len(w) - 3) // 3 AS c1, (len(w) - 3) * 2 // 3 AS c2
-            FROM masked WHERE len(w) >= 3),
-keyed AS (SELECT doc_id, pos, unnest(CASE WHEN n >= 5 THEN [
-              [['0'], w, [], []], [['1'], w[1:3], w[4+c1:3+c2], w[4+c2:n]],
-              [['2'], w[1:3], w[4:3+c1], w[4+c2:n]], [['3'], w[1:3], w[4:3+c1], w[4+c1:3+c2]]]
-              ELSE [[['0'], w, [], []]] END) AS key, n FROM counted),
+split AS (SELECT doc_id, pos, regexp_matches(line, '[0-9]') AS digits,
+                 list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS own FROM lines),
+masked AS (SELECT *, list_transform(own, lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS m FROM split),
+told AS (SELECT *, NOT digits OR (len(m) - len(list_filter(m, lambda w: w = '<*>')) >= 3
+                                  AND 2 * len(list_filter(m, lambda w: w = '<*>')) <= len(m)) AS told FROM masked),
+counted AS (SELECT doc_id, pos, digits, told, CASE WHEN told THEN m ELSE own END AS w, len(m) AS n,
+                   (len(m) - 3) // 3 AS c1, (len(m) - 3) * 2 // 3 AS c2 FROM told WHERE len(m) >= 3),
+loose AS (SELECT *, list_filter(CASE WHEN told AND n >= 5 THEN [
+              [['1'], w[1:3], w[4+c1:3+c2], w[4+c2:n]], [['2'], w[1:3], w[4:3+c1], w[4+c2:n]],
+              [['3'], w[1:3], w[4:3+c1], w[4+c1:3+c2]]] ELSE [] END,
+              lambda k: NOT digits OR (len(flatten(k[2:4])) - len(list_filter(flatten(k[2:4]), lambda x: x = '<*>')) >= 3
+                        AND 2 * len(list_filter(flatten(k[2:4]), lambda x: x = '<*>')) <= len(flatten(k[2:4])))) AS more FROM counted),
+keyed AS (SELECT doc_id, pos, unnest(list_concat([[['0'], w, [], []]], more)) AS key, n FROM loose),
 recurring AS (SELECT n, key, min(struct_pack(d := doc_id, p := pos)) AS first FROM keyed
               GROUP BY n, key HAVING min(doc_id) <> max(doc_id)),
 gone AS (SELECT DISTINCT k.doc_id, k.pos FROM keyed k JOIN recurring r ON k.n = r.n AND k.key = r.key
