@@ -23,6 +23,7 @@ import hashlib
 import html as _html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -289,28 +290,101 @@ def write_warc(records: DataFrame, path: str, column: str = "record", file_bytes
     return sorted(r[0] for r in records.select(column).mapInArrow(run, "file string").collect())
 
 
+_MEMBER = b"\x1f\x8b\x08"
+_ENDS = re.compile(rb"[\r\n]*")
+_NEXT = b"\r\n\r\nWARC/"
+_LENGTH = re.compile(rb"^content-length[ \t]*:[ \t]*([0-9]{1,18})[ \t]*\r?$", re.M | re.I)
+
+
+def _inflated(data: bytes, step: int = 1 << 20) -> Iterator[bytes | None]:
+    """The bytes of a file piece by piece; None where a damaged or cut member ends and the next one begins."""
+    if not data.startswith(_MEMBER[:2]):
+        for at in range(0, len(data), step):
+            yield data[at : at + step]
+        return
+    at = 0
+    while 0 <= at < len(data):
+        member, place = zlib.decompressobj(31), at
+        try:
+            while not member.eof and (place < len(data) or member.unconsumed_tail):
+                rest = member.unconsumed_tail
+                if not rest:
+                    rest = data[place : place + step]
+                    place += len(rest)
+                yield member.decompress(rest, step)
+            if member.eof:
+                at = place - len(member.unused_data)
+                if at < len(data) and not data.startswith(_MEMBER, at):
+                    at = data.find(_MEMBER, at)  # padding between members
+                continue
+        except zlib.error:
+            pass
+        yield None
+        at = data.find(_MEMBER, at + 1)
+
+
+def cut_records(pieces: Iterator[bytes | None]) -> Iterator[bytes]:
+    """Records as they stand, of a file's bytes in pieces; no more than a record and a piece is held.
+
+    A length that is missing, no number, or not followed by the record's end does not count: such a record goes to where
+    the next one begins. What stands before a record and is none comes as a record of its own."""
+    held = bytearray()
+
+    def end_of(at: int, final: bool) -> int:
+        """Where the record that begins at a place ends; -1 if that is not known yet."""
+        if held.startswith(b"WARC/", at) or b"WARC/".startswith(held[at:]):
+            head = held.find(b"\r\n\r\n", at)
+            length = _LENGTH.search(held, at, head + 2) if head >= 0 else None
+            end = head + 4 + int(length[1]) if length else -1
+            if not final and (head < 0 or len(held) < end + 4):
+                return -1
+            if length and (held.startswith(b"\r\n\r\n", end) or end == len(held)):
+                return min(end + 4, len(held))
+            at = max(head, at)
+        following = held.find(_NEXT, at)
+        return following + 4 if following >= 0 else len(held) if final else -1
+
+    def whole(final: bool) -> Iterator[bytes]:
+        at = 0
+        while (at := _ENDS.match(held, at).end()) < len(held) and (end := end_of(at, final)) > at:
+            yield bytes(held[at:end])
+            at = end
+        del held[:at]
+
+    for piece in pieces:
+        if piece is None:
+            yield from whole(True)
+        else:
+            held += piece
+            yield from whole(False)
+    yield from whole(True)
+
+
 def read_warc(spark, path: str) -> DataFrame:
-    """(file, record) of ``.warc.gz`` or ``.warc`` files, each record as it stands. A file is read by one task."""
+    """(file, record) of ``.warc.gz`` or ``.warc`` files, each record as it stands.
+
+    A file (of 2 GB at most, as Spark reads it) is one task's; its records are inflated and handed on one by one. Damage
+    costs no more than where it is: a cut file gives what is there, after a damaged member the next one is read, and
+    bytes that are no record come as a record, from which ``derive_records`` makes one that says so."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0), batch.column(1)):
-                data = data.as_py()
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                found, at = [], 0
-                while at < len(data):
-                    head = data.find(b"\r\n\r\n", at)
-                    if head < 0:
-                        break
-                    size = Headers(parse_record(data[at:head])[0].pairs).get("Content-Length", "0")
-                    end = head + 4 + int(size) + 4
-                    found.append(data[at:end])
-                    at = end
-                for lo in range(0, len(found), 1_000):
-                    part = found[lo : lo + 1_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name.as_py()] * len(part), pa.string()), pa.array(part, pa.binary())], ["file", "record"])
+                found, size = [], 0
+
+                def part() -> pa.RecordBatch:
+                    return pa.RecordBatch.from_arrays(
+                        [pa.array([name.as_py()] * len(found), pa.string()), pa.array(found, pa.binary())], ["file", "record"])
+
+                for record in cut_records(_inflated(data.as_py())):
+                    found.append(record)
+                    size += len(record)
+                    if size > 8_000_000:
+                        yield part()
+                        found, size = [], 0
+                if found:
+                    yield part()
 
     return files.mapInArrow(run, "file string, record binary")
 
