@@ -3,30 +3,16 @@ connected components."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import shared_folder
 
-_own: list[str] = []
 _made: list[str] = []
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a new local one, but
-    only for a local master; elsewhere executors could not read each other's files."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        if not _own:
-            _own.append("file://" + tempfile.mkdtemp(prefix="tableloom-"))
-        base = _own[0]
-    return base.rstrip("/")
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: its lineage is cut and survives lost executors."""
     spark = df.sparkSession
