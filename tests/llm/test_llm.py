@@ -387,12 +387,49 @@ def brute_measures(t):
     return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(cover))
 
 
-def test_quality_against_brute_force(spark, texts):
+def brute_hosts(failures):
+    """failures: (host, three failures) of each document; the hosts that stand out of a prior."""
+    by_host = defaultdict(list)
+    for host, failed in failures:
+        by_host[host].append(failed)
+    bad = set()
+    for rule in range(3):
+        rates = {h: sum(f[rule] for f in v) / len(v) for h, v in by_host.items()}
+        m = sum(rates.values()) / len(rates)
+        v = sum((x - m) ** 2 for x in rates.values()) / len(rates) - sum(x * (1 - x) / len(by_host[h]) for h, x in rates.items()) / len(rates)
+        strength = min(max(m * (1 - m) / v - 1, 1), 1000) if v > 0 else 1000
+        limit = m + 3 * (m * (1 - m) / (strength + 1)) ** 0.5
+        limit = min(0.8, limit if strength < 1000 else max(0.5, limit))
+        bad |= {h for h, f in by_host.items() if (sum(x[rule] for x in f) + m * strength) / (len(f) + strength) > limit}
+    return bad
+
+
+def brute_failures(measures):
+    n, _, symbols, _, repeated = measures
+    return n < 20, 100 * repeated > 30 * n, 100 * symbols > 50 * n
+
+
+def test_quality_against_brute_force(spark, docs, texts):
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    bad = brute_hosts([(source[d], brute_failures(brute_measures(t))) for d, t in texts.items()])
     for r in queries.QUERIES["op5_quality_rules"](spark, DIR).collect():
         want = brute_measures(texts[r["doc_id"]])
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
-        failed = want[0] < 20 or 100 * want[4] > 30 * want[0]
-        assert r["base_failed"] == failed and r["kept"] == (not failed)
+        failed = any(brute_failures(want)[:2])
+        assert r["base_failed"] == failed and r["kept"] == (not failed and source[r["doc_id"]] not in bad)
+
+
+def test_a_fitted_limit_decides(spark):
+    """Thirty hosts with rates about 4 %, a little more apart than chance has them, and one with 30 %: far below one
+    half, and out of the prior."""
+    good = " ".join(f"w{i}" for i in range(30))
+    rows = [(h * 1000 + i, "short" if i < 10 + h % 4 * 10 else good, f"h{h}") for h in range(30) for i in range(600)]
+    rows += [(100_000 + i, "short" if i < 180 else good, "odd") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    want = brute_hosts([(s, (t == "short", False, False)) for _, t, s in rows])
+    assert want == {"odd"}
+    assert {r["source"] for r in quality_rules.judge_documents(df).where("host_rejected").collect()} == want
+    assert quality_rules.keep_good_documents(df).count() == sum(t == good and s != "odd" for _, t, s in rows)
 
 
 def test_bad_hosts_go(spark):
@@ -485,9 +522,52 @@ def test_toxicity_query_against_brute_force(spark):
         if d in texts:
             for w in set(re.findall(r"[^\W_]+", (texts[d] or "").lower())):
                 counts[toxic].update({w} | ({w[:4] + "*"} if len(w) > 4 else set()) | ({w[:5] + "*"} if len(w) > 5 else set()))
+    a_all, b_all = (sum(c for u, c in counts[k].items() if not u.endswith("*")) for k in (1, 0))
+
+    def score(word, own=Counter(), toxic=0):
+        """A word's score from the counts alone, without those of one document."""
+        odds = 0.0
+        for unit in [word[:4] + "*"] * (len(word) > 4) + [word[:5] + "*"] * (len(word) > 5) + [word]:
+            a, b = (counts[k][unit] - (own[unit] if k == toxic else 0) for k in (1, 0))
+            if a + b:
+                base = np.log(a_all / b_all)
+                prior = 20 / (1 + np.exp(-odds - base))
+                f = (a + prior) / (a + b + 20)
+                share = a_all / (a_all + b_all)
+                found = np.log(f / (1 - f)) - base
+                odds = found if abs(found) >= 4 * np.sqrt(1 / (a + 20 * share) + 1 / (b + 20 * (1 - share))) else 0.0
+        return max(-6.0, min(6.0, odds)) - 2.0
+
     for unit in rng_sample(counts[1] | counts[0], 400):
-        a, b = counts[1][unit], counts[0][unit]
-        assert m.counts(unit) == ((a, b) if a + b >= 2 else (0, 0))
+        assert m.counts(unit) == (counts[1][unit], counts[0][unit])
+        assert abs(m.score(unit.strip("*")) - score(unit.strip("*"))) < 1e-9
+    # the extreme values and the curve, from every labelled document without its own counts
+    best, sums = [], []
+    for d in known:
+        if d in texts:
+            words = re.findall(r"[^\W_]+", (texts[d] or "").lower())
+            own = Counter(u for w in set(words) for u in [w] + [w[:4] + "*"] * (len(w) > 4) + [w[:5] + "*"] * (len(w) > 5))
+            memo = {w: score(w, own, known[d]) for w in set(words)}
+            scores = [memo[w] for w in words]
+            found = [sum(scores[a:b]) for a, b in quick_segments(scores)]
+            sums.append((known[d], max(len(words), 1), found))
+            if not known[d]:
+                best.append((max(found, default=0.0), max(len(words), 1)))
+    hits = sorted(x for x, _ in best if x > 0)
+    if len(hits) >= 10:
+        low = np.quantile(hits, 0.5)
+        over = [x - low for x in hits if x >= low]
+        rate = min(max(1 / max(sum(over) / len(over), 0.2), 0.2), 5.0)
+        raw = 1 / max(sum(over) / len(over), 0.2)
+        scale = min(max(len(over) * np.exp(raw * low) / sum(n for _, n in best), 1e-6), 10.0)
+    else:
+        rate, scale = 1.0, (len(hits) + 1) / sum(n for _, n in best)
+    assert m.rate == pytest.approx(rate, rel=1e-6) and m.scale == pytest.approx(scale, rel=1e-6)
+    x = np.array([sum(max(0.0, rate * t - np.log(scale * n)) for t in f) for _, n, f in sums])
+    y = np.array([toxic for toxic, _, _ in sums])
+    p = 1 / (1 + np.exp(-np.clip(m.slope * x + m.shift, -30, 30)))  # at the optimum the slopes of the penalised likelihood are zero
+    if m.slope > 0.01:
+        assert abs(((y - p) * x).sum() - 0.02 * m.slope) < 1e-3 and abs((y - p).sum() - 0.02 * m.shift) < 1e-3
     rows = {r["doc_id"]: r for r in queries.QUERIES["op6_toxicity"](spark, sf).collect()}
     for d in rng_sample(texts, 60):
         words = re.findall(r"[^\W_]+", (texts[d] or "").lower())[:400]
@@ -525,6 +605,20 @@ def quick_segments(scores):
     return sorted(out)
 
 
+def test_a_single_toxic_word_can_tell():
+    """With few toxic words against many clean ones, one occurrence is evidence, and no count is cut."""
+    m = toxicity.Model(np.array([toxicity.unit_hash("vile")]), np.array([1]), np.array([0]), 20, 1_000_000)
+    assert m.log_odds("vile") > 4 and m.log_odds("mild") == 0
+
+
+def test_toxicity_learns_one_text_an_id(spark, odd):
+    rows = [(1, f"text number {'abcdefghij'[i]} of an id") for i in range(10)] * 3 + [(2, "another text of its own"), (2, None)]
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, toxic int")
+    assert all(zlib.crc32(str(i).encode()) % 5 for i in (1, 2))
+    m = toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string"), labels)
+    assert m.counts("number") == (1, 0) and m.counts("another") == (0, 1)
+
+
 def test_toxicity_odd(spark, odd, empty):
     labels = spark.createDataFrame([(1, 0), (3, 1), (3, None), (None, 1), (99, 1)], "doc_id bigint, toxic int")
     model = toxicity.fit(odd, labels)
@@ -658,6 +752,13 @@ def test_html_keeps_article_text():
         assert html_extraction.main_text(page) == want, page
 
 
+def test_names_that_only_hold_a_strong_word():
+    page = """<article><h1>T</h1><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be given.</p><div class="ad-hoc-analysis">An analysis.</div>
+    <div class="notice-period">Three months.</div><p>Choose the <label>first</label> one.</p><div class="ad-slot">Buy</div><div class="cookie-banner-2">Accept</div>
+    <form><label>Name</label></form><div class="comments">Me too</div></article>"""
+    assert html_extraction.main_text(page) == "T\n\nLet x=1 be given.\n\nAn analysis.\n\nThree months.\n\nChoose the first one."
+
+
 def test_html_any_size_and_depth(spark):
     import time
 
@@ -767,8 +868,18 @@ def test_lines_of_numbers_stay(spark):
     wide = " ".join(["total of all"] + ["{0}.5"] * 9)
     rows = [(1, "12.5 30 2019\n13.5 31 2020\nall 7 8 9"), (2, "14.5 32 2021\n12.5 30 2019\nall 1 2 3"), (3, wide.format(1)), (4, wide.format(2)),
             (5, "order 17 was shipped"), (6, "order 18 was shipped")]
+    rows += [(7, "one two three 4 5 six"), (8, "one two three 7 8 six"), (9, "a b c d e 1 2 3 4 5 6 f"), (10, "a b c d e 1 2 3 4 5 6 g"), (11, "12 34 x"), (12, "12 34 x"),
+             (13, "a b c d 5 y"), (14, "a b c d 6 z")]
     out = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert out == dict(rows) | {2: "14.5 32 2021\nall 1 2 3", 6: ""}
+    assert out == dict(rows) | {2: "14.5 32 2021\nall 1 2 3", 6: "", 8: "", 10: "", 12: "", 14: ""}
+    assert out == brute_lines(dict(rows))[0]
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    twin = c.sql(queries.ORACLE["op9_drop_recurring_lines"])
+    assert {r[twin.columns.index("doc_id")]: r[twin.columns.index("text")] for r in twin.fetchall()} == out
 
 
 def test_lines_stay_native(docs):
@@ -883,6 +994,41 @@ def test_warc_takes_bad_records(spark, tmp_path):
     assert warc.derive_records(clash, ("warc_type",)).count() == 2 * len(bad)
 
 
+def test_warc_goes_through_damage(spark, tmp_path):
+    import gzip
+
+    rng = random.Random(2)
+    good = [warc.serialized([("WARC-Record-ID", f"<urn:{i}>"), ("X", "WARC/1.0"), ("Content-Length", str(n))], rng.randbytes(n)) for i, n in enumerate([0, 5, 3000, 70_000, 12])]
+    far = warc.serialized([("Content-Length", "9")], b"text\r\n\r\nmore")
+    cases = {
+        "plain.warc": (b"".join(good), good), "ends.warc": (b"\r\n" + good[1].rstrip() + b"\r\n\r\n", [good[1]]),
+        "whole.warc.gz": (gzip.compress(b"".join(good)), good), "members.warc.gz": (b"".join(map(gzip.compress, good)), good),
+        "padded.warc.gz": (b"\0\0".join(map(gzip.compress, good)), good), "empty.warc": (b"", []), "empty.warc.gz": (gzip.compress(b""), []),
+        "junk.warc": (b"junk\r\n\r\n" + good[1] + b"rest", [b"junk\r\n\r\n", good[1], b"rest"]),
+        "no-length.warc": (b"WARC/1.1\r\nA: b\r\n\r\nbody\r\n\r\n" + good[1], [b"WARC/1.1\r\nA: b\r\n\r\nbody\r\n\r\n", good[1]]),
+        "many.warc": (b"WARC/1.1\r\nContent-Length: many\r\n\r\nbody\r\n\r\n" + good[1], [b"WARC/1.1\r\nContent-Length: many\r\n\r\nbody\r\n\r\n", good[1]]),
+        "short.warc": (far + good[1], [far, good[1]]),
+        "long.warc": (good[1].replace(b"Length: 5", b"Length: 50000") + good[4], [good[1].replace(b"Length: 5", b"Length: 50000"), good[4]]),
+    }
+    for name, (data, want) in cases.items():
+        (tmp_path / name).write_bytes(data)
+        for step in (1, 7, 1 << 20):
+            if step > 1 or len(data) < 5000:
+                assert list(warc.cut_records(warc._inflated(data, step))) == want, (name, step)
+    back = defaultdict(list)
+    for r in warc.read_warc(spark, f"file://{tmp_path}").collect():
+        back[r["file"].rsplit("/", 1)[1]].append(bytes(r["record"]))
+    assert {k: sorted(v) for k, v in back.items()} == {k: sorted(w) for k, (_, w) in cases.items() if w}
+    member = bytearray(gzip.compress(good[3]))
+    member[30_000] ^= 255
+    hurt = gzip.compress(good[1]) + bytes(member) + gzip.compress(good[4])
+    found = list(warc.cut_records(warc._inflated(hurt)))
+    assert found[0] == good[1] and found[-1] == good[4]
+    cut = gzip.compress(good[1]) + gzip.compress(good[3])[:40_000]
+    found = list(warc.cut_records(warc._inflated(cut)))
+    assert found[0] == good[1] and len(found) == 2 and good[3].startswith(found[1]) and len(found[1]) > 30_000
+
+
 # shared, twins and the pipeline ------------------------------------------------------------------------------------------------
 
 
@@ -920,21 +1066,30 @@ def test_twin(spark, name):
     assert ours == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=repr)
 
 
+def tells(w):
+    """Enough of a template's words are literal."""
+    literal = len(w) - list(w).count("<*>")
+    return literal >= 3 and 2 * literal >= len(w)
+
+
 def brute_lines(docs):
     """docs: {id: text}; the texts without recurring lines."""
     keys = defaultdict(list)
     for d, t in sorted(docs.items()):
         for pos, line in enumerate(t.split("\n")):
-            w = ["<*>" if re.search("[0-9]", x) else x for x in WORD.findall(line)]
-            n = len(w)
+            own = WORD.findall(line)
+            w, n = ["<*>" if re.search("[0-9]", x) else x for x in own], len(own)
             if n < 3:
                 continue
+            told = "<*>" not in w or tells(w)
+            w = w if told else own
             keys[0, n, tuple(w)].append((d, pos))
-            if n >= 5:
+            if n >= 5 and told:
                 c1, c2 = (n - 3) // 3, (n - 3) * 2 // 3
                 lead, a, b, c = tuple(w[:3]), tuple(w[3 : 3 + c1]), tuple(w[3 + c1 : 3 + c2]), tuple(w[3 + c2 :])
                 for k, x, y in ((1, b, c), (2, a, c), (3, a, b)):
-                    keys[k, n, lead, x, y].append((d, pos))
+                    if "<*>" not in w or tells(lead + x + y):
+                        keys[k, n, lead, x, y].append((d, pos))
     gone = {p for places in keys.values() if len({d for d, _ in places}) > 1 for p in places if p != min(places)}
     return {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in docs.items()}, {d for d, _ in gone}
 
@@ -942,9 +1097,10 @@ def brute_lines(docs):
 def test_pipeline_against_brute_force(spark, docs, library):
     rows = {r["doc_id"]: r for r in docs.collect()}
     kept = {}
+    failed = {d: brute_failures(brute_measures(r["text"])) for d, r in rows.items()}
+    bad = brute_hosts([(rows[d]["source"], f) for d, f in failed.items()])
     for d, r in rows.items():
-        n, _, _, _, repeated = brute_measures(r["text"])
-        if not (n < 20 or 100 * repeated > 30 * n):
+        if not any(failed[d][:2]) and r["source"] not in bad:
             kept[d] = r["text"]
     lines, touched = brute_lines(kept)
     lines = {d: t for d, t in lines.items() if d not in touched or WORD.search(t)}
