@@ -13,7 +13,7 @@ from ..functions import field, if_, ifs, literal, scalars as s, switch
 from ..functions.values import Val
 from ..operators import profiles, quality, relations, schemas, steps
 from ..operators.predicates import Parameter, Predicate, bind, date_range, search, where_all
-from ..sources import sinks, tables
+from ..sources import keyed, sinks, tables
 from ..sources.staging import new_folder
 from ..streaming import sync
 from . import analytics
@@ -687,11 +687,11 @@ def tick_collapse(spark, sf):
 
 @query(f"WITH {_TICK} SELECT user_id, event_id, value FROM live")
 def tick_stream(spark, sf):
-    """The same changes as a stream into a versioned table, read back."""
+    """The same changes as a stream into a keyed table, read back."""
     base = new_folder(spark, "tick")
     _changes(spark, sf).write.parquet(f"{base}/in")
     stream = spark.readStream.schema(_changes(spark, sf).schema).parquet(f"{base}/in")
-    table = sinks.VersionedTable(spark, f"{base}/table")
+    table = keyed.KeyedTable(spark, f"{base}/table", ["user_id"], "event_id", 16)
     sync.stream_into(stream, table, f"{base}/checkpoint", ["user_id"], "event_id").awaitTermination()
     return table.read()
 

@@ -193,9 +193,9 @@ def redacted_documents(spark, sf):
                       F.coalesce(F.size("doc.parts"), F.lit(0)).cast("long").alias("n_parts"))
 
 
-@query("""SELECT event_type AS type, value FROM events WHERE value > 50""")
+@query("""SELECT event_type AS type, value FROM events""")
 def replaced_root(spark, sf):
-    df = read(spark, sf, "events").where("value > 50").select(F.struct(F.col("event_type").alias("type"), "value").alias("doc"), "event_id")
+    df = read(spark, sf, "events").select(F.struct(F.col("event_type").alias("type"), "value").alias("doc"), "event_id")
     return steps.replace_root(df, "doc")
 
 

@@ -107,6 +107,29 @@ def touched_buckets(spark, sf):
         "rewritten", ~F.col("month").isin(kept))
 
 
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice,
+(SELECT count(*) FILTER (o_orderstatus = 'F') > 0 FROM orders) AS refused FROM orders""")
+def asserted_merge(spark, sf):
+    """Dearer prices merged into a table of orders under an assertion; negative prices before them are refused, and
+    leave the table as it was."""
+    o = read(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", F.lit(1).alias("version"))
+    table = keyed.KeyedTable(spark, new_folder(spark, "orders"), ["o_orderkey"], "version", 8)
+
+    def checks(live: DataFrame) -> None:
+        quality.assert_keys(live, ["o_orderkey"])
+        if not live.where("o_totalprice < 0").isEmpty():
+            raise quality.AssertionFailed("a price below zero")
+
+    table.merge(o, asserts=[checks])
+    done, refused = o.where("o_orderstatus = 'F'"), False
+    try:
+        table.merge(done.withColumns({"o_totalprice": -F.col("o_totalprice"), "version": F.lit(9)}), asserts=[checks])
+    except quality.AssertionFailed:
+        refused = True
+    table.merge(done.withColumns({"o_totalprice": F.col("o_totalprice") + 1, "version": F.lit(2)}), asserts=[checks])
+    return table.read().select("o_orderkey", "o_totalprice", F.lit(refused).alias("refused"))
+
+
 # --- key lists ---------------------------------------------------------------------------------------------------------------
 
 

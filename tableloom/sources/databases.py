@@ -6,6 +6,7 @@ a read is spread over tasks and a lost one is read again. Exact types are asked
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 from decimal import Decimal
 
@@ -34,6 +35,11 @@ def quoted(name: str) -> str:
 
 
 def _literal(value) -> str:
+    """A number, or a day or time in the escapes that every JDBC driver knows."""
+    if isinstance(value, dt.datetime):
+        return "{ts '" + value.isoformat(" ", "microseconds") + "'}"
+    if isinstance(value, dt.date):
+        return "{d '" + value.isoformat() + "'}"
     if isinstance(value, bool) or not isinstance(value, (int, float, Decimal)):
         raise BuildError(f"a key of {type(value).__name__} has no ranges here")
     return str(value)
@@ -47,10 +53,12 @@ def key_cuts(spark: SparkSession, options: dict[str, str], key: str, parts: int,
     if lo is None or lo == hi or parts < 2:
         return []
     kind = whole.load().schema[key].dataType
-    if isinstance(kind, (T.FloatType, T.DoubleType)):
-        read = whole.load()
-    else:
-        read = spark.read.format("jdbc").options(**partitioned_options(options, key, int(lo), int(hi) + 1, min(parts, n))).load()
+    read = whole.load()
+    if not isinstance(kind, (T.FloatType, T.DoubleType)):
+        bounds = {"lowerBound": str(lo), "upperBound": str(hi)} if isinstance(lo, dt.date) else {}
+        lo_, hi_ = (0, 1) if bounds else (int(lo), int(hi) + 1)
+        wide = partitioned_options(options, key, lo_, hi_, min(parts, n)) | bounds
+        read = spark.read.format("jdbc").options(**wide).load()
     steps = [i / parts for i in range(1, parts)]
     cuts = read.agg(F.percentile_approx(F.col(f"`{key}`"), steps, accuracy)).first()[0]
     return sorted({c for c in cuts if c > lo})

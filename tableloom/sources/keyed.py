@@ -12,7 +12,7 @@ dies between the two is finished by the next one, and readers take those buckets
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -88,11 +88,13 @@ class KeyedTable:
         fs, at = self._fs(self.pending)
         fs.delete(at, True)
 
-    def merge(self, changes: DataFrame, gone: Column | None = None, since=None) -> int:
+    def merge(self, changes: DataFrame, gone: Column | None = None, since=None,
+              asserts: Sequence[Callable[[DataFrame], None]] = ()) -> int:
         """Changes merged into the table; returns how many buckets were rewritten. ``gone`` tells which are deletes; of
         those only key and sequence value count. ``since`` is the time, as a sequence value, before which no change
         comes any more: changes before it are left out, and tombstones before it go from rewritten buckets, so that
-        their number is bounded by what is deleted in the time that a change may be late."""
+        their number is bounded by what is deleted in the time that a change may be late. ``asserts`` look at the live
+        rows of the touched buckets as they were written beside the table; if one raises, the table stays as it was."""
         self._finish()
         at = F.col(f"`{self.sequence}`")
         rows = changes.withColumn(GONE, F.lit(False) if gone is None else F.coalesce(gone, F.lit(False)))
@@ -101,6 +103,9 @@ class KeyedTable:
         kept = {*self.keys, self.sequence, GONE}
         rows = rows.select(*[F.col(f"`{c}`") if c in kept else F.when(~F.col(GONE), F.col(f"`{c}`")).alias(c) for c in rows.columns])
         rows = newest(rows.withColumn(BUCKET, self.bucket), self.keys, self.sequence, self.deletes)
+        # the changes are fixed before their buckets are looked up: worked out twice they might differ
+        rows.write.mode("overwrite").parquet(f"{self.path}/_changes")
+        rows = self.spark.read.schema(rows.schema).parquet(f"{self.path}/_changes")
         old = self._stored()
         touched = [r[0] for r in rows.select(BUCKET).distinct().collect()]  # buckets: as many as the table is laid out in
         if not touched:
@@ -110,7 +115,12 @@ class KeyedTable:
         rows = newest(rows.repartition(BUCKET), self.keys, self.sequence, self.deletes, [BUCKET])
         if since is not None:
             rows = rows.where(~F.col(GONE) | at.isNull() | (at >= F.lit(since)))
-        rows.write.mode("overwrite").parquet(self.pending)
+        rows.write.mode("overwrite").parquet(f"{self.path}/_checked")
+        live = self.spark.read.parquet(f"{self.path}/_checked").where(~F.col(GONE)).drop(GONE, BUCKET)
+        for check in asserts:
+            check(live)
+        fs, at = self._fs(f"{self.path}/_checked")
+        fs.rename(at, self._fs(self.pending)[1])
         self._finish()
         return len(touched)
 

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from tableloom.plans import catalogue, publishing  # noqa: F401
+from tableloom.plans import catalogue, publishing, sources_and_state  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -197,6 +197,17 @@ def test_database_round_trip(spark):
         databases.range_predicates("id", ["a'; DROP"])
 
 
+@pytest.mark.parametrize("kind", ["date", "timestamp", "double"])
+def test_database_ranges_of_other_keys(spark, kind):
+    made = {"date": "date_add(date'2024-01-01', cast(id * id / 100 AS int))", "timestamp": "timestamp_seconds(id * id)", "double": "id * id + 0.25D"}[kind]
+    df = spark.range(500).selectExpr(f"{made} AS k", "id")
+    options = databases.embedded_options(f"d{uuid.uuid4().hex}", "things")
+    databases.create_as(df, options)
+    back, _ = databases.read_by_key(spark, options, "k", 4)
+    sizes = [r[1] for r in back.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * min(sizes) and quality.same_table(df, back)
+
+
 # profiles and documents ---------------------------------------------------------------------------------------------------------
 
 
