@@ -25,7 +25,7 @@ MISSING_TOKENS = ("n/a", "na", "null", "none", "nil", "-", "?", "#n/a")
 
 _PLAIN_NUMBER = r"^-?[0-9]+(\.[0-9]+)?$"
 _DIGITS = "0123456789"
-#: Shapes of a day and a clock time, in which 9 stands for any digit.
+#: A day and a clock time, in which 9 stands for any digit.
 _DAY, _CLOCK = "9999-99-99", "99:99:99"
 
 
@@ -366,24 +366,26 @@ def strip_accents(x) -> Val:
 # --- coercions ---------------------------------------------------------------------------------------------------
 
 
-def _to_double(s: Column) -> Column:
+def _finite(n: Column) -> Column:
+    return F.when(F.abs(n) < float("inf"), n)  # no number is greater than any
+
+
+def _to_double(s: Column, exponent: bool = True) -> Column:
     """Digits with a sign, a point and an exponent of up to four digits; the cast tells whether they are in order. A
-    look at the first character rules most other texts out."""
-    s = _strip(s)
-    rest = F.translate(s, _DIGITS + "+-.", "")
-    exponent = F.translate(F.substring_index(F.lower(s), "e", -1), "+-", "")
-    known = (rest == "") | (F.lower(rest) == "e") & (F.length(exponent) <= 4)
-    n = F.when(F.left(s, F.lit(1)).isin(*_DIGITS, *"+-.") & known, s.try_cast("double"))
-    return F.when(~F.isnan(n) & (F.abs(n) < float("inf")), n)
+    look at the first character rules most other texts out. The text is named as seldom as can be: each time repeats
+    the expression that it is."""
+    known = F.left(s, F.lit(1)).isin(*_DIGITS, *"+-.") & F.translate(s, _DIGITS + "+-.", "").isin("", *"eE"[: 2 * exponent])
+    if exponent:
+        known = known & ~s.rlike("[eE][+-]?[0-9]{5}")
+    return _finite(F.when(known, s.try_cast("double")))
 
 
 def _as_number(v: Val) -> Column:
     if v.kind == "boolean":
         return F.lit(None).cast("double")
     if v.kind == "number":
-        c = v.col.cast("double")
-        return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
-    return _to_double(v.col.cast("string"))
+        return _finite(v.col.cast("double"))
+    return _to_double(_strip(v.col.cast("string")))
 
 
 def to_number(x) -> Val:
@@ -442,26 +444,24 @@ def to_boolean(x) -> Val:
     return fallible("to_boolean", out, v, kind="boolean")
 
 
-def _fits(s: Column, shape: str) -> Column:
-    """Whether a text has a shape: the same length and marks, and a digit for each 9. Cheap tests come first."""
-    tests = [F.length(s) == len(shape)]
-    tests += [F.substring(s, i, 1) == c for i, c in enumerate(shape, 1) if c != "9"]
-    digits = F.concat(*[F.substring(s, i, 1) for i, c in enumerate(shape, 1) if c == "9"]) if "9" in shape else F.lit("")
-    return reduce(lambda a, b: a & b, [*tests, F.translate(digits, _DIGITS, "") == ""])
+def _fits(s: Column, *shapes: str) -> Column:
+    """Whether a text has one of some shapes: the same length and marks, and a digit for each 9."""
+    return F.length(s).isin(*{len(x) for x in shapes}) & F.translate(s, _DIGITS[:9], "9" * 9).isin(*shapes)
 
 
 def _made(y, mo, d, h, mi, se) -> Column:
     """A timestamp of texts, null if there is no such time (seconds under 60)."""
     def whole(x):
-        return F.when(x == "", F.lit(0)).otherwise(x.try_cast("int"))
+        return F.coalesce(x.try_cast("int"), F.lit(0))
 
     second = whole(se)
     return F.when(second < 60, F.try_make_timestamp(whole(y), whole(mo), whole(d), whole(h), whole(mi), second))
 
 
-def _unzoned(s: Column) -> Column:
-    """Without the mark of UTC at the end."""
-    return F.when(F.endswith(s, F.lit("Z")), F.left(s, F.length(s) - 1)).otherwise(s)
+#: Shapes of a day and of a day with a clock time; each may end in the mark of UTC.
+_TIMES = [_DAY, f"{_DAY}T{_CLOCK}", f"{_DAY} {_CLOCK}"]
+_DATES = [*_TIMES, *[x + "Z" for x in _TIMES]]
+_STAMPS = [*_DATES, *[x + "." + "9" * n + end for x in _TIMES[1:] for n in range(1, 7) for end in ("", "Z")]]
 
 
 def _stamp(s: Column) -> Column:
@@ -469,15 +469,11 @@ def _stamp(s: Column) -> Column:
     return _made(*[F.substring(s, at, n) for at, n in ((1, 4), (6, 2), (9, 2), (12, 2), (15, 2), (18, 2))])
 
 
-def _is_stamp(s: Column) -> Column:
-    return _fits(s, _DAY) | _fits(s, f"{_DAY}T{_CLOCK}") | _fits(s, f"{_DAY} {_CLOCK}")
-
-
 def _as_date(v: Val) -> Column:
     if v.kind == "date":
         return F.date_trunc("second", v.col.cast("timestamp"))
-    s = _unzoned(_strip(v.col.cast("string")))
-    return F.when(_is_stamp(s), _stamp(s))
+    s = _strip(v.col.cast("string"))
+    return F.when(_fits(s, *_DATES), _stamp(s))
 
 
 def to_date(x) -> Val:
@@ -491,12 +487,9 @@ def to_timestamp(x) -> Val:
     v = val(x)
     if v.kind == "date":
         return fallible("to_timestamp", F.date_trunc("millisecond", v.col.cast("timestamp")), v, kind="date")
-    s = _unzoned(_strip(v.col.cast("string")))
-    second, fraction = F.left(s, F.lit(19)), F.substring(s, 21, 7)
-    split = (F.substring(s, 20, 1) == ".") & F.length(fraction).between(1, 6) & (F.translate(fraction, _DIGITS, "") == "")
-    millis = F.when(split, F.rpad(F.left(fraction, F.lit(3)), 3, "0").try_cast("int")).otherwise(F.lit(0))
-    known = _is_stamp(s) | split & (F.length(second) == 19) & _is_stamp(second)
-    out = F.when(known, F.timestamp_add("MILLISECOND", millis, _stamp(s)))
+    s = _strip(v.col.cast("string"))
+    millis = F.rpad(F.translate(F.substring(s, 21, 3), "Z", ""), 3, "0").try_cast("int")
+    out = F.when(_fits(s, *_STAMPS), F.timestamp_add("MILLISECOND", millis, _stamp(s)))
     return fallible("to_timestamp", out, v, kind="date")
 
 
@@ -536,10 +529,9 @@ def parse_number(x, decimal_mark: str = ".") -> Val:
         raise BuildError("the decimal mark is . or ,")
     if v.kind == "number":
         return fallible("parse_number", _as_number(v), v, kind="number")
-    s = F.replace(_strip(v.col.cast("string")), F.lit("," if decimal_mark == "." else "."), F.lit(""))
-    if decimal_mark == ",":
-        s = F.replace(s, F.lit(","), F.lit("."))
-    return fallible("parse_number", F.when(~F.contains(F.lower(s), F.lit("e")), _to_double(s)), v, kind="number")
+    bare = _strip(v.col.cast("string"))
+    s = F.translate(bare, ",", "") if decimal_mark == "." else F.translate(bare, ",.", ".")
+    return fallible("parse_number", _to_double(s, exponent=False), v, kind="number")
 
 
 # --- dates -------------------------------------------------------------------------------------------------------

@@ -101,37 +101,63 @@ def _attempts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return read.select("*", *[passes(i, how).alias(f"p{i}_{j}") for i in n for j, how in enumerate(_WAYS)])
 
 
-def _rate_structs(columns: Sequence[str]) -> list[Column]:
-    """For each column and way its counts, and the least failing text of each class of texts."""
-    structs = []
-    for i, name in enumerate(columns):
-        s = F.col(f"s{i}")
-        short = F.left(s, F.lit(EXAMPLE_CHARS))
-        for j, how in enumerate(_WAYS):
-            passed = F.col(f"p{i}_{j}")
-            least = [F.min(F.when(s.isNotNull() & ~passed & (F.pmod(F.hash(short), F.lit(_CLASSES)) == k), short)) for k in range(_CLASSES)]
-            structs.append(F.struct(
-                F.lit(name).alias("column"), F.lit(how).alias("how"), F.count(s).alias("n_values"),
-                F.count_if(passed).alias("n_passed"), F.array_sort(F.array_compact(F.array(*least))).alias("examples")))
-    return structs
+@dataclass
+class _Readings:
+    """How many texts of a column there are of each kind, that is for each set of tests that they pass: bit 0 that there
+    is a text, bits 1 to 8 the ways that read it, further bits what cleaning asks; and the least text of each kind."""
+
+    counts: dict[int, int] = _field(default_factory=dict)
+    least: dict[int, set[str]] = _field(default_factory=dict)
+
+    def count(self, *bits: int, without: int | None = None) -> int:
+        """Texts with any of the bits, and without another."""
+        some = sum(1 << b for b in bits)
+        return sum(n for m, n in self.counts.items() if m & some and not (without is not None and m >> without & 1))
+
+    def rate(self, column: str, j: int) -> dict:
+        """The counts of one way, and small texts that it does not read."""
+        failing = {t for m, texts in self.least.items() if m & 1 and not m >> (j + 1) & 1 for t in texts}
+        return {"column": column, "how": _WAYS[j], "n_values": self.count(0), "n_passed": self.count(j + 1),
+                "examples": sorted(failing, key=lambda t: t.encode("utf-8", "surrogatepass"))[:EXAMPLES]}
+
+
+def _readings(df: DataFrame, columns: Sequence[str], more: Sequence[Sequence[Column]] = ()) -> list[_Readings]:
+    """The readings of columns of ``_attempts``; ``more`` has further tests of each. One aggregation by the kind of
+    text, of which there are few, whatever the number of rows."""
+    kinds = []
+    for i in range(len(columns)):
+        tests = [F.col(f"s{i}").isNotNull(), *[F.col(f"p{i}_{j}") for j in range(len(_WAYS))], *(more[i] if more else ())]
+        mask = sum((F.when(t, F.lit(1 << b)).otherwise(F.lit(0)) for b, t in enumerate(tests)), F.lit(0))
+        short = F.left(F.col(f"s{i}"), F.lit(EXAMPLE_CHARS))
+        kinds.append(F.struct(F.lit(i).alias("i"), mask.alias("mask"), F.pmod(F.hash(short), F.lit(_CLASSES)).alias("part"), short.alias("text")))
+    rows = df.select(F.explode(F.array(*kinds)).alias("x")).select("x.*").groupBy("i", "mask", "part").agg(
+        F.count(F.lit(1)).alias("n"), F.min("text").alias("least"),
+        F.collect_set(F.lit(0)).alias("one"))  # with a set Spark groups by hashing; a least text alone makes it sort
+    found = [_Readings() for _ in columns]
+    for r in rows.collect():  # kinds of texts
+        f = found[r["i"]]
+        f.counts[r["mask"]] = f.counts.get(r["mask"], 0) + r["n"]
+        if r["least"] is not None:
+            f.least.setdefault(r["mask"], set()).add(r["least"])
+    return found
 
 
-def _failing_examples(df: DataFrame, group: Sequence[str], rows: Sequence) -> dict[tuple[str, str], list[str]]:
-    """The least ``EXAMPLES`` distinct failing texts of each column and way. Those of the classes bound them from above,
-    so few rows are looked at again; where there are no more distinct texts than classes tell, there is no bound. Texts
-    are combined in each task, and a task hands on no more of a way than are asked for."""
+def _failing_examples(df: DataFrame, group: Sequence[str], rows: Sequence[dict]) -> dict[tuple[str, str], list[str]]:
+    """The least ``EXAMPLES`` distinct failing texts of each column and way. Those that the readings tell bound them from
+    above, so few rows are looked at again; where they are fewer, there is no bound. Texts are combined in each task, and
+    a task hands on no more of a way than are asked for."""
     at = {name: i for i, name in enumerate(group)}
     wanted, near = [], F.lit(False)
     for r in rows:
         i, j = at[r["column"]], _WAYS.index(r["how"])
-        short = F.left(F.col(f"s{i}"), F.lit(EXAMPLE_CHARS))
         if not r["examples"]:
             continue
-        under = short <= F.lit(r["examples"][EXAMPLES - 1]) if len(r["examples"]) >= EXAMPLES else F.lit(True)
-        failing = F.col(f"s{i}").isNotNull() & ~F.col(f"p{i}_{j}") & under
+        short = F.left(F.col(f"s{i}"), F.lit(EXAMPLE_CHARS))
+        most = F.lit(r["examples"][EXAMPLES - 1]) if len(r["examples"]) >= EXAMPLES else None
+        failing = F.col(f"s{i}").isNotNull() & ~F.col(f"p{i}_{j}") & (F.lit(True) if most is None else short <= most)
         wanted.append(F.when(failing, F.struct(F.lit(r["column"]).alias("column"), F.lit(r["how"]).alias("how"), short.alias("text"))))
-        near = near | (F.left(F.col(f"`{r['column']}`"), F.lit(EXAMPLE_CHARS)) <= F.lit(r["examples"][EXAMPLES - 1])
-                       if len(r["examples"]) >= EXAMPLES else F.col(f"`{r['column']}`").isNotNull())
+        own = F.col(f"`{r['column']}`")
+        near = near | (own.isNotNull() if most is None else F.left(own, F.lit(EXAMPLE_CHARS)) <= most)
     if not wanted:
         return {}
     texts = _attempts(df.where(near), group).select(F.explode(F.array_compact(F.array(*wanted))).alias("x")).select("x.*").distinct()
@@ -149,7 +175,7 @@ def parse_rates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     columns = [c for c in (columns or df.columns) if c in _text_columns(df)]
     out = []
     for group in _groups(columns):
-        rows = _attempts(df, group).agg(F.array(*_rate_structs(group)).alias("rows")).first()["rows"]  # some rows per column
+        rows = [f.rate(c, j) for c, f in zip(group, _readings(_attempts(df, group), group)) for j in range(len(_WAYS))]
         examples = _failing_examples(df, group, rows)
         out += [(r["column"], r["how"], r["n_values"], r["n_passed"], r["n_passed"] / r["n_values"] if r["n_values"] else None,
                  examples.get((r["column"], r["how"]), [])) for r in rows]
@@ -306,13 +332,8 @@ def clear_missing(x: Val) -> Val:
 
 
 def _undressed(x: Val) -> Val:
-    """Text without currency signs, percent signs and units. A look at its ends spares most texts the pattern."""
-    bare = scalars.trim(x)
-    first, last = F.left(bare.col, F.lit(1)), F.right(bare.col, F.lit(1))
-    letter = (last >= "A") & (last <= "Z") | (last >= "a") & (last <= "z")
-    dressed = first.isin(*CURRENCIES) | last.isin(*CURRENCIES, "%") | letter
-    less = scalars.regex_replace(bare, r"^[$€£¥]\s*|\s*[$€£¥%]$|\s*[A-Za-z]{1,4}$", "")
-    return Val(F.when(dressed, less.col).otherwise(bare.col), bare.failures, "text")
+    """Text without currency signs, percent signs and units."""
+    return scalars.regex_replace(scalars.trim(x), r"^[$€£¥]\s*|\s*[$€£¥%]$|\s*[A-Za-z]{1,4}$", "")
 
 
 def clean_number(x: Val, decimal_mark: str = ".") -> Val:
@@ -417,27 +438,21 @@ def _cleaning_facts(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
     both = _attempts(df, columns)
     both = both.select("*", *[clear_missing(field(f"t{i}", "text")).col.alias(f"x{i}") for i in n])
     both = both.select("*", *[_undressed(field(f"x{i}", "text")).col.alias(f"u{i}") for i in n])
-    both = both.select("*", *[clean_boolean(field(f"x{i}", "text")).col.isNotNull().alias(f"b{i}") for i in n], *[
-        scalars.parse_number(field(f"u{i}", "text"), mark).col.isNotNull().alias(f"n{i}{k}") for i in n for k, mark in enumerate(".,")])
-    aggs = [F.array(*_rate_structs(columns)).alias("rates"), F.count(F.lit(1)).alias("n")]
-    iso = [DATE_FORMATS.index(f) for f in _ISO]
-    dmy, mdy = DATE_FORMATS.index("DD/MM/YYYY"), DATE_FORMATS.index("MM/DD/YYYY")
-    for i in range(len(columns)):
-        # no word for a missing value is a date
-        x, d = F.col(f"x{i}"), [F.col(f"p{i}_{len(COERCIONS) + j}") for j in range(len(DATE_FORMATS))]
-        read = reduce(lambda a, b: a | b, [d[j] for j in iso])
-        facts = {
-            "present": F.count(x), "booleans": F.count_if(F.col(f"b{i}")), "points": F.count_if(F.col(f"n{i}0")),
-            "commas": F.count_if(F.col(f"n{i}1")), "comma_marks": F.count_if(F.contains(x, F.lit(",")) & x.rlike(r",[0-9]{1,2}([^0-9]|$)")),
-            "point_marks": F.count_if(F.contains(x, F.lit(".")) & x.rlike(r"\.[0-9]{1,2}([^0-9]|$)")), "dmy": F.count_if(d[dmy] & ~d[mdy]),
-            "mdy": F.count_if(d[mdy] & ~d[dmy]), "either": F.count_if(d[dmy] & d[mdy]),
-            "none": F.count_if(read), "with_dmy": F.count_if(read | d[dmy]), "with_mdy": F.count_if(read | d[mdy]),
-            **{f: F.count_if(d[j]) for j, f in enumerate(DATE_FORMATS)}}
-        aggs.append(F.struct(*[v.alias(k) for k, v in facts.items()]).alias(f"f{i}"))
-    row = both.agg(*aggs).first()  # one row
-    out = {name: row[f"f{i}"].asDict() | {"n": row["n"], "rates": []} for i, name in enumerate(columns)}
-    for r in row["rates"]:
-        out[r["column"]]["rates"].append(r)
+    words = [w for w, _ in _BOOLEAN_WORDS] + ["true", "false", "1", "0"]
+    more = [[F.col(f"x{i}").isNotNull(), F.lower(f"x{i}").isin(*words),
+             *[scalars.parse_number(field(f"u{i}", "text"), mark).col.isNotNull() for mark in ".,"],
+             *[F.col(f"x{i}").rlike(f"[{mark}][0-9]{{1,2}}([^0-9]|$)") for mark in ".,"]] for i in n]
+    present, booleans, points, commas, point_marks, comma_marks = range(len(_WAYS) + 1, len(_WAYS) + 7)
+    bit = {f: _WAYS.index(f) + 1 for f in DATE_FORMATS}  # no word for a missing value is a date
+    iso, dmy, mdy = [bit[f] for f in _ISO], bit["DD/MM/YYYY"], bit["MM/DD/YYYY"]
+    out = {}
+    for name, f in zip(columns, _readings(both, columns, more)):
+        out[name] = {
+            "n": sum(f.counts.values()), "rates": [f.rate(name, j) for j in range(len(_WAYS))],
+            "present": f.count(present), "booleans": f.count(booleans), "points": f.count(points), "commas": f.count(commas),
+            "point_marks": f.count(point_marks), "comma_marks": f.count(comma_marks), "dmy": f.count(dmy, without=mdy),
+            "mdy": f.count(mdy, without=dmy), "either": f.count(dmy) - f.count(dmy, without=mdy), "none": f.count(*iso),
+            "with_dmy": f.count(*iso, dmy), "with_mdy": f.count(*iso, mdy), **{k: f.count(b) for k, b in bit.items()}}
     return out
 
 
