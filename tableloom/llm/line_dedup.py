@@ -36,6 +36,8 @@ MIN_LITERAL = 3
 VARIABLE_FROM = 5
 #: Per cent of equal words in place that make two lines of a leaf alike.
 SIMILAR = 70
+#: Forms that share a piece are compared one by one up to this number; beyond it the piece is split further.
+FEW = 16
 
 _SPACES = r"[\x20\x09-\x0D]+"
 
@@ -89,46 +91,81 @@ def template_keys(docs: DataFrame, min_words: int = MIN_WORDS, variable_from: in
         .otherwise(F.array(whole)).alias("keys"))
 
 
+def _piece():
+    """Bounds of the i-th of d + 1 pieces of the open words."""
+    return [F.floor((F.col("i") + k) * F.size("open") / (F.col("d") + 1)).cast("int") for k in (0, 1)]
+
+
 def similar_lines(docs: DataFrame, share: int = SIMILAR, min_words: int = MIN_WORDS, depth: int = DEPTH,
-                  min_literal: int = MIN_LITERAL) -> DataFrame:
+                  min_literal: int = MIN_LITERAL, few: int = FEW) -> DataFrame:
     """(doc, fp, pos): lines with an earlier line in another document, of the same word count and leading words and
     with ``share`` per cent of equal words in place.
 
     Lines that differ in at most d words share one of d + 1 pieces, so pieces find every such pair. A form (the lines
-    of equal words) meets the first form of each of its pieces, and only if unlike these all earlier ones."""
+    of equal words) meets the first form of each of its pieces. Where that tells nothing, a piece of up to ``few`` forms
+    is compared form by form; in a piece of more, the words beside it are cut into d + 1 pieces again, of which like
+    forms share one, and so on until a piece has few forms or so few words are open that all its forms are alike. No
+    piece is compared all with all and no pair is lost."""
     n = F.col("n")
     lines = masked_lines(docs, min_words, min_literal).where("told").withColumn("d", n - F.ceil(n * share / 100).cast("int"))
     lines = lines.where("d > 0").select(
         "doc", "fp", "pos", "n", "d", F.xxhash64("n", F.slice("w", 1, depth)).alias("leaf"),
         F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
     own = F.struct("doc", "fp")
-    leaves = lines.groupBy("leaf").agg(F.min(own).alias("a"), F.max(own).alias("b")).where(
-        "NOT (a.doc <=> b.doc AND a.fp = b.fp)").select("leaf")
+    leaves = staged(lines.groupBy("leaf").agg(F.min(own).alias("a"), F.max(own).alias("b")).where(
+        "NOT (a.doc <=> b.doc AND a.fp = b.fp)").select("leaf"), "leaves")
     lines = staged(lines.join(leaves, "leaf").withColumn("id", F.xxhash64("leaf", "h")), "leaf-lines")
     forms = staged(lines.groupBy("id").agg(
         F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.first("d").alias("d"), F.first("h").alias("h"),
         F.min(F.struct("doc", "fp", "pos")).alias("at")), "forms")
-    rest = F.greatest(n - depth, F.lit(0))
-    pieces = F.when(F.col("d") >= rest, 1).otherwise(F.col("d") + 1)
-    lo, hi = (F.floor((F.col("i") + k) * rest / F.col("pieces")).cast("int") for k in (0, 1))
-    piece = F.when(F.col("d") >= rest, F.array().cast("array<bigint>")).otherwise(F.slice("h", lo + depth + 1, hi - lo))
-    keyed = forms.withColumn("pieces", pieces).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    keyed = staged(keyed.select(F.xxhash64("leaf", "i", piece).alias("key"), "id", "at"), "pieces")
-    first = keyed.groupBy("key").agg(F.min(F.struct("at", "id")).alias("e"))
-    earlier = "e.at < at AND NOT (e.at.doc <=> at.doc AND e.at.fp = at.fp)"
 
     def like(pairs: DataFrame) -> DataFrame:
         """The ids whose form is like an earlier one of the pairs."""
-        pairs = pairs.where(earlier).select("id", F.col("e.id").alias("other")).distinct()
+        pairs = pairs.where("e.at < at AND NOT (e.at.doc <=> at.doc AND e.at.fp = at.fp)")
+        pairs = pairs.select("id", F.col("e.id").alias("other")).distinct()
         others = forms.select(F.col("id").alias("other"), F.col("h").alias("g"))
         equal = F.size(F.filter(F.zip_with("h", "g", lambda x, y: x == y), lambda x: x))
         return pairs.join(forms.select("id", "h", "n", "d"), "id").join(others, "other").where(
             equal >= n - F.col("d")).select("id").distinct()
 
-    quick = staged(like(keyed.join(first, "key")), "like-first")
-    others = keyed.join(quick, "id", "left_anti").join(
-        keyed.select("key", F.struct("at", "id").alias("e")), "key")
-    return lines.join(quick.union(like(others)).distinct(), "id", "left_semi").select("doc", "fp", "pos")
+    def cut(rows: DataFrame) -> DataFrame:
+        """(up, key, id, at, i): each row of (key, id, at, d, open) under each of the pieces of its open words."""
+        alike = F.col("d") >= F.size("open")
+        rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.when(alike, 0).otherwise(F.col("d")))))
+        lo, hi = _piece()
+        piece = F.when(alike, F.array().cast("array<bigint>")).otherwise(F.slice("open", lo + 1, hi - lo))
+        return rows.select(F.col("key").alias("up"), F.xxhash64("key", "i", piece).alias("key"), "id", "at", "i")
+
+    def beside(rows: DataFrame) -> DataFrame:
+        """The rows with those open words that are not of the row's piece; none where all forms were alike."""
+        lo, hi = _piece()
+        rest = F.concat(F.slice("open", F.lit(1), lo), F.slice("open", hi + 1, F.size("open") - hi))
+        return rows.where("d < size(open)").select("key", "id", "at", "d", rest.alias("open"))
+
+    level = forms.select(F.col("leaf").alias("key"), "id", "at", "d",
+                         F.slice("h", F.lit(depth + 1), F.greatest(n - depth, F.lit(0))).alias("open"))
+    found = None
+    while True:
+        keyed = staged(cut(level), "pieces")
+        keys = staged(keyed.groupBy("key").agg(
+            F.min(F.struct("at", "id")).alias("e"), F.count(F.lit(1)).alias("forms")).where("forms > 1"), "piece-keys")
+        # the first form of a piece, and the first one of another document
+        second = keyed.join(keys, "key").where("NOT (e.at.doc <=> at.doc AND e.at.fp = at.fp)").groupBy("key").agg(
+            F.min(F.struct("at", "id")).alias("e"))
+        quick = like(keyed.join(keys.select("key", "e").union(second), "key"))
+        known = staged(quick if found is None else found.union(quick).distinct(), "like-first")
+        left = keyed.join(known, "id", "left_anti")
+        sizes = keys.select("key", "forms")
+        small = keyed.join(sizes.where(F.col("forms") <= few), "key").select("key", F.struct("at", "id").alias("e"))
+        found = staged(known.union(like(left.join(small, "key"))).distinct(), "like")
+        # a large piece with forms that are not settled goes on, up to the last of these
+        large = staged(left.join(sizes.where(F.col("forms") > few), "key").join(found, "id", "left_anti")
+                       .groupBy("key").agg(F.max("at").alias("until")), "large-pieces")
+        if large.isEmpty():
+            break
+        rows = keyed.join(large, "key").where("at <= until").select("up", "key", "id", "i")
+        level = staged(beside(rows.join(level.withColumnRenamed("key", "up"), ["up", "id"])), "open-words")
+    return lines.join(found, "id", "left_semi").select("doc", "fp", "pos")
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similar: int | None = None, **options) -> DataFrame:

@@ -864,6 +864,45 @@ def test_similar_lines(spark, texts):
     assert out == made | {2: "", 5: ""}
 
 
+def test_similar_lines_of_large_pieces(spark):
+    """Many unlike lines that share pieces, some of one document, with every size of a piece split and not split."""
+    rng = random.Random(5)
+    rows, seen = [], []
+    for d in range(120):
+        lines = []
+        for _ in range(3):
+            w = ["same", "three", "leads", "one", "more"] + [rng.choice("ab") + str(k).translate(str.maketrans("0123456789", "cdefghijkl")) for k in range(9)]
+            lines.append(" ".join(w))
+        rows.append((d, "\n".join(lines)))
+    want, equal = set(), set()
+    for d, t in rows:
+        for pos, line in enumerate(t.split("\n")):
+            w = line.split()
+            for e, v in seen:
+                if e != d and w == v:
+                    equal.add((d, pos))
+                elif e != d and sum(map(str.__eq__, v, w)) * 10 >= 7 * len(w):
+                    want.add((d, pos))
+            seen.append((d, w))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for few in (3, line_dedup.FEW, 10_000):
+        got = {(r["doc"], r["pos"]) for r in line_dedup.similar_lines(df, few=few).collect()}
+        assert want and got | equal == want | equal
+
+
+def test_similar_lines_of_odd_rows(spark):
+    """Null ids and texts, empty texts, repeated rows, an empty table, other columns of clashing names."""
+    a, b = "the quick brown fox jumps over the lazy dog today", "the quick brown fox leaps over the crazy dog today"
+    rows = [(None, a, 1, 1), (None, b, 2, 2), (3, None, 3, 3), (4, "", 4, 4), (5, b, 5, 5), (5, b, 5, 5), (6, "x " * 50_000, 6, 6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, leaf int, open int")
+    out = line_dedup.drop_recurring_lines(df, similar=70)
+    got = sorted(((r["doc_id"], r["text"], r["leaf"], r["open"]) for r in out.collect()), key=repr)
+    first = [(None, a, 1, 1), (None, "", 2, 2)], [(None, "", 1, 1), (None, b, 2, 2)]  # null ids are ordered by their text's hash
+    rest = [(3, None, 3, 3), (4, "", 4, 4), (5, "", 5, 5), (5, "", 5, 5), rows[-1]]
+    assert got in [sorted(f + rest, key=repr) for f in first]
+    assert line_dedup.drop_recurring_lines(df.limit(0), similar=70).count() == 0
+
+
 def test_lines_of_numbers_stay(spark):
     wide = " ".join(["total of all"] + ["{0}.5"] * 9)
     rows = [(1, "12.5 30 2019\n13.5 31 2020\nall 7 8 9"), (2, "14.5 32 2021\n12.5 30 2019\nall 1 2 3"), (3, wide.format(1)), (4, wide.format(2)),
