@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import packed, staged, unpacked
+from ._shared import mark, packed, release, staged, unpacked
 
 DEPTH = 3
 MIN_WORDS = 3
@@ -119,7 +119,7 @@ def similar_lines(docs: DataFrame, share: int = SIMILAR, min_words: int = MIN_WO
         F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.first("d").alias("d"), F.first("h").alias("h"),
         F.min(F.struct("doc", "fp", "pos")).alias("at")), "forms")
 
-    def like(pairs: DataFrame) -> DataFrame:
+    def like(pairs: DataFrame, forms: DataFrame) -> DataFrame:
         """The ids whose form is like an earlier one of the pairs."""
         pairs = pairs.where("e.at < at AND NOT (e.at.doc <=> at.doc AND e.at.fp = at.fp)")
         pairs = pairs.select("id", F.col("e.id").alias("other")).distinct()
@@ -146,18 +146,23 @@ def similar_lines(docs: DataFrame, share: int = SIMILAR, min_words: int = MIN_WO
                          F.slice("h", F.lit(depth + 1), F.greatest(n - depth, F.lit(0))).alias("open"))
     found = None
     while True:
-        keyed = staged(cut(level), "pieces")
-        keys = staged(keyed.groupBy("key").agg(
+        start = mark()
+        every = staged(cut(level), "pieces")
+        keys = staged(every.groupBy("key").agg(
             F.min(F.struct("at", "id")).alias("e"), F.count(F.lit(1)).alias("forms")).where("forms > 1"), "piece-keys")
+        # pieces of one form end here, and so do forms that share none
+        shared = staged(every.join(keys, "key"), "shared-pieces")
+        release(docs.sparkSession, start, start + 2)
+        forms = staged(forms.join(shared.select("id").distinct(), "id", "left_semi").select("id", "n", "d", "h"), "sharing")
+        keyed, sizes = shared.drop("e", "forms"), shared.select("key", "forms").distinct()
         # the first form of a piece, and the first one of another document
-        second = keyed.join(keys, "key").where("NOT (e.at.doc <=> at.doc AND e.at.fp = at.fp)").groupBy("key").agg(
-            F.min(F.struct("at", "id")).alias("e"))
-        quick = like(keyed.join(keys.select("key", "e").union(second), "key"))
+        other = shared.where("NOT (e.at.doc <=> at.doc AND e.at.fp = at.fp)").withColumn("own", F.struct("at", "id"))
+        second = other.groupBy("key").agg(F.min("own").alias("e"))
+        quick = like(shared.select("id", "at", "e").union(keyed.join(second, "key").select("id", "at", "e")), forms)
         known = staged(quick if found is None else found.union(quick).distinct(), "like-first")
         left = keyed.join(known, "id", "left_anti")
-        sizes = keys.select("key", "forms")
         small = keyed.join(sizes.where(F.col("forms") <= few), "key").select("key", F.struct("at", "id").alias("e"))
-        found = staged(known.union(like(left.join(small, "key"))).distinct(), "like")
+        found = staged(known.union(like(left.join(small, "key"), forms)).distinct(), "like")
         # a large piece with forms that are not settled goes on, up to the last of these
         large = staged(left.join(sizes.where(F.col("forms") > few), "key").join(found, "id", "left_anti")
                        .groupBy("key").agg(F.max("at").alias("until")), "large-pieces")
