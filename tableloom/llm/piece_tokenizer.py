@@ -348,6 +348,8 @@ def encoding_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
                 schema.names)
+            batch = t = None
+            pa.default_memory_pool().release_unused()
 
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 

@@ -1186,3 +1186,31 @@ def test_pipeline_stages_on_odd_rows(spark, odd, empty):
             out = stage(spark, df, DIR)
             assert out.columns == df.columns, name
             out.count()
+
+
+def test_quality_measures_take_little_memory(monkeypatch):
+    """A batch of 20 MB is measured in small blocks, with the same results as in one."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tableloom.llm import quality_rules
+
+    rng = random.Random(5)
+    words = [f"wörd{i} " for i in range(3000)] + ["#a ", "line\n", "<|> ", "\n"]
+    texts = ["".join(rng.choices(words, k=rng.choice([0, 3, 30, 400]))) for _ in range(4000)] + ["", None, "one two\n" * 40_000]
+    small = pa.record_batch([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["id", "text"])
+    names = ["id", *quality_rules._MEASURES]
+    big = pa.record_batch([pa.array(["abc def ghi jkl mno " * 100] * 10_000)], ["text"])
+    measured = quality_rules.measured_batches
+    list(measured([big.slice(0, 1000)], names, 1, 0))  # tables that are made once
+    tracemalloc.start()
+    n = sum(b.num_rows for b in measured([big], names, 1, 0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 10_000 and peak < 16e6
+    ours = pa.Table.from_batches(measured([small], names, 1, 1)).to_pydict()
+    monkeypatch.setattr(quality_rules, "ROWS", 1 << 20)
+    monkeypatch.setattr(quality_rules, "BLOCK", 1 << 30)
+    assert ours == pa.Table.from_batches(measured([small], names, 1, 1)).to_pydict()
+    assert list(measured([small.slice(0, 0)], names, 1, 1)) == []
