@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import field, scalars as s
 from ..functions.values import BuildError
 from ..operators import profiles, quality, relations, schemas, steps
+from ..operators.predicates import Predicate
 from ..sources import databases, keyed, sinks
 from ..sources.staging import new_folder
 from ..streaming import sync
@@ -149,14 +150,10 @@ def reconcile_buckets(spark, sf):
 
 @query("""SELECT o_orderkey, o_custkey, o_totalprice::DECIMAL(19,4) AS price, o_orderstatus FROM orders WHERE o_orderstatus = 'F' AND o_custkey > 10""")
 def database_read(spark, sf):
-    """Orders in an embedded database, read back in eight ranges of the key with exact prices and a pushed filter."""
-    if not spark.sparkContext.master.startswith("local["):
-        raise BuildError("an embedded database is seen by this process only")
+    """Orders in files of an embedded database, read back in eight ranges of the key with exact prices and a pushed filter."""
     o = read(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("decimal(19,4)").alias("price"), "o_orderstatus")
-    options = databases.embedded_options(f"d{uuid.uuid4().hex}", "orders")
-    databases.create_as(o, options, {"o_orderstatus": "VARCHAR(8)"})
-    df, _ = databases.read_by_key(spark, options, "o_orderkey", 8, [("price", "money"), ("o_orderkey", "bigint")])
-    return df.where("o_orderstatus = 'F' AND o_custkey > 10")
+    source = databases.create_files(o, new_folder(spark, "database"), "orders", "o_orderkey")
+    return databases.read_files_by_key(spark, source, 8, [Predicate("o_orderstatus", "eq", "F"), Predicate("o_custkey", "gt", 10)])
 
 
 # --- profiles and documents ----------------------------------------------------------------------------------------------------

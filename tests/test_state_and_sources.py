@@ -4,8 +4,12 @@ documents, deliveries and the edges of reading texts."""
 import datetime as dt
 import os
 import random
+import subprocess
+import sys
+import tempfile
 import time
 import uuid
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +17,9 @@ from pyspark.sql import functions as F
 from tableloom.functions import field, scalars
 from tableloom.functions.values import BuildError
 from tableloom.operators import profiles, quality, relations, schemas
+from tableloom.operators.predicates import Predicate
 from tableloom.sources import databases, keyed, sinks
+from tableloom.sources.staging import new_folder
 from tableloom.streaming import sync
 
 
@@ -208,6 +214,42 @@ def test_database_ranges_of_other_keys(spark, kind):
     assert len(sizes) == 4 and max(sizes) < 2 * min(sizes) and quality.same_table(df, back)
 
 
+def test_database_files(spark):
+    values = [(None if i == 3 else i * i, Decimal(i) / 10000 + 10**14, f"t{i % 5}\0é" if i % 7 else None, i * 0.1, dt.date(2024, 1, 1)) for i in range(1000)]
+    df = spark.createDataFrame(values, "id bigint, price decimal(19,4), `Ki\"nd` string, d double, day date").repartition(6)
+    source = databases.create_files(df, new_folder(spark, "database"), "things", "id")
+    back = databases.read_files_by_key(spark, source, 8)
+    assert len(source.files) == 6 and back.schema.simpleString() == df.schema.simpleString() and quality.same_table(df, back)
+    sizes = [r[1] for r in back.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * min(sizes)
+    few = databases.read_files_by_key(spark, source, 8, [Predicate('Ki"nd', "eq", "t3\0é"), Predicate("id", "gt", 10)])
+    assert quality.same_table(df.where("`Ki\"nd` = 't3\\0é' AND id > 10"), few) and few.count() > 100
+    empty = databases.create_files(df.where("false"), new_folder(spark, "database"), "things", "id")
+    assert databases.read_files_by_key(spark, empty, 8).count() == 0
+    for folder, key in (("hdfs://x/y", "id"), (new_folder(spark, "database"), "d")):
+        with pytest.raises(BuildError):
+            databases.create_files(df, folder, "things", key)
+
+
+def test_database_read_on_a_cluster():
+    """Executors that are processes of their own read what others wrote."""
+    code = """
+import tempfile
+from pyspark.sql import SparkSession
+import __spark_entry__
+s = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.ui.enabled", "false").config(
+    "spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="spark-")).getOrCreate()
+print("rows", __spark_entry__.queries()["database_read"](s, "/root/testdata/sf0.001").count(), s.read.parquet(
+    "/root/testdata/sf0.001/orders.parquet").where("o_orderstatus = 'F' AND o_custkey > 10").count())
+s.stop()
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_GATEWAY", "SPARK_"))} | {"PYTHONPATH": root}
+    run = subprocess.run([sys.executable, "-c", code], env=env, cwd=tempfile.mkdtemp(prefix="spark-"), capture_output=True, text=True, timeout=170)
+    found = [x.split() for x in run.stdout.splitlines() if x.startswith("rows ")]
+    assert found and found[0][1] == found[0][2] != "0", run.stderr[-1500:]
+
+
 # profiles and documents ---------------------------------------------------------------------------------------------------------
 
 
