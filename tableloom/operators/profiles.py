@@ -104,10 +104,11 @@ def _attempts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 @dataclass
 class _Readings:
     """How many texts of a column there are of each kind, that is for each set of tests that they pass: bit 0 that there
-    is a text, bits 1 to 8 the ways that read it, further bits what cleaning asks; and the least text of each kind."""
+    is a text, bits 1 to 8 the ways that read it, further bits what cleaning asks; and the least and greatest text of each
+    class of a kind. Where these are one, the class holds no other."""
 
     counts: dict[int, int] = _field(default_factory=dict)
-    least: dict[int, set[str]] = _field(default_factory=dict)
+    spans: dict[int, list[tuple[str, str]]] = _field(default_factory=dict)
 
     def count(self, *bits: int, without: int | None = None) -> int:
         """Texts with any of the bits, and without another."""
@@ -115,10 +116,18 @@ class _Readings:
         return sum(n for m, n in self.counts.items() if m & some and not (without is not None and m >> without & 1))
 
     def rate(self, column: str, j: int) -> dict:
-        """The counts of one way, and small texts that it does not read."""
-        failing = {t for m, texts in self.least.items() if m & 1 and not m >> (j + 1) & 1 for t in texts}
+        """The counts of one way, small texts that it does not read, and the open spans in which smaller ones may lie."""
+        spans = [x for m, spans in self.spans.items() if m & 1 and not m >> (j + 1) & 1 for x in spans]
+        known = sorted({t for x in spans for t in x}, key=_bytes)[:EXAMPLES]
+        most = _bytes(known[-1]) if len(known) == EXAMPLES else None
+        gaps = [x for x in spans if x[0] != x[1] and (most is None or _bytes(x[0]) < most)]
         return {"column": column, "how": _WAYS[j], "n_values": self.count(0), "n_passed": self.count(j + 1),
-                "examples": sorted(failing, key=lambda t: t.encode("utf-8", "surrogatepass"))[:EXAMPLES]}
+                "examples": known, "gaps": gaps}
+
+
+def _bytes(text: str) -> bytes:
+    """By which Spark orders texts."""
+    return text.encode("utf-8", "surrogatepass")
 
 
 def _readings(df: DataFrame, columns: Sequence[str], more: Sequence[Sequence[Column]] = ()) -> list[_Readings]:
@@ -131,41 +140,42 @@ def _readings(df: DataFrame, columns: Sequence[str], more: Sequence[Sequence[Col
         short = F.left(F.col(f"s{i}"), F.lit(EXAMPLE_CHARS))
         kinds.append(F.struct(F.lit(i).alias("i"), mask.alias("mask"), F.pmod(F.hash(short), F.lit(_CLASSES)).alias("part"), short.alias("text")))
     rows = df.select(F.explode(F.array(*kinds)).alias("x")).select("x.*").groupBy("i", "mask", "part").agg(
-        F.count(F.lit(1)).alias("n"), F.min("text").alias("least"),
+        F.count(F.lit(1)).alias("n"), F.min("text").alias("least"), F.max("text").alias("most"),
         F.collect_set(F.lit(0)).alias("one"))  # with a set Spark groups by hashing; a least text alone makes it sort
     found = [_Readings() for _ in columns]
     for r in rows.collect():  # kinds of texts
         f = found[r["i"]]
         f.counts[r["mask"]] = f.counts.get(r["mask"], 0) + r["n"]
         if r["least"] is not None:
-            f.least.setdefault(r["mask"], set()).add(r["least"])
+            f.spans.setdefault(r["mask"], []).append((r["least"], r["most"]))
     return found
 
 
 def _failing_examples(df: DataFrame, group: Sequence[str], rows: Sequence[dict]) -> dict[tuple[str, str], list[str]]:
-    """The least ``EXAMPLES`` distinct failing texts of each column and way. Those that the readings tell bound them from
-    above, so few rows are looked at again; where they are fewer, there is no bound. Texts are combined in each task, and
-    a task hands on no more of a way than are asked for."""
+    """The least ``EXAMPLES`` distinct failing texts of each column and way. The readings tell some; a smaller one lies
+    between the least and the greatest text of a class, below those that are known. Only rows with such texts are looked
+    at again, none where every class is one text or the known ones lie below the rest. Texts are combined in each task."""
     at = {name: i for i, name in enumerate(group)}
+    found = {(r["column"], r["how"]): set(r["examples"]) for r in rows}
     wanted, near = [], F.lit(False)
     for r in rows:
-        i, j = at[r["column"]], _WAYS.index(r["how"])
-        if not r["examples"]:
+        if not r["gaps"]:
             continue
-        short = F.left(F.col(f"s{i}"), F.lit(EXAMPLE_CHARS))
-        most = F.lit(r["examples"][EXAMPLES - 1]) if len(r["examples"]) >= EXAMPLES else None
-        failing = F.col(f"s{i}").isNotNull() & ~F.col(f"p{i}_{j}") & (F.lit(True) if most is None else short <= most)
-        wanted.append(F.when(failing, F.struct(F.lit(r["column"]).alias("column"), F.lit(r["how"]).alias("how"), short.alias("text"))))
-        own = F.col(f"`{r['column']}`")
-        near = near | (own.isNotNull() if most is None else F.left(own, F.lit(EXAMPLE_CHARS)) <= most)
-    if not wanted:
-        return {}
-    texts = _attempts(df.where(near), group).select(F.explode(F.array_compact(F.array(*wanted))).alias("x")).select("x.*").distinct()
-    first = F.row_number().over(Window.partitionBy("column", "how").orderBy("text"))
-    found: dict[tuple[str, str], list[str]] = {}
-    for r in texts.withColumn("_n", first).where(F.col("_n") <= EXAMPLES).orderBy("column", "how", "text").collect():  # 3 a way
-        found.setdefault((r["column"], r["how"]), []).append(r["text"])
-    return found
+        i, j = at[r["column"]], _WAYS.index(r["how"])
+        low = min((x[0] for x in r["gaps"]), key=_bytes)
+        high = min(max((x[1] for x in r["gaps"]), key=_bytes), *r["examples"][EXAMPLES - 1 :], key=_bytes) \
+            if len(r["examples"]) == EXAMPLES else max((x[1] for x in r["gaps"]), key=_bytes)
+        inside = lambda t: (t > F.lit(low)) & (t < F.lit(high)) & ~t.isin(*r["examples"])  # noqa: B023, E731
+        short, own = F.left(F.col(f"s{i}"), F.lit(EXAMPLE_CHARS)), F.left(F.col(f"`{r['column']}`"), F.lit(EXAMPLE_CHARS))
+        wanted.append(F.when(inside(short) & ~F.col(f"p{i}_{j}"), F.struct(
+            F.lit(r["column"]).alias("column"), F.lit(r["how"]).alias("how"), short.alias("text"))))
+        near = near | F.coalesce(inside(own), F.lit(False))
+    if wanted:
+        texts = _attempts(df.where(near), group).select(F.explode(F.array_compact(F.array(*wanted))).alias("x")).select("x.*").distinct()
+        first = F.row_number().over(Window.partitionBy("column", "how").orderBy("text"))
+        for r in texts.withColumn("_n", first).where(F.col("_n") <= EXAMPLES).collect():  # 3 a way
+            found[r["column"], r["how"]].add(r["text"])
+    return {k: sorted(v, key=_bytes)[:EXAMPLES] for k, v in found.items()}
 
 
 def parse_rates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

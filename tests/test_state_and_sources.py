@@ -346,3 +346,22 @@ def test_edges_of_numbers_and_times(spark):
         assert {r["t"]: r["v"] for r in df.select("t", made(field("t", "text")).col.alias("v")).collect()} == want
     df = spark.createDataFrame([("29/02/2024 07h",), ("29-02-2024 07h",), ("2/02/2024 07h",), ("29/02/2024 07hh",)], "t string")
     assert [r[0] for r in df.select(scalars.parse_date(field("t", "text"), "DD/MM/YYYY HHh").col).collect()] == [dt.datetime(2024, 2, 29, 7), None, None, None]
+
+
+def test_examples_of_few_texts_take_no_second_look(spark, monkeypatch):
+    """Columns of few distinct texts are told by the first aggregation; others look again at rows that may matter only."""
+    df = spark.range(3000).selectExpr("element_at(array('A', 'N', 'R'), cast(id % 3 AS int) + 1) AS flag",
+                                      "element_at(array('F', NULL), cast(id % 2 AS int) + 1) AS status", "concat('x', lpad(id, 5, '0')) AS many")
+    looked, attempts = [], profiles._attempts
+    monkeypatch.setattr(profiles, "_attempts", lambda d, columns: looked.append(d.count()) or attempts(d, columns))
+    got = {(r["column"], r["how"]): r["examples"] for r in profiles.parse_rates(df).collect()}
+    assert got["flag", "to_number"] == ["A", "N", "R"] and got["status", "to_date"] == ["F"]
+    assert all(got["many", how] == ["x00000", "x00001", "x00002"] for how in profiles._WAYS)
+    assert looked[0] == 3000 and sum(looked[1:]) < 50
+    texts = [None, "", "é", "\U0001f600", "\uffff", "a" * 60, "a" * 61, "b", "1", "true", *[f"t{i}" for i in range(40)]]
+    for n in (3, 5, 8, 20, len(texts)):
+        some = texts[:n]
+        got = {r["how"]: r["examples"] for r in profiles.parse_rates(spark.createDataFrame([(t,) for t in some * 2], "x string")).collect()}
+        fails = {t[:50] for t in some if t is not None and t not in ("1", "true")}
+        for how in ("YYYY-MM-DD", "to_date"):
+            assert got[how] == sorted(fails | {t for t in some if t in ("1", "true")}, key=lambda t: t.encode())[:3]
