@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -332,6 +333,46 @@ def test_ngram_join_through_trees(spark):
     assert len(by_tree) > 100
 
 
+def test_ngram_join_beyond_the_frequent_table(spark, monkeypatch):
+    """Passages that recur everywhere tie nobody, however few shingles the table of frequent ones holds."""
+    rng = random.Random(11)
+    phrases = [[f"f{i}_{j}" for j in range(8)] for i in range(50)]
+    rows = []
+    for i in range(300):
+        words = []
+        for phrase in rng.sample(phrases, 20):
+            words += phrase + [f"u{rng.randrange(10**9)}" for _ in range(12)]
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(ngram_join, "FREQUENT", 8)
+    ties = ngram_join._ties(ngram_join._sketches(df))
+    assert ties.where("large = 1").count() == 0
+    found = ngram_join.jaccard_components(df).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, found)) == sorted(brute_components(rows).values())
+
+
+def test_filter_of_counted_shingles(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    df = spark.createDataFrame([(" ".join(words + [f"x{rng.randrange(10**9)}" for _ in range(400)]),) for _ in range(40)], "text string")
+    h, classes, bits = ngram_join._frequent_shingles(df)
+    sets = [ngram_join.head(s) for r in df.collect() for s in _text.shingle_sets(*_text.raw(pa.array([r["text"]])), 5)]
+    shared = set.intersection(*map(lambda s: set(s.tolist()), sets))
+    assert len(shared) == 396 <= len(h) and classes.min() > 1
+    assert ngram_join.counted(np.array(sorted(shared), np.uint32), bits).all()
+    other = np.setdiff1d(np.concatenate(sets), h)
+    assert len(other) > 10_000 and ngram_join.counted(other, bits).mean() < 0.01
+
+
+def test_staged_ids_are_no_smaller_in_files_than_in_rows(spark):
+    """Else Spark broadcasts tables of millions of pairs through the driver, as their files are small."""
+    edges = spark.range(1, 60_001).selectExpr("0L AS a", "id AS b")
+    found = _shared.components(edges)
+    size = found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert found.count() == 60_001 and int(str(size)) >= 16 * 60_001
+
+
 def test_boxes_bound_their_points(spark, docs):
     """The rows of a tree: each point is in a leaf of its cluster and size class, boxes hold what is below them."""
     sketches = ngram_join._sketches(docs).where("node IS NOT NULL").dropDuplicates(["node"])
